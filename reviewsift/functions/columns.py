@@ -8,7 +8,7 @@ import unicodedata
 from collections.abc import Iterable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 # The characters Python treats as white space, as a Java character class body.
 WHITE_SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -153,13 +153,13 @@ def bucketize(
     return result
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     """Unicode NFC; Spark has no built-in normalisation."""
     return texts.map(_nfc, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape_nfc(texts: pd.Series) -> pd.Series:
     """HTML entities resolved, then Unicode NFC, in one Arrow batch."""
     return texts.map(lambda t: _nfc(html.unescape(t)), na_action="ignore")
