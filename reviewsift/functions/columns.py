@@ -5,13 +5,13 @@ from __future__ import annotations
 import html
 import math
 import unicodedata
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 # The characters Python treats as white space, as a Java character class body.
-WHITE_SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WHITE_SPACE = r"\s\x1c-\x1f\x85\p{Z}"
 
 
 def col(c: Column | str) -> Column:
@@ -70,29 +70,6 @@ def safe_div(a: Column, b: Column, otherwise: float | None = None) -> Column:
     return F.when(b != 0, a / b).otherwise(F.lit(otherwise).cast("double"))
 
 
-def contains_hits(text: Column, terms: Sequence[str]) -> Column:
-    """The terms found as substrings, in list order."""
-    if not terms:
-        return F.array().cast("array<string>")
-    hits = F.array_compact(F.array(*[F.when(text.contains(t), F.lit(t)) for t in terms]))
-    return F.when(contains_any(text, terms), hits).otherwise(F.array().cast("array<string>"))
-
-
-def contains_any(text: Column, terms: Sequence[str]) -> Column:
-    """Whether any term occurs: one pass over the text with an alternation."""
-    if not terms:
-        return F.lit(False)
-    return text.rlike("|".join(quote(t) for t in terms))
-
-
-def contains_count(text: Column, terms: Sequence[str]) -> Column:
-    """How many different terms occur."""
-    total: Column = F.lit(0)
-    for term in terms:
-        total = total + text.contains(term).cast("int")
-    return total
-
-
 def quote(term: str) -> str:
     """A literal term as a regex (works for Java and RE2)."""
     return "".join("\\" + ch if ch in r".^$*+?{}[]\|()-" else ch for ch in term)
@@ -107,14 +84,6 @@ def matches(text: Column, pattern: str) -> Column:
     return text.rlike(python_regex(pattern))
 
 
-def pattern_count(text: Column, patterns: Iterable[str]) -> Column:
-    """How many patterns of a family occur."""
-    total: Column = F.lit(0)
-    for pattern in patterns:
-        total = total + matches(text, pattern).cast("int")
-    return total
-
-
 def flags_array(*conditions: tuple[str, Column]) -> Column:
     """Names of the conditions that hold, in the given order."""
     return F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in conditions]))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reviewsift.functions.columns import (
-    bool_int, char_count, class_count, clip, col, contains_any, contains_count, digit_count,
-    flags_array, matches, quote, strip, text_or_empty, word_count,
+    bool_int, char_count, class_count, clip, col, digit_count, flags_array, matches, quote,
+    strip, text_or_empty, word_count,
 )
+from reviewsift.functions.terms import found_terms, has_any, hits
 from reviewsift.functions.text import join_title
 from reviewsift.lexicon import Lexicon, VIETNAMESE
 from reviewsift.schemas import METADATA_FEATURES
@@ -95,24 +96,24 @@ def quantity_pattern(lexicon: Lexicon) -> str:
     return rf"\b\d+\s*({units})?\b"
 
 
-def reason_code_array(c: Column | str, lexicon: Lexicon = VIETNAMESE) -> Column:
-    """Reason codes of a review text, in a fixed order."""
-    text = F.lower(col(c))
-    words = word_count(text)
-    codes = flags_array(
+def reason_terms(lexicon: Lexicon) -> tuple[str, ...]:
+    """Every term the reason codes look for."""
+    return (*lexicon.feature_words, *lexicon.pros, *lexicon.cons)
+
+
+def _codes(text: Column, words: Column, found: Column, lexicon: Lexicon) -> Column:
+    return flags_array(
         ("specific_experience", matches(text, quantity_pattern(lexicon))),
         (
             "mentions_product_features",
-            contains_count(text, lexicon.feature_words) >= FEATURE_WORDS_MIN,
+            F.size(hits(found, lexicon.feature_words)) >= FEATURE_WORDS_MIN,
         ),
         (
             "mentions_pros_and_cons",
-            contains_any(text, lexicon.pros) & contains_any(text, lexicon.cons),
+            has_any(found, lexicon.pros) & has_any(found, lexicon.cons),
         ),
         ("sufficient_detail", words >= DETAIL_WORDS),
     )
-    return F.when((F.size(codes) == 0) & (words <= GENERIC_WORDS_MAX), F.array(F.lit("too_generic"))
-                  ).otherwise(codes)
 
 
 def reason_codes(
@@ -121,8 +122,15 @@ def reason_codes(
     lexicon: Lexicon = VIETNAMESE,
     output: str = "model_reason_codes",
 ) -> DataFrame:
-    """add the reason codes."""
-    return df.withColumn(output, reason_code_array(text_or_empty(column), lexicon))
+    """add the reason codes of a review text, in a fixed order."""
+    # One step per shared value, so that none is computed twice.
+    df = df.withColumn("_low", F.lower(text_or_empty(column)))
+    df = df.withColumn("_found", found_terms(F.col("_low"), reason_terms(lexicon)))
+    df = df.withColumn("_n_words", word_count("_low"))
+    df = df.withColumn("_codes", _codes(F.col("_low"), F.col("_n_words"), F.col("_found"), lexicon))
+    generic = (F.size("_codes") == 0) & (F.col("_n_words") <= GENERIC_WORDS_MAX)
+    codes = F.when(generic, F.array(F.lit("too_generic"))).otherwise(F.col("_codes"))
+    return df.withColumn(output, codes).drop("_low", "_found", "_n_words", "_codes")
 
 
 def derived_flags(df: DataFrame) -> DataFrame:

@@ -264,5 +264,14 @@ class PatternSet:
     spam: tuple[str, ...] = V2_SPAM
     flags: tuple[tuple[str, str], ...] = tuple(V2_FLAG_PATTERNS.items())
 
+    def every(self) -> list[str]:
+        """All patterns of the set."""
+        families = (
+            self.specific_strong, self.specific_medium, self.experience, self.decision_strong,
+            self.decision_medium, self.spam,
+        )
+        singles = [self.not_used_yet, *(pattern for _, pattern in self.flags)]
+        return [p for family in families for p in family] + singles
+
 
 VIETNAMESE_PATTERNS = PatternSet()

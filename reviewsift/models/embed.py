@@ -21,26 +21,15 @@ ENCODER_MAX_LENGTH = 192
 
 
 def char_ngrams(text: Column, sizes: tuple[int, ...] = NGRAM_SIZES) -> Column:
-    """Character n-grams inside words padded with a blank on each side."""
-    padded = F.transform(
-        F.filter(F.split(collapse(F.lower(text)), " "), lambda w: w != ""),
-        lambda w: F.concat(F.lit(" "), w, F.lit(" ")),
-    )
-
-    def grams(word: Column) -> Column:
-        parts = [
-            F.when(
-                F.length(word) >= n,
-                F.transform(
-                    F.sequence(F.lit(1), F.greatest(F.length(word) - (n - 1), F.lit(1))),
-                    lambda i, n=n: F.substring(word, i, F.lit(n)),
-                ),
-            ).otherwise(F.array().cast("array<string>"))
-            for n in sizes
-        ]
-        return F.concat(*parts)
+    """Character n-grams inside words padded with a blank on each side.
 
-    return F.flatten(F.transform(padded, grams))
+    In a text with single blanks these are the overlapping windows whose inner characters are
+    not blank; a look-ahead group finds them natively.
+    """
+    padded = F.concat(F.lit(" "), collapse(F.lower(text)), F.lit(" "))
+    return F.concat(
+        *[F.regexp_extract_all(padded, F.lit(f"(?=(.[^ ]{{{n - 2}}}.))"), F.lit(1)) for n in sizes]
+    )
 
 
 def hash_embed(

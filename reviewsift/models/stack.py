@@ -17,11 +17,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from reviewsift.functions.columns import clip, round_even
+from reviewsift.functions.columns import WHITE_SPACE, clip, round_even, text_or_empty
 from reviewsift.functions.features import (
-    metadata_features, reason_code_array, sample_weight_of,
+    metadata_features, reason_codes, sample_weight_of,
 )
-from reviewsift.functions.text import join_title
 from reviewsift.lexicon import Lexicon, VIETNAMESE
 from reviewsift.operators.explain import decide
 from reviewsift.operators.metrics import binary_metrics
@@ -88,7 +87,10 @@ def training_rows(df: DataFrame, embedding: str = "embedding") -> DataFrame:
     confidence = clip(
         F.coalesce(F.col("confidence").try_cast("double"), F.lit(0.5)), *CONFIDENCE_RANGE
     )
-    rows = metadata_features(df.filter(F.length(join_title("title", "content", " ")) > 0))
+    has_text = F.concat(text_or_empty("title"), text_or_empty("content")).rlike(
+        f"[^{WHITE_SPACE}]"
+    )
+    rows = metadata_features(df.filter(has_text))
     rows = rows.withColumns(
         {
             "label": F.col("is_helpful").cast("int"),
@@ -493,6 +495,7 @@ def predict(
     if dict(df.dtypes)["embedding"].startswith("array"):
         df = df.withColumn("embedding", array_to_vector(F.col("embedding").cast("array<double>")))
     given = df.columns
+    df = reason_codes(df, review_text, lexicon)
     rows = df.withColumn("_rating", F.col("rating"))
     if "word_count" in given:
         rows = rows.withColumn("_word_count", F.col("word_count"))
@@ -503,7 +506,6 @@ def predict(
     rows = rows.withColumns(
         {
             "rating": F.col("_rating"),
-            "model_reason_codes": reason_code_array(F.col(review_text), lexicon),
             "predicted_rubric_score": round_even(F.col(AUX_FEATURES[0]), 3),
             "predicted_annotation_confidence": round_even(F.col(AUX_FEATURES[1]), 3),
             "model_variant": F.lit(models.config["model_variant"]),

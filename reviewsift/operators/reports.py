@@ -18,7 +18,7 @@ from reviewsift.functions.columns import (
 from reviewsift.functions.text import clean_cloud_text, encoder_ready
 from reviewsift.lexicon import STOP_WORDS
 from reviewsift.operators.ranking import top_k
-from reviewsift.operators.stats import exact_percentiles, long_values
+from reviewsift.operators.stats import correlations, exact_percentiles, long_values
 from reviewsift.schemas import EDA_DROPPED, LABEL_NAMES, RUBRIC_COLUMNS, WEEKDAYS
 
 # ---------------------------------------------------------------------------
@@ -186,7 +186,10 @@ def _by_bucket(
     means: Means,
     share: bool = False,
 ) -> DataFrame:
-    report = rate_report(df.withColumn(column, bucket), column, label, means, share)
+    # Rows outside every bucket get a blank, never NULL: a "key is not NULL" test would be
+    # pushed below the grouping and evaluate the bucket expression once more per branch.
+    keyed = df.withColumn(column, F.coalesce(bucket, F.lit("")))
+    report = rate_report(keyed, column, label, means, share, keep_null=True)
     counts = ["review_count", "helpful_count"] + (["percentage"] if share else [])
     return keep_all_buckets(report, column, labels, counts)
 
@@ -276,34 +279,22 @@ def flag_summary(df: DataFrame, label: str = "help", flags: str = "quality_flags
     )
 
 
-def _pairwise(x: str, y: str) -> Column:
-    """Pearson correlation over rows where both are present; NULL for a constant column."""
-    a, b = F.col(x).cast("double"), F.col(y).cast("double")
-    both = a.isNotNull() & b.isNotNull()
-    left, right = F.when(both, a), F.when(both, b)
-    spread = F.stddev_pop(left) * F.stddev_pop(right)
-    return F.when(spread > 0, F.covar_pop(left, right) / spread)
-
-
 def correlation_matrix(df: DataFrame, columns: Sequence[str] = GOLD_NUMERIC) -> DataFrame:
-    """Pearson correlation matrix rounded to 3 digits, from one pass over the data."""
-    pairs = {
-        f"_c_{i}_{j}": _pairwise(columns[i], columns[j])
-        for i in range(len(columns))
-        for j in range(i, len(columns))
-    }
-    one = df.agg(*[c.alias(n) for n, c in pairs.items()])
+    """Pearson correlation matrix rounded to 3 digits."""
+    pairs = [(x, y) for i, x in enumerate(columns) for y in columns[i:]]
+    one, value = correlations(df, pairs)
+    # Each value once, then laid out in both triangles.
+    flat = one.selectExpr(
+        *[f"rint({value[pair]} * 1e3) / 1e3 as p{k}" for k, pair in enumerate(pairs)]
+    )
+    at = {pair: k for k, pair in enumerate(pairs)}
     rows = [
-        F.struct(
-            F.lit(x).alias("variable"),
-            *[
-                round_even(F.col(f"_c_{min(i, j)}_{max(i, j)}"), 3).alias(y)
-                for j, y in enumerate(columns)
-            ],
-        )
-        for i, x in enumerate(columns)
+        f"named_struct('variable', '{x}', "
+        + ", ".join(f"'{y}', p{at[(x, y)] if (x, y) in at else at[(y, x)]}" for y in columns)
+        + ")"
+        for x in columns
     ]
-    return one.select(F.explode(F.array(*rows)).alias("_r")).select("_r.*")
+    return flat.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def target_correlation(
@@ -311,18 +302,15 @@ def target_correlation(
 ) -> DataFrame:
     """Correlation of each column with the target, strongest first."""
     others = [c for c in columns if c != target]
-    one = df.agg(*[_pairwise(c, target).alias(f"_c_{c}") for c in others])
+    one, value = correlations(df, [(c, target) for c in others])
+    scale = f"1e{digits}"
     rows = [
-        F.struct(
-            F.lit(c).alias("variable"),
-            round_even(F.col(f"_c_{c}"), digits).alias("correlation"),
-        )
+        f"named_struct('variable', '{c}', 'correlation', "
+        f"rint({value[(c, target)]} * {scale}) / {scale})"
         for c in others
     ]
-    return (
-        one.select(F.explode(F.array(*rows)).alias("_r"))
-        .select("_r.*")
-        .orderBy(F.desc_nulls_last(F.abs("correlation")), "variable")
+    return one.selectExpr(f"inline(array({', '.join(rows)}))").orderBy(
+        F.desc_nulls_last(F.abs("correlation")), "variable"
     )
 
 

@@ -7,9 +7,10 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reviewsift.functions.columns import (
-    WHITE_SPACE, bool_int, collapse, contains_any, contains_hits, flags_array, nfc, quote,
-    python_regex, round_even, text_or_empty,
+    WHITE_SPACE, bool_int, collapse, flags_array, nfc, quote, python_regex, round_even,
+    text_or_empty,
 )
+from reviewsift.functions.terms import found_terms, has_any, hits
 from reviewsift.functions.text import join_title
 from reviewsift.lexicon import Lexicon, VIETNAMESE
 from reviewsift.messages import RUBRIC_REASONS
@@ -40,21 +41,35 @@ def is_generic(content: Column, lexicon: Lexicon) -> Column:
     return plain.isin(list(lexicon.generic_phrases)) | only_generic
 
 
+def score_terms(lexicon: Lexicon) -> tuple[str, ...]:
+    """Every term the points and flags look for in the content."""
+    return (
+        *lexicon.attributes, *lexicon.decision, *lexicon.defects, *lexicon.experience,
+        *lexicon.shipping, *lexicon.spam, *lexicon.seller, *lexicon.comparison,
+        *lexicon.size_fit, *lexicon.durability, *lexicon.packaging,
+    )
+
+
+def refine_terms(lexicon: Lexicon) -> tuple[str, ...]:
+    """Every term the flag refinement looks for in title and content."""
+    return (*lexicon.refine_defects, *lexicon.refine_durability, *lexicon.refine_comparison)
+
+
 def _signals(df: DataFrame, lexicon: Lexicon) -> DataFrame:
     """The facts about a text that points, flags and label are built from."""
-    content = F.col("_content")
+    content, found = F.col("_content"), F.col("_found")
     df = df.withColumns(
         {
-            "_attributes": contains_hits(content, lexicon.attributes),
-            "_decisions": contains_hits(content, lexicon.decision),
-            "_defects": contains_hits(content, lexicon.defects),
-            "_experience": contains_any(content, lexicon.experience),
-            "_shipping": contains_any(content, lexicon.shipping),
+            "_attributes": hits(found, lexicon.attributes),
+            "_decisions": hits(found, lexicon.decision),
+            "_defects": hits(found, lexicon.defects),
+            "_experience": has_any(found, lexicon.experience),
+            "_shipping": has_any(found, lexicon.shipping),
             "_number": content.rlike(python_regex(number_pattern(lexicon))),
             "_words": F.regexp_count(content, F.lit(WORD)),
             "_noise": ~content.rlike(LETTER_OR_DIGIT),
             "_generic": is_generic(content, lexicon),
-            "_spam": contains_any(content, lexicon.spam),
+            "_spam": has_any(found, lexicon.spam),
         }
     )
     return df.withColumns(
@@ -157,6 +172,14 @@ def rubric_score(
     df = df.withColumns(
         {"_content": F.lower("_clean"), "_text": F.lower(join_title("_title", "_clean"))}
     )
+    # Every Python step comes before the native ones: a UDF above them would make the optimizer
+    # inline the whole chain of expressions into one.
+    df = df.withColumns(
+        {
+            "_found": found_terms(F.col("_content"), score_terms(lexicon)),
+            "_refine": found_terms(F.col("_text"), refine_terms(lexicon)),
+        }
+    )
     df = _signals(df, lexicon).withColumns(_points())
     df = df.withColumn("helpfulness_score", sum((F.col(c) for c in RUBRIC_COLUMNS), F.lit(0)))
 
@@ -181,20 +204,20 @@ def rubric_score(
         .when(binary, F.least(F.lit(0.72), base))
         .otherwise(base)
     )
-    content, has_attr = F.col("_content"), F.col("_n_attr") > 0
+    found, has_attr = F.col("_found"), F.col("_n_attr") > 0
     flags = flags_array(
         ("ambiguous", score.between(2, 3) | (binary & ~agrees)),
         ("noise_text", F.col("_noise")),
         ("generic_only", F.col("_generic")),
         ("shipping_only", F.col("_shipping_only")),
-        ("seller_service_only", contains_any(content, lexicon.seller) & ~has_attr),
+        ("seller_service_only", has_any(found, lexicon.seller) & ~has_attr),
         ("too_short_but_specific", (F.col("_words") <= 5) & has_attr & ~F.col("_generic")),
         ("contains_product_defect", F.col("_n_def") > 0),
         ("contains_usage_context", F.col("_experience") | F.col("_number")),
-        ("contains_comparison", contains_any(content, lexicon.comparison)),
-        ("contains_size_fit_info", contains_any(content, lexicon.size_fit)),
-        ("contains_durability_info", contains_any(content, lexicon.durability)),
-        ("contains_packaging_info", contains_any(content, lexicon.packaging)),
+        ("contains_comparison", has_any(found, lexicon.comparison)),
+        ("contains_size_fit_info", has_any(found, lexicon.size_fit)),
+        ("contains_durability_info", has_any(found, lexicon.durability)),
+        ("contains_packaging_info", has_any(found, lexicon.packaging)),
     )
     df = df.withColumns(
         {
@@ -206,7 +229,7 @@ def rubric_score(
             "adjudicated": F.lit(True),
         }
     )
-    refined = refine_flags(df, F.col("_text"), lexicon)
+    refined = _refined(df, F.col("_refine"), lexicon)
     return refined.select("annotation_id", *keep, *LABEL_COLUMNS)
 
 
@@ -216,15 +239,20 @@ def refine_flags(
     """R2: drop flags that contradict the label or lack support in the text, add comparison,
     and recompute the review need. ``text`` is title plus content."""
     text = F.lower(F.col(text) if isinstance(text, str) else text)
+    df = df.withColumn("_refine", found_terms(text, refine_terms(lexicon)))
+    return _refined(df, F.col("_refine"), lexicon).drop("_refine")
+
+
+def _refined(df: DataFrame, found: Column, lexicon: Lexicon) -> DataFrame:
     helpful = F.col("is_helpful")
     unsupported = flags_array(
         ("too_short_but_specific", helpful == 0),
         ("generic_only", helpful == 1),
-        ("contains_product_defect", ~contains_any(text, lexicon.refine_defects)),
-        ("contains_durability_info", ~contains_any(text, lexicon.refine_durability)),
+        ("contains_product_defect", ~has_any(found, lexicon.refine_defects)),
+        ("contains_durability_info", ~has_any(found, lexicon.refine_durability)),
     )
     added = flags_array(
-        ("contains_comparison", contains_any(text, lexicon.refine_comparison))
+        ("contains_comparison", has_any(found, lexicon.refine_comparison))
     )
     flags = F.array_sort(
         F.array_union(F.array_except("quality_flags", unsupported), added)

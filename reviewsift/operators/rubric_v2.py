@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from reviewsift.functions.columns import (
-    WHITE_SPACE, bool_int, clip, flags_array, matches, pattern_count, round_even, strip,
-    word_count,
+    bool_int, clip, flags_array, matches, round_even, strip, word_count,
 )
+from reviewsift.functions.terms import found_terms, occurrences, occurs, pattern_terms
 from reviewsift.lexicon import (
     PatternSet, V2_EMPTY_FLAGS, V2_INFORMATIVE_FLAGS, V2_ONLY_PUNCTUATION, VIETNAMESE_PATTERNS,
 )
@@ -29,46 +30,39 @@ def _levels(two: Column, one: Column) -> Column:
     return F.when(two, 2).when(one, 1).otherwise(0)
 
 
-def duplicate_like(lower_text: Column) -> Column:
-    """More than 12 words, and over a third of them occur in both halves.
+@F.pandas_udf(T.BooleanType())
+def duplicate_like(texts: pd.Series) -> pd.Series:
+    """More than 12 words, and over a third of them occur in both halves of the text.
 
-    The halves are merged and sorted so that every word of the second half comes right before
-    its copies in the first; one pass then counts the copies.
+    Counting copies against a set is linear in the words; array functions compare the halves
+    word by word.
     """
-    words = F.split(strip(lower_text), rf"[{WHITE_SPACE}]+")
-    n = F.size(words)
-    half = F.floor(n / 2).cast("int")
-    first = F.transform(F.slice(words, F.lit(1), half), lambda w: F.struct(w.alias("w"), F.lit(1).alias("t")))
-    second = F.transform(
-        F.array_distinct(F.slice(words, half + 1, n - half)),
-        lambda w: F.struct(w.alias("w"), F.lit(0).alias("t")),
-    )
-    start = F.struct(F.lit("").alias("w"), F.lit(0).alias("hits"))
 
-    def step(acc: Column, item: Column) -> Column:
-        return F.struct(
-            F.when(item["t"] == 0, item["w"]).otherwise(acc["w"]).alias("w"),
-            (acc["hits"] + bool_int((item["t"] == 1) & (item["w"] == acc["w"]))).alias("hits"),
-        )
+    def check(text: str) -> bool:
+        words = text.split()
+        half = len(words) // 2
+        later = set(words[half:])
+        return len(words) > 12 and sum(w in later for w in words[:half]) > len(words) // 3
 
-    hits = F.aggregate(F.array_sort(F.concat(first, second)), start, step)["hits"]
-    return F.when(n > 12, hits > F.floor(n / 3)).otherwise(F.lit(False))
+    return texts.map(check, na_action="ignore").astype("boolean")
 
 
 def _flags(patterns: dict[str, str]) -> Column:
     low, sp = F.col("_low"), F.col("specificity")
-    shipping_only = (
-        matches(low, patterns["shipping"]) & ~matches(low, patterns["product"]) & (sp == 0)
-    )
+
+    def matched(pattern: str) -> Column:
+        return occurs(low, F.col("_found"), pattern)
+
+    shipping_only = (sp == 0) & matched(patterns["shipping"]) & ~matched(patterns["product"])
     seller_only = (
-        matches(low, patterns["seller"])
-        & ~matches(low, patterns["product"])
-        & (sp == 0)
+        (sp == 0)
+        & matched(patterns["seller"])
+        & ~matched(patterns["product"])
         & ~shipping_only
     )
     nothing = sp + F.col("product_experience") + F.col("decision_value") == 0
     named = {
-        name: matches(low, pattern)
+        name: matched(pattern)
         for name, pattern in patterns.items()
         if name not in ("shipping", "product", "seller")
     }
@@ -81,7 +75,7 @@ def _flags(patterns: dict[str, str]) -> Column:
             ("shipping_only", shipping_only),
             ("seller_service_only", seller_only),
             *named.items(),
-            ("duplicate_like", duplicate_like(low)),
+            ("duplicate_like", F.col("_duplicate")),
             ("ambiguous", F.col("helpfulness_score").between(2, 3)),
         )
     )
@@ -140,14 +134,21 @@ def rubric_score_v2(
     words = word_count("_text")
     stored = F.coalesce(F.col("word_count").cast("int"), words) if "word_count" in df.columns else words
     df = df.withColumns({"_low": F.lower("_text"), "_words": words, "_wc": stored})
-    low = F.col("_low")
+    # Python steps first; see rubric_score.
+    df = df.withColumns(
+        {
+            "_found": found_terms(F.col("_low"), pattern_terms(patterns.every())),
+            "_duplicate": duplicate_like(F.col("_low")),
+        }
+    )
+    low, found = F.col("_low"), F.col("_found")
     df = df.withColumns(
         {
-            "_strong": pattern_count(low, patterns.specific_strong),
-            "_medium": pattern_count(low, patterns.specific_medium),
-            "_used": pattern_count(low, patterns.experience),
-            "_dec_strong": pattern_count(low, patterns.decision_strong),
-            "_dec_medium": pattern_count(low, patterns.decision_medium),
+            "_strong": occurrences(low, found, patterns.specific_strong),
+            "_medium": occurrences(low, found, patterns.specific_medium),
+            "_used": occurrences(low, found, patterns.experience),
+            "_dec_strong": occurrences(low, found, patterns.decision_strong),
+            "_dec_medium": occurrences(low, found, patterns.decision_medium),
         }
     )
     strong, medium, used = F.col("_strong"), F.col("_medium"), F.col("_used")
@@ -156,7 +157,7 @@ def rubric_score_v2(
             "specificity": _levels(
                 (strong >= 2) | ((strong >= 1) & (medium >= 1)), strong + medium >= 1
             ),
-            "product_experience": F.when(matches(low, patterns.not_used_yet), 0).otherwise(
+            "product_experience": F.when(occurs(low, found, patterns.not_used_yet), 0).otherwise(
                 F.least(used, F.lit(2))
             ),
         }
@@ -171,7 +172,7 @@ def rubric_score_v2(
     ).otherwise(0)
     spam = F.lit(False)
     for pattern in patterns.spam:
-        spam = spam | matches(strip(low), pattern)
+        spam = spam | occurs(low, found, pattern)
     df = df.withColumns(
         {
             "decision_value": _levels(

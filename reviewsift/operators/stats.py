@@ -1,4 +1,4 @@
-"""Exact percentiles that never buffer a group in one task."""
+"""Exact percentiles without per-group buffers, and correlations from plain sums."""
 
 from __future__ import annotations
 
@@ -62,3 +62,53 @@ def exact_percentiles(
             for n in percentages
         ],
     )
+
+
+def correlations(
+    df: DataFrame, pairs: Sequence[tuple[str, str]]
+) -> tuple[DataFrame, dict[tuple[str, str], str]]:
+    """Pearson correlation per pair over the rows where both values are present.
+
+    A first pass reads means and missing counts (one row). The second pass sums products of
+    the centred values, which is stable, and needs extra sums only for pairs in which a column
+    has missing values. Returns the one-row table of sums and a SQL expression per pair; a
+    constant column gives NULL. The sums are SQL text because there are hundreds of them.
+    """
+    columns = list(dict.fromkeys(c for pair in pairs for c in pair))
+    place = {c: i for i, c in enumerate(columns)}
+    numbers = df.select(*[F.col(c).cast("double").alias(f"v{i}") for c, i in place.items()])
+    first = numbers.selectExpr(
+        *[f"avg(v{i}) as m{i}" for i in place.values()],
+        *[f"count_if(v{i} is null) as n{i}" for i in place.values()],
+    ).first()
+    gaps = {c for c, i in place.items() if first[f"n{i}"]}
+    centred = numbers.selectExpr(
+        *[f"v{i} - double('{first[f'm{i}'] or 0.0!r}') as v{i}" for i in place.values()]
+    )
+    sums: dict[str, str] = {}
+
+    def moments(x: str, y: str) -> tuple[str, str, str]:
+        """Count, sum and sum of squares of x where y is present."""
+        i, j = place[x], place[y]
+        value, tail = f"v{i}", f"_{i}"
+        if y in gaps and y != x:
+            value, tail = f"if(v{j} is null, null, v{i})", f"_{i}_{j}"
+        sums[f"n{tail}"] = f"double(count({value}))"
+        sums[f"s{tail}"] = f"sum({value})"
+        sums[f"q{tail}"] = f"sum({value} * {value})"
+        return f"n{tail}", f"s{tail}", f"q{tail}"
+
+    values = {}
+    for x, y in pairs:
+        n, sx, qx = moments(x, y)
+        _, sy, qy = moments(y, x)
+        cross = f"c_{place[x]}_{place[y]}"
+        sums[cross] = f"sum(v{place[x]} * v{place[y]})"
+        # Below this share a spread is rounding noise: the column is constant.
+        floor = f"1e-18 * {qx} * {qy}"
+        spread = f"({qx} - {sx} * {sx} / {n}) * ({qy} - {sy} * {sy} / {n})"
+        values[(x, y)] = (
+            f"if({n} > 0 and {spread} > {floor}, "
+            f"({cross} - {sx} * {sy} / {n}) / sqrt({spread}), null)"
+        )
+    return centred.selectExpr(*[f"{e} as {name}" for name, e in sums.items()]), values

@@ -865,13 +865,13 @@ def w5(spark, d):
   select page_id, {o.collapse("regexp_replace(regexp_replace(lower(html), '<[^>]+>', ' ', 'g'), 'https?://[^[:space:]]+|www\\.[^[:space:]]+', ' ', 'g')")} as clean_text
   from pages""")
 def t1(spark, d):
-    return clean_corpus(v.table(spark, d, "pages"), "html").select("page_id", "clean_text")
+    return clean_corpus(v.pages(spark, d), "html").select("page_id", "clean_text")
 
 
 @query("t2_nfc_corpus", f"""
   select doc_id, {o.collapse("nfc_normalize(coalesce(text, ''))")} as text from documents""")
 def t2(spark, d):
-    return nfc_corpus(v.table(spark, d, "documents"), ["text"]).select("doc_id", "text")
+    return nfc_corpus(v.documents(spark, d), ["text"]).select("doc_id", "text")
 
 
 @query("t3_encoder_ready", f"""
@@ -880,7 +880,7 @@ def t2(spark, d):
     cast(length({o.collapse("nfc_normalize(text)")}) as integer) as encoder_char_len,
     cast({o.words('text')} as integer) as encoder_word_count from documents""")
 def t3(spark, d):
-    return encoder_ready(v.table(spark, d, "documents"), "text").select(
+    return encoder_ready(v.documents(spark, d), "text").select(
         "doc_id", "encoder_text", "char_len", "word_count_computed", "encoder_char_len",
         "encoder_word_count",
     )
@@ -888,7 +888,7 @@ def t3(spark, d):
 
 @query("t3_encoder_ready_pages")
 def t3_pages(spark, d):
-    return encoder_ready(v.table(spark, d, "pages"), "html").select(
+    return encoder_ready(v.pages(spark, d), "html").select(
         "page_id", "encoder_text", "encoder_char_len", "encoder_word_count"
     )
 
@@ -906,7 +906,7 @@ def t4(spark, d):
 @query("t5_canonical_ids", f"""
   select doc_id, 'MANUAL_' || ({o.PADDED}) as annotation_id from documents""")
 def t5(spark, d):
-    rows = v.table(spark, d, "documents").select(
+    rows = v.documents(spark, d).select(
         "doc_id", F.concat(F.lit("  manual_"), F.col("doc_id").cast("string"), F.lit(" ")).alias("annotation_id")
     )
     return canonical_ids(rows)
@@ -914,7 +914,7 @@ def t5(spark, d):
 
 @query("t6_cloud_text", f"select doc_id, {CLOUD.format('text')} as cloud_text from documents")
 def t6(spark, d):
-    return v.table(spark, d, "documents").select(
+    return v.documents(spark, d).select(
         "doc_id", clean_cloud_text("text").alias("cloud_text")
     )
 
@@ -1279,7 +1279,7 @@ QUICK = stack.Settings(
   select doc_id, cast(coalesce(list_sum(list_transform(ws, lambda x: greatest(length(x), 0) + greatest(length(x) - 1, 0) + greatest(length(x) - 2, 0))), 0) as bigint) as ngrams,
     case when len(ws) > 0 then 1.0::double else 0.0::double end as norm from w""".replace(",\n  w as", "with w as", 1))
 def m1(spark, d):
-    docs = v.table(spark, d, "documents")
+    docs = v.documents(spark, d)
     grams = docs.select("doc_id", "text", F.size(embed.char_ngrams(F.col("text"))).cast("long").alias("ngrams"))
     vectors = embed.hash_embed(grams, "text")
     squares = F.aggregate(
@@ -1300,7 +1300,7 @@ def _tiny_encoder():
     cast(length(text) - length(replace(text, ' ', '')) as double) as dim1 from documents""")
 def m2(spark, d):
     path = _scratch(spark, "embeddings")
-    docs = v.table(spark, d, "documents").select("doc_id", "text")
+    docs = v.documents(spark, d).select("doc_id", "text")
     cached = embed.encode_cached(docs, "doc_id", "text", _tiny_encoder, path)
     return cached.select(
         "doc_id", F.col("embedding")[0].cast("double").alias("dim0"),

@@ -14,6 +14,7 @@ from reviewsift.functions.text import with_review_text
 from reviewsift.lexicon import PatternSet, VIETNAMESE
 from reviewsift.operators.gold import gold_join
 from reviewsift.schemas import RUBRIC_COLUMNS
+from reviewsift.sources.io import spread
 
 TEST_LEXICON = VIETNAMESE.with_terms(
     generic_phrases=["lorem ipsum", "the of"],
@@ -67,9 +68,17 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def documents(spark: SparkSession, directory: str) -> DataFrame:
+    return spread(table(spark, directory, "documents"))
+
+
+def pages(spark: SparkSession, directory: str) -> DataFrame:
+    return spread(table(spark, directory, "pages"))
+
+
 def reviews(spark: SparkSession, directory: str) -> DataFrame:
     """One review per document, with user, votes, rating and dates from its event."""
-    docs = table(spark, directory, "documents")
+    docs = documents(spark, directory)
     events = table(spark, directory, "events").select(
         "event_id",
         F.col("user_id").cast("string").alias("user_id"),

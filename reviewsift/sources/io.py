@@ -36,6 +36,22 @@ def read_reviews(
     )
 
 
+SMALL_SCAN_BYTES = 1 << 30
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a small scan over all cores before CPU-heavy work.
+
+    A small table is often one row group, hence one task. Larger scans split by themselves
+    and are left alone, so no shuffle of big texts is ever added.
+    """
+    parallelism = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) >= SMALL_SCAN_BYTES or len(df.inputFiles()) >= parallelism:
+        return df
+    return df.repartition(parallelism)
+
+
 def read_batches(
     spark: SparkSession, directory: str, schema: T.StructType | None = None, fmt: str = "csv"
 ) -> DataFrame:
