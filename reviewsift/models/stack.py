@@ -67,8 +67,9 @@ def _parallel(tasks: Sequence[Callable[[], object]], parallelism: int) -> list:
     """Run independent fits from driver threads; the fits themselves are Spark jobs."""
     if parallelism <= 1 or len(tasks) == 1:
         return [task() for task in tasks]
+    inherit = inheritable_thread_target(SparkSession.active())
     with ThreadPool(min(parallelism, len(tasks))) as pool:
-        return pool.map(lambda task: inheritable_thread_target(task)(), tasks)
+        return pool.map(lambda task: task(), [inherit(task) for task in tasks])
 
 
 # --- inputs ----------------------------------------------------------------
@@ -210,13 +211,14 @@ def ridge(
 ) -> LinearRegressionModel:
     """M7: ridge regression with penalty ``alpha`` on the plain squared error.
 
-    Spark scales the target and averages the loss, so the penalty is alpha * std(y) / n.
+    Spark scales the target and averages the loss, so the penalty is alpha * std(y) / n. The
+    normal equations need one pass over the rows, whatever their number.
     """
-    stats = rows.agg(F.count(target).alias("n"), F.stddev_samp(target).alias("std")).first()
+    stats = rows.agg(F.count(target).alias("n"), F.stddev_pop(target).alias("std")).first()
     return LinearRegression(
         featuresCol=features, labelCol=target, predictionCol="_ridge", elasticNetParam=0.0,
         regParam=alpha * (stats["std"] or 0.0) / max(stats["n"], 1), standardization=False,
-        solver="l-bfgs", tol=1e-10, maxIter=500,
+        solver="normal",
     ).fit(rows)
 
 
