@@ -44,18 +44,22 @@ def with_position(
     by: Sequence[str] = (),
     output: str = "position",
     start: int = 0,
+    total: str | None = None,
 ) -> DataFrame:
-    """Number the rows of the table, or of each group, in the given total order."""
+    """Number the rows of the table, or of each group, in the given total order.
+
+    ``total`` names a column for the group size, which comes from the same totals.
+    """
     placed = _placed(df, by, order)
     chunks = placed.groupBy("_part", *by).agg(
         F.min("_slot").alias("_first"), F.count("*").alias("_rows")
     )
     earlier = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    chunks = chunks.withColumn(
-        "_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
-    ).drop("_rows")
+    chunks = chunks.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    if total is not None:
+        chunks = chunks.withColumn(total, F.sum("_rows").over(W.partitionBy(*by)))
     return (
-        _join_chunks(placed, chunks, by)
+        _join_chunks(placed, chunks.drop("_rows"), by)
         .withColumn(output, F.col("_slot") - F.col("_first") + F.col("_before") + F.lit(start))
         .drop("_slot", "_part", "_first", "_before")
     )
@@ -98,14 +102,15 @@ def running_sums(
     sums: dict[str, Column],
     by: Sequence[str] = (),
     bounded: bool = False,
+    stored: bool = False,
 ) -> DataFrame:
     """Running sums over an aggregated table, choosing the plan by a checked size.
 
     ``bounded=True`` states that the table is small by construction (few distinct rounded
-    values), which keeps the whole plan lazy.
+    values), which keeps the whole plan lazy; ``stored=True`` that it is a written table.
     """
     if not bounded:
-        df = materialize(df)
+        df = df if stored else materialize(df)
         if df.limit(SMALL_TABLE_ROWS + 1).count() > SMALL_TABLE_ROWS:
             return with_running_sums(df, order, sums, by)
     window = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)

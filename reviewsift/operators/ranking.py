@@ -18,17 +18,8 @@ def rank_reviews(
     index: str = "original_index",
 ) -> DataFrame:
     """Rank by score descending, ties in input order, from 1; `count` is the group size."""
-    ranked = with_position(
-        df, [F.col(score).desc_nulls_last(), F.col(index)], partition_by, "rank", start=1
-    )
-    sizes = df.groupBy(*partition_by).agg(F.count("*").alias("count"))
-    if not partition_by:
-        return ranked.withColumn("count", df.agg(F.count("*")).scalar())
-    named = sizes.withColumnsRenamed({b: f"_s_{b}" for b in partition_by})
-    condition = F.lit(True)
-    for b in partition_by:
-        condition = condition & F.col(b).eqNullSafe(F.col(f"_s_{b}"))
-    return ranked.join(named, condition, "inner").drop(*[f"_s_{b}" for b in partition_by])
+    order = [F.col(score).desc_nulls_last(), F.col(index)]
+    return with_position(df, order, partition_by, "rank", start=1, total="count")
 
 
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:

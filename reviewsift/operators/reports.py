@@ -18,8 +18,11 @@ from reviewsift.functions.columns import (
 from reviewsift.functions.text import clean_cloud_text, encoder_ready
 from reviewsift.lexicon import STOP_WORDS
 from reviewsift.operators.ranking import top_k
-from reviewsift.operators.stats import correlations, exact_percentiles, long_values
+from reviewsift.operators.stats import (
+    correlations, exact_percentiles, percentiles_of, value_levels,
+)
 from reviewsift.schemas import EDA_DROPPED, LABEL_NAMES, RUBRIC_COLUMNS, WEEKDAYS
+from reviewsift.session import materialize
 
 # ---------------------------------------------------------------------------
 # Report buckets.
@@ -115,17 +118,33 @@ def labeling_report(gold: DataFrame) -> DataFrame:
     Sections: totals, label_distribution, helpful_rate_by_rating,
     helpful_rate_by_sample_group, source_distribution.
     """
+    keys = ["is_helpful", "rating", "sample_group", "label_source"]
     labeled = F.col("is_helpful").isNotNull()
     binary = labeled & F.col("original_manual_label").isin("0", "1")
     queue = labeled & F.coalesce(F.col("needs_human_review"), F.lit(False))
-    totals = gold.agg(
-        F.count("*").alias("total_source_rows"),
-        F.count_if(labeled).alias("labeled_rows"),
-        F.count_if(~labeled).alias("unlabeled_rows"),
-        round_even(F.avg("is_helpful"), 4).alias("helpful_rate"),
-        F.count_if(queue).alias("human_review_queue_rows"),
-        round_even(F.avg(F.when(labeled, F.col("confidence"))), 4).alias("mean_confidence"),
-        round_even(F.avg(F.when(binary, bool_int(F.col("agrees_with_original")))), 4).alias(
+    # One pass over the gold table; every section is a roll-up of these few groups.
+    groups = materialize(
+        gold.groupBy(*keys).agg(
+            F.count("*").alias("n"),
+            F.count_if(queue).alias("queue"),
+            F.sum(F.when(labeled, F.col("confidence"))).alias("conf"),
+            F.count(F.when(labeled, F.col("confidence"))).alias("conf_n"),
+            F.count_if(binary & F.col("agrees_with_original")).alias("agree"),
+            F.count_if(binary).alias("binary"),
+        )
+    )
+    helpful = F.sum(F.col("is_helpful") * F.col("n"))
+    rate = round_even(helpful / F.sum(F.when(labeled, F.col("n"))), 4)
+    rows = F.coalesce(F.sum("n"), F.lit(0))
+    labeled_rows = F.coalesce(F.sum(F.when(labeled, F.col("n"))), F.lit(0))
+    totals = groups.agg(
+        rows.alias("total_source_rows"),
+        labeled_rows.alias("labeled_rows"),
+        (rows - labeled_rows).alias("unlabeled_rows"),
+        rate.alias("helpful_rate"),
+        F.coalesce(F.sum("queue"), F.lit(0)).alias("human_review_queue_rows"),
+        round_even(F.sum("conf") / F.nullif(F.sum("conf_n"), F.lit(0)), 4).alias("mean_confidence"),
+        round_even(F.sum("agree") / F.nullif(F.sum("binary"), F.lit(0)), 4).alias(
             "agreement_with_original_binary_labels"
         ),
     )
@@ -133,23 +152,21 @@ def labeling_report(gold: DataFrame) -> DataFrame:
     long_totals = totals.select(
         *[F.col(n).cast("double").alias(n) for n in names]
     ).unpivot([], names, "key", "value")
-    done = gold.filter(labeled)
 
     def section(name: str, key: str, value: Column) -> DataFrame:
-        rows = done.filter(F.col(key).isNotNull()).groupBy(key).agg(value.alias("value"))
-        return rows.select(
+        part = groups.filter(labeled & F.col(key).isNotNull()).groupBy(key).agg(value.alias("value"))
+        return part.select(
             F.lit(name).alias("section"),
             F.col(key).cast("string").alias("key"),
             F.col("value").cast("double").alias("value"),
         )
 
-    rate = round_even(F.avg("is_helpful"), 4)
     report = long_totals.select(F.lit("totals").alias("section"), "key", "value")
     for part in (
-        section("label_distribution", "is_helpful", F.count("*")),
+        section("label_distribution", "is_helpful", F.sum("n")),
         section("helpful_rate_by_rating", "rating", rate),
         section("helpful_rate_by_sample_group", "sample_group", rate),
-        section("source_distribution", "label_source", F.count("*")),
+        section("source_distribution", "label_source", F.sum("n")),
     ):
         report = report.unionByName(part)
     return report
@@ -501,14 +518,22 @@ def describe(
     digits: int = 6,
 ) -> DataFrame:
     """Count, mean, sample deviation, min, max and percentiles, one row per column."""
-    stats = long_values(df, [], columns).groupBy("column").agg(
-        F.count("*").alias("count"),
-        round_even(F.avg("value"), digits).alias("mean"),
-        round_even(F.stddev_samp("value"), digits).alias("std"),
+    levels = value_levels(df, columns)
+    means = levels.groupBy("column").agg(
+        (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("_mean")
+    )
+    off = F.col("value") - F.col("_mean")
+    # One row per column, so broadcasting the means is bounded.
+    stats = levels.join(F.broadcast(means), "column").groupBy("column").agg(
+        F.sum("n").alias("count"),
+        round_even(F.first("_mean"), digits).alias("mean"),
+        round_even(
+            F.sqrt(F.sum(off * off * F.col("n")) / F.nullif(F.sum("n") - 1, F.lit(0))), digits
+        ).alias("std"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
-    exact = exact_percentiles(df, columns, dict(percentiles))
+    exact = percentiles_of(levels, dict(percentiles))
     return stats.join(
         exact.select("column", *[round_even(F.col(p), digits).alias(p) for p in percentiles]),
         "column",
@@ -609,30 +634,22 @@ def histogram(
 ) -> DataFrame:
     """Fixed-width bins between the minimum and maximum; the last bin is closed.
 
-    Rows are counted per value first, so the range and the bins come from one pass over the
-    data and one small table.
+    Rows are counted per value first; the clip limit, the range and the bins all come from
+    that table.
     """
-    value = F.col(column).cast("double")
-    if clip_percentile is not None:
-        limit = exact_percentiles(df, [column], {"p": clip_percentile}).select("p").scalar()
-        value = F.least(value, limit)
-    levels = (
-        df.filter(F.col(column).isNotNull())
-        .groupBy(*by, value.alias("_value"))
-        .agg(F.count("*").alias("_n"))
-    )
-    low = levels.agg(F.min("_value")).scalar()
-    high = levels.agg(F.max("_value")).scalar()
-    ranged = levels.withColumns({"_low": low, "_high": high})
+    levels = value_levels(df, [column], by)
+    clipped = _clipped(levels, clip_percentile)
+    low, high = (clipped.agg(f("value")).scalar() for f in (F.min, F.max))
+    ranged = clipped.withColumns({"_low": low, "_high": high})
     width = (F.col("_high") - F.col("_low")) / bins
     number = F.when(
-        width > 0, F.least(F.floor((F.col("_value") - F.col("_low")) / width), F.lit(bins - 1))
+        width > 0, F.least(F.floor((F.col("value") - F.col("_low")) / width), F.lit(bins - 1))
     ).otherwise(0)
     return (
         ranged.withColumns({"bin": number.cast("int"), "_width": width})
         .groupBy(*by, "bin")
         .agg(
-            F.sum("_n").alias("count"),
+            F.sum("n").alias("count"),
             round_even(F.min(F.col("_low") + F.col("bin") * F.col("_width")), 6).alias("bin_start"),
             round_even(F.min(F.col("_low") + (F.col("bin") + 1) * F.col("_width")), 6).alias(
                 "bin_end"
@@ -641,24 +658,28 @@ def histogram(
     )
 
 
+def _clipped(levels: DataFrame, percentile: float | None) -> DataFrame:
+    """Value levels of one column with values above a percentile of all rows set to it."""
+    if percentile is None:
+        return levels
+    every = materialize(levels.groupBy("column", "value").agg(F.sum("n").alias("n")))
+    limit = percentiles_of(every, {"p": percentile}).select("p").scalar()
+    return levels.withColumn("value", F.least("value", limit))
+
+
 def box_stats(
     df: DataFrame, column: str, by: str = "help", clip_percentile: float | None = 0.99
 ) -> DataFrame:
     """Quartiles, 1.5 IQR whiskers and outlier count per group, after clipping."""
-    df = df.filter(F.col(by).isNotNull() & F.col(column).isNotNull())
-    value = F.col(column).cast("double")
-    if clip_percentile is not None:
-        limit = exact_percentiles(df, [column], {"p": clip_percentile}).select("p").scalar()
-        value = F.least(value, limit)
-    levels = df.withColumn("value", value)
-    quartiles = exact_percentiles(
-        levels, ["value"], {"q1": 0.25, "median": 0.5, "q3": 0.75}, [by]
-    ).drop("column")
-    counted = levels.groupBy(by, "value").agg(F.count("*").alias("n"))
+    counted = _clipped(
+        value_levels(df.filter(F.col(by).isNotNull()), [column], [by]), clip_percentile
+    )
+    levels = materialize(counted.groupBy(by, "column", "value").agg(F.sum("n").alias("n")))
+    quartiles = percentiles_of(levels, {"q1": 0.25, "median": 0.5, "q3": 0.75}, [by]).drop("column")
     iqr = F.col("q3") - F.col("q1")
     inside = F.col("value").between(F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr)
     return (
-        counted.join(quartiles, by)
+        levels.join(quartiles, by)
         .groupBy(by, "q1", "median", "q3")
         .agg(
             F.sum("n").alias("count"),

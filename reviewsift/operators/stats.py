@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from reviewsift.operators.ordering import running_sums
+from reviewsift.session import materialize
 
 
 def long_values(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -21,22 +22,22 @@ def long_values(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> Dat
     )
 
 
-def exact_percentiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    percentages: dict[str, float],
-    by: Sequence[str] = (),
-) -> DataFrame:
-    """Linear-interpolation percentiles, one row per (group, column), one column per name.
+def value_levels(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """How often each value occurs per (group, column), as a written table.
 
-    The values are first counted (combined before the shuffle), so a hot group shrinks to its
-    distinct values; ranks come from running counts over that table.
+    Values are counted before the shuffle, so a hot group shrinks to its distinct values, and
+    everything else is computed from this table: the data is read once.
     """
-    levels = long_values(df, by, columns).groupBy(*by, "column", "value").agg(
-        F.count("*").alias("n")
-    )
+    counted = long_values(df, by, columns).groupBy(*by, "column", "value")
+    return materialize(counted.agg(F.count("*").alias("n")))
+
+
+def percentiles_of(
+    levels: DataFrame, percentages: dict[str, float], by: Sequence[str] = ()
+) -> DataFrame:
+    """Percentiles of a table of :func:`value_levels`."""
     keys = [*by, "column"]
-    ranked = running_sums(levels, [F.col("value")], {"upto": F.col("n")}, keys)
+    ranked = running_sums(levels, [F.col("value")], {"upto": F.col("n")}, keys, stored=True)
     totals = levels.groupBy(*keys).agg(F.sum("n").alias("total")).withColumnsRenamed(
         {k: f"_k_{k}" for k in keys}
     )
@@ -64,6 +65,16 @@ def exact_percentiles(
     )
 
 
+def exact_percentiles(
+    df: DataFrame,
+    columns: Sequence[str],
+    percentages: dict[str, float],
+    by: Sequence[str] = (),
+) -> DataFrame:
+    """Linear-interpolation percentiles, one row per (group, column), one column per name."""
+    return percentiles_of(value_levels(df, columns, by), percentages, by)
+
+
 def correlations(
     df: DataFrame, pairs: Sequence[tuple[str, str]]
 ) -> tuple[DataFrame, dict[tuple[str, str], str]]:

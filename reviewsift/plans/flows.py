@@ -18,6 +18,7 @@ from reviewsift.operators.responses import (
 )
 from reviewsift.operators.rubric import refine_flags
 from reviewsift.operators.validate import review_queue, validate_reviews
+from reviewsift.session import materialize
 from reviewsift.sources.io import append_checkpoint, read_checkpoint
 
 
@@ -76,7 +77,18 @@ def gold_outputs(source: DataFrame, directory: str) -> dict[str, DataFrame]:
 
 
 def gold_reports(gold: DataFrame, label: str = "is_helpful") -> dict[str, DataFrame]:
-    """The standard reports over one gold table, each an independent plan."""
+    """The standard reports over one gold table, each an independent plan.
+
+    The columns they need are written once, without the texts.
+    """
+    texts = ("title", "content", "review_text", "reason")
+    narrow = materialize(
+        gold.select(
+            *[c for c in gold.columns if c not in texts],
+            # Only whether a text is missing is reported.
+            F.when(F.col("content").isNotNull(), "").alias("content"),
+        )
+    )
     named: Mapping[str, Callable[[DataFrame, str], DataFrame]] = {
         "label_distribution": reports.label_distribution,
         "rating_analysis": reports.by_rating,
@@ -90,15 +102,17 @@ def gold_reports(gold: DataFrame, label: str = "is_helpful") -> dict[str, DataFr
         "quality_flags_analysis": reports.flag_summary,
         "label_profile": reports.label_profile,
     }
-    result = {name: report(gold, label) for name, report in named.items()}
-    result["correlation_matrix"] = reports.correlation_matrix(gold)
-    result["summary"] = reports.summary(gold, label)
+    result = {name: report(narrow, label) for name, report in named.items()}
+    result["correlation_matrix"] = reports.correlation_matrix(narrow)
+    result["summary"] = reports.summary(narrow, label).withColumn(
+        "columns", F.lit(len(gold.columns))
+    )
     return result
 
 
 def exploration_reports(full: DataFrame) -> dict[str, DataFrame]:
-    """The exploration reports over a fully labelled table."""
-    rows = eda_features(full)
+    """The exploration reports over a fully labelled table, whose features are written once."""
+    rows = materialize(eda_features(full).drop("title", "content"))
     return {
         "overview": reports.overview(rows),
         "quality": reports.quality_counters(rows),
@@ -119,7 +133,8 @@ def score_and_rank(
 ) -> tuple[DataFrame, DataFrame]:
     """(ranked reviews, quarantined requests) for a table of review requests.
 
-    ``score`` adds `helpfulness_score`; ``requests`` carries `original_index`.
+    ``score`` adds `helpfulness_score`; ``requests`` carries `original_index`. The scored rows
+    are written once, because a range partitioning reads its input twice (to find the ranges).
     """
     valid, bad = validate_reviews(requests)
-    return rank_reviews(score(valid), partition_by), bad
+    return rank_reviews(materialize(score(valid)), partition_by), bad
