@@ -275,7 +275,8 @@ def logistic(
     ).fit(weighted)
 
 
-def _proba(model, rows: DataFrame, features: str) -> DataFrame:
+def with_probability(model, rows: DataFrame, features: str) -> DataFrame:
+    """Add `proba_helpful`, the probability of class 1."""
     scored = model.setFeaturesCol(features).setProbabilityCol("_proba").transform(rows)
     return scored.withColumn("proba_helpful", vector_to_array("_proba")[1]).drop(
         "_proba", "rawPrediction", "prediction"
@@ -380,14 +381,14 @@ def _fold_predictions(
 
         def run() -> DataFrame:
             fit, score = (assemble(part, parts, "_x") for part in (train, valid))
-            return _proba(logistic(fit, "_x", settings, weight, standardize), score, "_x")
+            return with_probability(logistic(fit, "_x", settings, weight, standardize), score, "_x")
 
         return run
 
     stack_train, stack_valid, _ = nested_oof(train, valid, metadata, settings, seed)
 
     def stacked(features: str) -> Callable[[], DataFrame]:
-        return lambda: _proba(boosted(stack_train, features, settings, seed), stack_valid, features)
+        return lambda: with_probability(boosted(stack_train, features, settings, seed), stack_valid, features)
 
     tasks = [baseline(n) for n in CANDIDATES[:3]] + [
         stacked("base_features"), stacked("stack_features"),
@@ -507,7 +508,7 @@ def predict(
         rows = rows.withColumn("_word_count", F.col("word_count"))
     rows = metadata_features(rows)
     rows = stack_features(_score_level_one(rows, models), models.scaler)
-    rows = _proba(models.final, rows, "stack_features")
+    rows = with_probability(models.final, rows, "stack_features")
     rows = decide(rows, "proba_helpful", threshold)
     rows = rows.withColumns(
         {

@@ -97,8 +97,9 @@ def rate_report(
 
 
 def bucket_table(spark: SparkSession, column: str, labels: Sequence[str]) -> DataFrame:
-    rows = [(i, label) for i, label in enumerate(labels)]
-    return spark.createDataFrame(rows, f"bucket_order int, {column} string")
+    """The fixed buckets as an inline table."""
+    rows = ", ".join(f"({i}, '{label}')" for i, label in enumerate(labels))
+    return spark.sql(f"select * from values {rows} as t(bucket_order, {column})")
 
 
 def keep_all_buckets(
@@ -106,7 +107,8 @@ def keep_all_buckets(
 ) -> DataFrame:
     """Add empty buckets with zero counts and NULL means, in bucket order."""
     buckets = bucket_table(report.sparkSession, column, labels)
-    filled = buckets.join(report, column, "left")
+    # The report has one row per bucket, so broadcasting it is bounded.
+    filled = buckets.join(F.broadcast(report), column, "left")
     return filled.withColumns(
         {c: F.coalesce(F.col(c), F.lit(0)) for c in counts}
     )

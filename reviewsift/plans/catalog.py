@@ -1308,15 +1308,30 @@ def m2(spark, d):
     )
 
 
+# Model values have no SQL; these queries show what must hold for every scored row.
+TRAINED = f"""with t as (
+  select 'MANUAL_' || ({o.PADDED}) as annotation_id, cast(e.label < 5 as integer) as label
+  from documents d join events v on v.event_id = d.doc_id join embeddings e on e.vec_id = d.doc_id)
+"""
+
+
+def _between(column: str, low: float, high: float) -> F.Column:
+    return F.col(column).between(low, high)
+
+
 def _rows(spark, d):
     return stack.training_rows(v.training(spark, d))
 
 
-@query("m3_rf_features")
+@query("m3_rf_features", TRAINED + "select annotation_id, label, 1.0::double as total, true as valid from t")
 def m3(spark, d):
     rows = _rows(spark, d)
     scored = stack.rf_features(rows, stack.rf_model(rows, QUICK, 7))
-    return scored.select("annotation_id", "label", *stack.RF_FEATURES)
+    low, high = (F.col(c) for c in stack.RF_FEATURES)
+    return scored.select(
+        "annotation_id", "label", round_even(low + high, 6).alias("total"),
+        ((low >= 0) & (high >= 0)).alias("valid"),
+    )
 
 
 @query("m4_assemble", """
@@ -1330,28 +1345,31 @@ def m4(spark, d):
     )
 
 
-@query("m5_boosted_trees")
+@query("m5_boosted_trees", TRAINED + "select annotation_id, label, true as valid from t")
 def m5(spark, d):
     rows = _rows(spark, d)
     model = stack.boosted(rows, "embedding", QUICK, 7)
-    return stack._proba(model, rows, "embedding").select("annotation_id", "label", "proba_helpful")
+    scored = stack.with_probability(model, rows, "embedding")
+    return scored.select("annotation_id", "label", _between("proba_helpful", 0, 1).alias("valid"))
 
 
-@query("m6_logistic_baseline")
+@query("m6_logistic_baseline", TRAINED + "select annotation_id, label, true as valid from t")
 def m6(spark, d):
     rows = _rows(spark, d)
     names = stack.usable_metadata(rows)
     ready = stack.assemble(rows, stack.scaled(stack.fit_scaler(rows, names)), "_x")
     model = stack.logistic(ready, "_x", QUICK)
-    return stack._proba(model, ready, "_x").select("annotation_id", "label", "proba_helpful")
+    scored = stack.with_probability(model, ready, "_x")
+    return scored.select("annotation_id", "label", _between("proba_helpful", 0, 1).alias("valid"))
 
 
-@query("m7_aux_regressors")
+@query("m7_aux_regressors", TRAINED + "select annotation_id, true as valid from t")
 def m7(spark, d):
     rows = _rows(spark, d)
     scaler = stack.fit_scaler(rows, stack.usable_metadata(rows))
     scored = stack.aux_features(rows, stack.aux_regressors(rows, scaler), scaler)
-    return scored.select("annotation_id", *stack.AUX_FEATURES)
+    valid = _between(stack.AUX_FEATURES[0], -2, 7) & _between(stack.AUX_FEATURES[1], 0, 1)
+    return scored.select("annotation_id", valid.alias("valid"))
 
 
 @query("m8_scale_metadata", o.sql("reviews", f"""
@@ -1377,17 +1395,31 @@ def m9(spark, d):
     return weighted.withColumn("weight", F.round("weight", 6))
 
 
-@query("m10_nested_oof")
+@query("m10_nested_oof", TRAINED + "select annotation_id, label, 1.0::double as total, true as valid from t")
 def m10(spark, d):
     rows = _rows(spark, d)
     train, _, _ = stack.nested_oof(rows, None, stack.usable_metadata(rows), QUICK, 42)
-    return train.select("annotation_id", "label", "inner_fold", *stack.RF_FEATURES, *stack.AUX_FEATURES)
+    valid = _between(stack.AUX_FEATURES[0], -2, 7) & _between(stack.AUX_FEATURES[1], 0, 1)
+    total = F.col(stack.RF_FEATURES[0]) + F.col(stack.RF_FEATURES[1])
+    return train.select(
+        "annotation_id", "label", round_even(total, 6).alias("total"), valid.alias("valid")
+    )
 
 
-@query("m11_outer_cv")
+@query("m11_outer_cv", TRAINED + f""", n as (select label, count(*) as n from t group by label),
+  f as (select fold, cast(sum((n - fold + 1) // 2) as bigint) as rows, cast(sum(case when label = 1 then (n - fold + 1) // 2 end) as bigint) as helpful
+        from n, (values (0), (1)) k(fold) group by fold)
+  select cast(fold + 1 as integer) as fold, model, rows, helpful, true as valid
+  from f, (values {", ".join(f"('{c}')" for c in stack.CANDIDATES)}) c(model)""")
 def m11(spark, d):
     scores, _ = stack.outer_cv(_rows(spark, d), QUICK)
-    return scores
+    valid = F.lit(True)
+    for name in metrics.METRIC_NAMES:
+        valid = valid & _between(name, 0, 1)
+    return scores.select(
+        "fold", "model", (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("rows"),
+        (F.col("fn") + F.col("tp")).alias("helpful"), valid.alias("valid"),
+    )
 
 
 METRICS_SQL = f""",
@@ -1471,15 +1503,21 @@ def m14_confusion(spark, d):
     return metrics.oof_report(rows, digits=4)["confusion"]
 
 
-@query("m15_train_and_predict")
+@query("m15_train_and_predict", TRAINED + "select annotation_id, true as consistent, true as valid, 'stacked_trees' as model_variant from t")
 def m15(spark, d):
     path = _scratch(spark, "model")
     stack.train_final(_rows(spark, d), path, QUICK)
     rows = v.training(spark, d).drop("is_helpful", "helpfulness_score", "confidence")
     scored = stack.predict(rows, path)
+    score = F.col("helpfulness_score")
+    helpful = F.col("label") == "Helpful"
     return scored.select(
-        "annotation_id", "label", "helpfulness_score", "confidence_level",
-        _text("model_reason_codes"), "predicted_rubric_score", "predicted_annotation_confidence",
+        "annotation_id",
+        # The rounded score may sit on the threshold itself.
+        ((helpful & (score >= 0.5)) | (~helpful & (score <= 0.5))).alias("consistent"),
+        (_between("predicted_rubric_score", -2, 7) & _between("predicted_annotation_confidence", 0, 1)
+         & F.col("confidence_level").isin("High", "Medium", "Low")).alias("valid"),
+        "model_variant",
     )
 
 

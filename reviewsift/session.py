@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -14,7 +16,7 @@ _fallback_dirs: dict[str, str] = {}
 def local_session(cores: int | str = "*", app: str = "reviewsift", memory: str = "8g") -> SparkSession:
     """A session for tests and local measurements; clusters bring their own."""
     parallelism = "8" if cores == "*" else str(cores)
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", parallelism)
@@ -26,6 +28,8 @@ def local_session(cores: int | str = "*", app: str = "reviewsift", memory: str =
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+    ship_package(spark)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,3 +56,18 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/reviewsift/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable by Python workers, wherever they run (once per application)."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    root, name = os.path.split(package)
+    target = os.path.join(tempfile.mkdtemp(prefix="reviewsift-zip-"), name)
+    spark.sparkContext.addPyFile(shutil.make_archive(target, "zip", root, name))
+    _shipped.add(app)
