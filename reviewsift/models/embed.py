@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.ml.feature import HashingTF, Normalizer
-from pyspark.ml.functions import predict_batch_udf
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+import pandas as pd
+from pyspark.ml.functions import array_to_vector, predict_batch_udf
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from reviewsift.functions.columns import collapse, text_or_empty
+from reviewsift.functions.columns import text_or_empty
 
 # ---------------------------------------------------------------------------
 # N-gram lengths, embedding width and encoder limits.
@@ -18,28 +18,57 @@ NGRAM_SIZES = (3, 4, 5)
 HASH_DIMENSION = 384
 ENCODER_BATCH = 32
 ENCODER_MAX_LENGTH = 192
+_MULTIPLIER = np.uint64(1_099_511_628_211)
+_MIXER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def char_ngrams(text: Column, sizes: tuple[int, ...] = NGRAM_SIZES) -> Column:
-    """Character n-grams inside words padded with a blank on each side.
+def hash_vector(
+    text: str, dimension: int, normalize: bool = True, sizes: tuple[int, ...] = NGRAM_SIZES
+) -> np.ndarray:
+    """Hashed counts of the character n-grams inside words padded with a blank on each side.
 
     In a text with single blanks these are the overlapping windows whose inner characters are
-    not blank; a look-ahead group finds them natively.
+    not blank, so all windows of one length are hashed at once.
     """
-    padded = F.concat(F.lit(" "), collapse(F.lower(text)), F.lit(" "))
-    return F.concat(
-        *[F.regexp_extract_all(padded, F.lit(f"(?=(.[^ ]{{{n - 2}}}.))"), F.lit(1)) for n in sizes]
-    )
+    counts = np.zeros(dimension, dtype=np.float64)
+    padded = f" {' '.join(text.lower().split())} "
+    points = np.frombuffer(padded.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    blank = points == ord(" ")
+    for n in sizes:
+        windows = len(points) - n + 1
+        if windows < 1:
+            continue
+        hashed = np.zeros(windows, dtype=np.uint64)
+        inside = np.ones(windows, dtype=bool)
+        for k in range(n):
+            hashed = hashed * _MULTIPLIER + points[k : k + windows]
+            if 0 < k < n - 1:
+                inside &= ~blank[k : k + windows]
+        hashed = (hashed ^ (hashed >> np.uint64(32))) * _MIXER
+        buckets = (hashed >> np.uint64(33)) % np.uint64(dimension)
+        counts += np.bincount(buckets[inside].astype(np.int64), minlength=dimension)
+    length = np.sqrt((counts * counts).sum())
+    return (counts / length if normalize and length else counts).astype(np.float32)
 
 
 def hash_embed(
-    df: DataFrame, column: str, dimension: int = HASH_DIMENSION, output: str = "embedding"
+    df: DataFrame,
+    column: str,
+    dimension: int = HASH_DIMENSION,
+    output: str = "embedding",
+    normalize: bool = True,
 ) -> DataFrame:
-    """M1: hashed character n-gram counts with unit length (all JVM-side)."""
-    df = df.withColumn("_grams", char_ngrams(text_or_empty(column)))
-    counted = HashingTF(inputCol="_grams", outputCol="_tf", numFeatures=dimension).transform(df)
-    normal = Normalizer(inputCol="_tf", outputCol=output, p=2.0).transform(counted)
-    return normal.drop("_grams", "_tf")
+    """M1: hashed character n-gram counts with unit length, in Arrow batches.
+
+    A text has thousands of n-grams; hashing them as number arrays avoids one string each.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def embed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: hash_vector(t, dimension, normalize))
+
+    vector = array_to_vector(embed(text_or_empty(column)).cast("array<double>"))
+    return df.withColumn(output, vector)
 
 
 def mean_pool(hidden: np.ndarray, mask: np.ndarray) -> np.ndarray:

@@ -1286,13 +1286,15 @@ QUICK = stack.Settings(
   select doc_id, cast(coalesce(list_sum(list_transform(ws, lambda x: greatest(length(x), 0) + greatest(length(x) - 1, 0) + greatest(length(x) - 2, 0))), 0) as bigint) as ngrams,
     case when len(ws) > 0 then 1.0::double else 0.0::double end as norm from w""".replace(",\n  w as", "with w as", 1))
 def m1(spark, d):
-    docs = v.documents(spark, d)
-    grams = docs.select("doc_id", "text", F.size(embed.char_ngrams(F.col("text"))).cast("long").alias("ngrams"))
-    vectors = embed.hash_embed(grams, "text")
+    docs = v.documents(spark, d).select("doc_id", "text")
+    both = embed.hash_embed(embed.hash_embed(docs, "text"), "text", output="counts", normalize=False)
     squares = F.aggregate(
         vector_to_array("embedding"), F.lit(0.0), lambda acc, x: acc + x * x
     )
-    return vectors.select("doc_id", "ngrams", round_even(F.sqrt(squares), 6).alias("norm"))
+    total = F.aggregate(vector_to_array("counts"), F.lit(0.0), lambda acc, x: acc + x)
+    return both.select(
+        "doc_id", total.cast("long").alias("ngrams"), round_even(F.sqrt(squares), 4).alias("norm")
+    )
 
 
 def _tiny_encoder():
