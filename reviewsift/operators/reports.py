@@ -333,6 +333,12 @@ def target_correlation(
     )
 
 
+def _narrow(df: DataFrame, *columns: str) -> DataFrame:
+    """The columns of a report, written once when it needs several passes: values derived
+    from texts are then computed a single time."""
+    return materialize(df.select(*dict.fromkeys(columns)))
+
+
 def _with_percentiles(
     report: DataFrame, df: DataFrame, by: str, picks: Mapping[str, tuple[str, int]], p: float = 0.5
 ) -> DataFrame:
@@ -352,13 +358,13 @@ def _with_percentiles(
 
 def label_profile(df: DataFrame, label: str = "help") -> DataFrame:
     """Averages and median length per label, with the verified-purchase rate."""
-    df = df.filter(F.col(label).isNotNull())
     means = {
         "avg_rating": "rating",
         "avg_word_count": "word_count",
         "avg_score": "helpfulness_score",
         "avg_confidence": "confidence",
     }
+    df = _narrow(df.filter(F.col(label).isNotNull()), label, "purchased_int", *means.values())
     report = df.groupBy(label).agg(
         F.count("*").alias("review_count"),
         *[round_even(F.avg(c), 3).alias(out) for out, c in means.items()],
@@ -379,6 +385,12 @@ def _duplicates(df: DataFrame, column: str, name: str) -> DataFrame:
 
 def summary(df: DataFrame, label: str = "help") -> DataFrame:
     """One row of counts, rates and averages."""
+    width, removed = len(df.columns), [c for c in EDA_DROPPED if c not in df.columns]
+    df = _narrow(
+        df.withColumn("content", F.when(F.col("content").isNotNull(), "")),
+        "annotation_id", "review_id", "content", label, "rating", "word_count",
+        "helpfulness_score", "confidence", "purchased_int",
+    )
     report = df.agg(
         F.count("*").alias("rows"),
         F.count_if(F.col("content").isNull()).alias("missing_content"),
@@ -392,10 +404,9 @@ def summary(df: DataFrame, label: str = "help") -> DataFrame:
         percentage(F.avg("purchased_int")).alias("verified_purchase_rate"),
     )
     median = exact_percentiles(df, ["word_count"], {"p": 0.5})
-    removed = [c for c in EDA_DROPPED if c not in df.columns]
     return report.withColumns(
         {
-            "columns": F.lit(len(df.columns)),
+            "columns": F.lit(width),
             "duplicate_annotation_ids": _duplicates(df, "annotation_id", "d").scalar(),
             "duplicate_review_ids": _duplicates(df, "review_id", "d").scalar(),
             "median_word_count": round_even(median.select("p").scalar(), 2),
@@ -550,10 +561,10 @@ def length_by_label(
     sentences: str | None = "sentence_count",
 ) -> DataFrame:
     """Average and median length per label."""
-    df = df.filter(F.col(label).isNotNull())
     means = {"avg_word_count": words, "avg_char_len": chars}
     if sentences:
         means["avg_sentence_count"] = sentences
+    df = _narrow(df.filter(F.col(label).isNotNull()), label, *means.values())
     report = df.groupBy(label).agg(
         F.count("*").alias("review_count"),
         *[round_even(F.avg(c), 2).alias(out) for out, c in means.items()],

@@ -87,7 +87,10 @@ def correlations(
     """
     columns = list(dict.fromkeys(c for pair in pairs for c in pair))
     place = {c: i for i, c in enumerate(columns)}
-    numbers = df.select(*[F.col(c).cast("double").alias(f"v{i}") for c, i in place.items()])
+    # Written once: the columns may be derived from whole texts, and both passes need them.
+    numbers = materialize(
+        df.select(*[F.col(c).cast("double").alias(f"v{i}") for c, i in place.items()])
+    )
     first = numbers.selectExpr(
         *[f"avg(v{i}) as m{i}" for i in place.values()],
         *[f"count_if(v{i} is null) as n{i}" for i in place.values()],
