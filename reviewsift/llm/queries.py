@@ -6,11 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewsift.llm import byte_bpe, token_count
+from reviewsift.llm import (
+    byte_bpe,
+    decontaminate,
+    exact_dedup,
+    ngram_join,
+    pseudonyms,
+    secrets_scan,
+    sharding,
+    token_count,
+    toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": decontaminate.query,
+    "op2_toxicity": toxicity.query,
+    "op3_exact_dedup": exact_dedup.query,
+    "op4_pseudonyms": pseudonyms.query,
     "op6_token_count": token_count.query,
+    "op7_ngram_join": ngram_join.query,
     "op8_byte_bpe": byte_bpe.query,
+    "op9_secrets": secrets_scan.query,
+    "op10_sharding": sharding.query,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_exact_dedup": exact_dedup.ORACLE,
+}
