@@ -226,9 +226,11 @@ def pseudonymise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     done = cut.withColumn("done", F.transform("matches", rewritten))
     tails = F.concat(F.transform("done", lambda x: F.coalesce(x["new"], x["old"])), F.array(F.lit("")))
     text = F.array_join(F.zip_with("between", tails, lambda a, b: F.concat(a, b)), "")
-    counts = [
-        F.size(F.filter("done", lambda x, kind=kind: (x["kind"] == kind) & x["new"].isNotNull())).cast("long").alias(f"n_{kind}") for kind in SHAPES
-    ]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("done", lambda x: (x["kind"] == kind) & x["new"].isNotNull())).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in SHAPES]
     return done.select("doc_id", F.when(F.col("text").isNotNull(), text).alias("text"), *counts)
 
 

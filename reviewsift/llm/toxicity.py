@@ -7,12 +7,13 @@ are then weighed in their context window: quotation marks around a hit, words of
 and distance from an address to the reader separate quotation from abuse. A logistic model over these
 few features gives the score.
 
-The lexicon and the model are learned from labelled rows only, of those a bounded sample in the
-order of a hash of the id: ``sample`` rows of each label. Everything else reads all rows whole.
+The lexicon is a short fixed list plus what labelled rows teach; words and model are learned from a
+bounded sample of them in the order of a hash of the id: ``sample`` rows of each label. Everything
+else reads all rows whole.
 
 Edge cases: null and empty texts have no hits and get the model's score for that (low). Rows
 with a null id are scored and never learned from. Without toxic or without clean rows to learn
-from, the lexicon is empty and every score is the rate of the labels seen (0 if none).
+from, the fixed list alone is used, with a fixed rule for the score.
 """
 
 from __future__ import annotations
@@ -31,17 +32,27 @@ from reviewsift.session import materialize
 #: Rows of each label that lexicon and model are learned from, at most.
 SAMPLE = 4_000
 THRESHOLD = 0.3
-#: Letters of a stem at least; documents a term must be in; share of them that must be toxic.
-STEM, LEAST_DOCS, PURE = 4, 5, 0.95
+#: Letters of a stem at least; toxic documents a term must be in at least; share of its documents
+#: (each label weighted to one half) that must be toxic.
+STEM, LEAST_DOCS, PURE = 4, 3, 0.95
 MOST_TERMS = 2_000
 WINDOW = 8
 MOST_WORDS = 200_000
 
+#: Terms that need no example: plain English insults, a fixed list.
+SEEDS = (
+    "idiot idiots idiotic moron morons moronic stupid dumb dumbass imbecile fool loser losers pathetic worthless "
+    "scum scumbag trash garbage filth filthy vermin parasite disgusting disgrace clown coward liar freak creep "
+    "jerk bastard bitch asshole shit bullshit fuck fucking whore slut retard retarded cretin degenerate pig swine"
+).split()
+
 _TOKEN = regex.compile(r"\p{L}+|[\"“”„«»‘’]")
 _QUOTES = frozenset("\"“”„«»‘’")
 #: Words of reporting and of address in the four languages of the tables: fixed lists.
 REPORTING = frozenset("said says wrote quoted quote called reported dit écrit cité dijo escribió citó sagte schrieb zitierte".split())
 ADDRESS = frozenset("you your youre u tu toi vous votre usted tú du dich ihr dein".split())
+#: Weights of the features and intercept while there is nothing to learn from.
+UNTAUGHT = (3.0, 1.5, 0.5, 0.5, 0.5, -3.0)
 FEATURES = ("exact", "misspelled", "quoted", "addressed", "dense")
 
 
@@ -199,18 +210,22 @@ def learn_terms(rows: DataFrame) -> list[str]:
     """Words and stems that are nearly only in toxic texts.
 
     A stem is as long as it can be without losing documents. Where one word makes up nearly all
-    of a stem, the word is the term.
+    of a stem, the word is the term. A term must be in so many toxic texts that chance would not put
+    even one of the vocabulary's terms into as many toxic texts and no others.
     """
     totals = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not totals.get(0) or not totals.get(1):
-        return []
+        return sorted(SEEDS)
     words = rows.select("doc_id", "toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))).alias("word")).where(F.length("word") >= STEM)
     ends = F.concat(
         F.array(F.concat("word", F.lit("."))), F.transform(F.sequence(F.lit(STEM), F.least(F.length("word"), F.lit(12))), lambda k: F.substring("word", F.lit(1), k))
     )
     terms = words.select("doc_id", "toxic", F.explode(ends).alias("term")).distinct()
     counts = terms.groupBy("term").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
-    pure = counts.where((F.col("a") >= LEAST_DOCS) & (F.col("a") / totals[1] >= PURE * (F.col("a") / totals[1] + (F.col("n") - F.col("a")) / totals[0])))
+    vocabulary = max(2, counts.count())
+    chance = totals[1] / (totals[0] + totals[1])
+    least = max(LEAST_DOCS, int(np.ceil(np.log(vocabulary) / -np.log(chance))))
+    pure = counts.where((F.col("a") >= least) & (F.col("a") / totals[1] >= PURE * (F.col("a") / totals[1] + (F.col("n") - F.col("a")) / totals[0])))
     found = {r["term"]: (r["a"], r["n"] - r["a"]) for r in pure.orderBy(F.desc("a"), "term").limit(20 * MOST_TERMS).collect()}
     kept: list[str] = []
     covered: set[str] = set()
@@ -226,7 +241,8 @@ def learn_terms(rows: DataFrame) -> list[str]:
         whole = found.get(body + ".")
         alone = whole is not None and whole[0] >= 0.9 * found.get(body, whole)[0]
         kept.append((found.get(body, found[term])[0], body if alone or body not in found else body + "*"))
-    return [term for _, term in sorted(kept, reverse=True)[:MOST_TERMS]]
+    learned = [term for _, term in sorted(kept, reverse=True)[:MOST_TERMS]]
+    return learned + sorted(set(SEEDS) - set(learned))
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -252,9 +268,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> str:
     features = scored_features(rows, terms, keep="toxic")
     collected = features.collect()  # at most two samples of five numbers
     y = np.array([r["toxic"] for r in collected], float)
-    if not terms:
-        rate = float(y.mean()) if len(y) else 0.0
-        return json.dumps({"terms": [], "weights": [0.0] * len(FEATURES), "bias": None, "rate": rate})
+    if len(set(y.tolist())) < 2:
+        return json.dumps({"terms": terms, "weights": list(UNTAUGHT[:-1]), "bias": UNTAUGHT[-1]})
     weights = fit(np.array([r["features"] for r in collected]), y)
     return json.dumps({"terms": terms, "weights": weights[:-1].tolist(), "bias": float(weights[-1])})
 
@@ -278,8 +293,6 @@ def score(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "te
         made = json.loads(model)
         scanner, weights = scanner_of(made["terms"]), np.array(made["weights"])
         found = np.array([scanner.features(t) for t in texts])
-        if made["bias"] is None:
-            return [np.full(len(texts), made["rate"])]
         return [1 / (1 + np.exp(-np.clip(found @ weights + made["bias"], -30, 30)))]
 
     scored = common.map_texts(source, work, f"doc_id {common.id_type(source)}, score double", ["score"])
