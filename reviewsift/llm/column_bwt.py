@@ -23,26 +23,42 @@ _NONE = 255
 
 
 class _File:
-    """A sequential file of records, on the task's scratch disk once it is large."""
+    """A sequential file of records: in memory while small, then on the task's scratch disk."""
 
     def __init__(self) -> None:
-        self.file = tempfile.SpooledTemporaryFile(max_size=IN_MEMORY)
+        self.parts: list[np.ndarray] = []
+        self.disk = None
         self.size = 0
 
     def write(self, records: np.ndarray) -> None:
-        self.file.write(np.ascontiguousarray(records).data)
         self.size += len(records)
+        if self.disk is None and 8 * self.size <= IN_MEMORY:
+            self.parts.append(records)
+            return
+        if self.disk is None:
+            self.disk = tempfile.TemporaryFile()
+            for part in self.parts:
+                self.disk.write(np.ascontiguousarray(part).data)
+            self.parts = []
+        self.disk.write(np.ascontiguousarray(records).data)
 
     def blocks(self) -> Iterator[tuple[int, np.ndarray]]:
-        self.file.seek(0)
         at = 0
+        if self.disk is None:
+            for part in self.parts:
+                for k in range(0, len(part), BLOCK):
+                    yield at, part[k : k + BLOCK]
+                    at += len(part[k : k + BLOCK])
+            return
+        self.disk.seek(0)
         while at < self.size:
-            records = np.frombuffer(self.file.read(8 * BLOCK), np.uint64)
+            records = np.frombuffer(self.disk.read(8 * BLOCK), np.uint64)
             yield at, records
             at += len(records)
 
     def close(self) -> None:
-        self.file.close()
+        if self.disk is not None:
+            self.disk.close()
 
 
 def _pack(strings: np.ndarray, length: int, common: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -107,48 +123,43 @@ def suffixes(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, most: in
             low, high = np.searchsorted(places, [at, at + len(records)])
             mine = places[low:high] - at
             order = np.argsort(bwt, kind="stable")
-            sorted_symbols = bwt[order]
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
             here = np.bincount(bwt, minlength=256)
             first_of = np.cumsum(here) - here
-            fresh = np.zeros(len(records) + 1, bool)
+            fresh = np.zeros(len(records), bool)
             fresh[mine] = True
+            number = np.empty(len(records), np.int32)
+            number[mine] = np.arange(low, high)
             # Occurrences whose common prefix is wanted: new ones, and those behind new ones.
-            spots = rank[mine]
-            heads = first_of[(here > 0) & pending]
-            wanted = np.unique(np.concatenate([spots, spots + 1, heads]))
-            wanted = wanted[wanted < len(order)]
-            kind = sorted_symbols[wanted]
-            is_first = wanted == first_of[kind]
-            fresh_sorted = fresh[order[wanted]]
-            # A head that is neither new nor behind a pending new one was only added as a successor
-            # across symbols: it is left alone.
-            use = (kind > 0) & (~is_first | fresh_sorted | pending[kind])
-            wanted, kind, is_first, fresh_sorted = wanted[use], kind[use], is_first[use], fresh_sorted[use]
+            flags = np.zeros(len(records) + 1, bool)
+            flags[:-1] = fresh[order]
+            flags[1:] |= flags[:-1].copy()
+            flags[first_of[(here > 0) & pending]] = True
+            wanted = np.flatnonzero(flags[:-1])
             to = order[wanted]
+            kind = bwt[to].astype(np.int64)
+            is_first = wanted == first_of[kind]
+            is_fresh = fresh[to]
+            # The successor of the last occurrence of a symbol is one of another symbol: left alone.
+            use = (kind > 0) & (~is_first | is_fresh | pending[kind])
+            wanted, to, kind, is_first, is_fresh = wanted[use], to[use], kind[use], is_first[use], is_fresh[use]
             start = np.where(is_first, 0, order[np.maximum(wanted - 1, 0)] + 1)
             least = _least(common, start, to) if len(to) else np.zeros(0, np.uint8)
-            earlier = is_first & seen[kind]
-            least = np.where(earlier, np.minimum(least, since[kind]), least)
-            alone = is_first & ~seen[kind]
-            value = np.where(alone, 0, np.minimum(least.astype(np.int64) + 1, most)).astype(np.uint8)
+            least = np.where(is_first & seen[kind], np.minimum(least, since[kind]), least)
+            value = np.where(is_first & ~seen[kind], 0, np.minimum(least.astype(np.int64) + 1, most)).astype(np.uint8)
             landing = base[kind] + so_far[kind] + wanted - first_of[kind]
-            place_of = np.searchsorted(mine, to[fresh_sorted]) + low
-            new_places[place_of] = landing[fresh_sorted]
-            new_common[place_of] = value[fresh_sorted]
-            fixed_places.append(landing[~fresh_sorted])
-            fixed_common.append(value[~fresh_sorted])
-            # Carry over to the next block.
-            present = np.flatnonzero(here)
-            last = order[first_of[present] + here[present] - 1]
-            pending[present] = fresh[last]
-            block_least = common.min()
-            since = np.minimum(since, block_least)
-            tail = np.minimum.accumulate(common[::-1])[::-1]
-            since[present] = np.append(tail, np.uint8(_NONE))[last + 1]
-            seen[present] = True
-            so_far += here
+            new_places[number[to[is_fresh]]] = landing[is_fresh]
+            new_common[number[to[is_fresh]]] = value[is_fresh]
+            fixed_places.append(landing[~is_fresh])
+            fixed_common.append(value[~is_fresh])
+            if at + len(records) < file.size:  # carry over to the next block
+                present = np.flatnonzero(here)
+                last = order[first_of[present] + here[present] - 1]
+                pending[present] = fresh[last]
+                since = np.minimum(since, common.min())
+                tail = np.minimum.accumulate(common[::-1])[::-1]
+                since[present] = np.append(tail, np.uint8(_NONE))[last + 1]
+                seen[present] = True
+                so_far += here
         order = np.argsort(new_places, kind="stable")
         active, places, new_common = active[order], new_places[order], new_common[order]
         before = symbol(active, length)

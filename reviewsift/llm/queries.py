@@ -12,6 +12,7 @@ from reviewsift.llm import (
     exact_dedup,
     ngram_join,
     pseudonyms,
+    repeats,
     secrets_scan,
     sharding,
     token_count,
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": toxicity.query,
     "op3_exact_dedup": exact_dedup.query,
     "op4_pseudonyms": pseudonyms.query,
+    "op5_repeats": repeats.query,
     "op6_token_count": token_count.query,
     "op7_ngram_join": ngram_join.query,
     "op8_byte_bpe": byte_bpe.query,
