@@ -43,5 +43,25 @@ def map_texts(df: DataFrame, work, schema: str, columns: list[str]) -> DataFrame
     return df.mapInArrow(run, schema)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut to fewer rows, without empty ones: what is made from them stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
+def keep_rows(df: DataFrame, decide, text_col: str = "text") -> DataFrame:
+    """The rows of a table, all columns, for whose texts ``decide`` (a list to a list of booleans) says yes."""
+    columns = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                kept = pa.array(decide(batch.column(len(columns)).to_pylist()), pa.bool_())
+                yield batch.filter(kept).select(list(range(len(columns))))
+
+    return df.select("*", F.col(text_col).cast("string").alias("_judged")).mapInArrow(run, df.schema)
+
+
 def id_type(df: DataFrame) -> str:
     return df.schema["doc_id"].dataType.simpleString()

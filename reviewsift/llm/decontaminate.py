@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +42,8 @@ SHORT_STEPS = 16
 ANCHORS = 10
 LEAST = 24
 BLOCK = 5_000
+#: Items go to every task, so their size is checked.
+MOST_BYTES = 64 << 20
 SEED = 20_17
 _BUFFER = 1 << 19
 _SPACE = 32
@@ -219,6 +222,46 @@ def _groups(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, group
 
 
+def _sent(items: DataFrame, block: int) -> list[Broadcast]:
+    """The items in blocks, on their way to all tasks. They are a benchmark, not a corpus: more than
+    ``MOST_BYTES`` of them are refused, and the caller gives them in parts."""
+    wanted = items.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).where("item_id is not null and text is not null").distinct()
+    size = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > MOST_BYTES:
+        raise ValueError(f"{size} bytes of items; give them in parts of at most {MOST_BYTES}")
+    listed = sorted((r["item_id"], r["text"]) for r in wanted.toLocalIterator())
+    return [items.sparkSession.sparkContext.broadcast(listed[k : k + block]) for k in range(0, len(listed), block)]
+
+
+_made: dict[tuple, Index] = {}
+
+
+def _indexes(sent: list[Broadcast], similarity: float, walks: int, bits: int, anchors: int) -> list[Index]:
+    """The indexes of all blocks, made once per Python worker."""
+    found = []
+    for items in sent:
+        key = (hash(tuple(items.value)), similarity, walks, bits, anchors)
+        if key not in _made:
+            _made[key] = Index(items.value, similarity, walks, bits, anchors)
+        found.append(_made[key])
+    return found
+
+
+def drop_contaminated(df: DataFrame, items: DataFrame, text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of a table, all columns, in which no item occurs."""
+    sent = _sent(items, BLOCK)
+
+    def clean(texts: list[str | None]) -> list[bool]:
+        kept = [True] * len(texts)
+        for first, group in _groups(texts):
+            for index in _indexes(sent, similarity, WALKS, BITS, ANCHORS):
+                for text, *_ in index.search(group):
+                    kept[first + text] = False
+        return kept
+
+    return common.keep_rows(df, clean, text_col)
+
+
 def find_items(
     df: DataFrame,
     items: DataFrame,
@@ -232,24 +275,17 @@ def find_items(
 ) -> DataFrame:
     """One row per input row: ``doc_id`` and ``hits``, an array of (item_id, start, end, distance)."""
     source = common.narrow(df, id_col, text_col)
-    wanted = items.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).where("item_id is not null and text is not null").distinct()
-    listed = sorted((r["item_id"], r["text"]) for r in wanted.toLocalIterator())
-    blocks = [listed[k : k + block] for k in range(0, len(listed), block)]
+    sent = _sent(items, block)
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("distance", pa.int32())]))
-    sent = [df.sparkSession.sparkContext.broadcast(b) for b in blocks]
-    made: dict[int, Index] = {}
 
     def run(batches):
-        indexes = made
-        for k, b in enumerate(sent):
-            if k not in indexes:
-                indexes[k] = Index(b.value, similarity, walks, bits, anchors)
+        indexes = _indexes(sent, similarity, walks, bits, anchors)
         for batch in batches:
             if not batch.num_rows:
                 continue
             hits: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             for first, group in _groups(batch.column(1).to_pylist()):
-                for index in indexes.values():
+                for index in indexes:
                     for text, item, start, end, distance in index.search(group):
                         hits[first + text].append({"item_id": index.items[item][0], "start": start, "end": end, "distance": distance})
             for row in hits:

@@ -11,8 +11,9 @@ Links join documents whose sets of word shingles have a Jaccard similarity of at
 3. A token in more than ``block`` sets is *frequent*; its list is not paired. A pair can be lost
    by that only if both sets have at least ``spare + 1`` frequent tokens in the index
    (*crowded* sets), so only crowded sets are joined again:
-4. Set relations. Among crowded sets a few leaders are elected (the smallest set id of each list)
-   and compared with all crowded sets through a rarest-first prefix. A set that links with a
+4. Set relations. Among crowded sets a few leaders are elected (of each list the set whose tokens
+   are in most others) and compared with all crowded sets through a rarest-first prefix, again
+   skipping by position. A set that links with a
    leader inherits the leader's answers: two sets that follow the same leader need no comparison,
    and by the triangle inequality of the Jaccard distance a follower of another leader can only
    link with it if it is close enough to that leader. Those boundary cases, and sets that follow
@@ -62,9 +63,7 @@ def _index_rows(df: DataFrame, width: int, percent: int) -> DataFrame:
     """(token, doc_id, n, pos): the indexed places of every set; place 0 of each set is there."""
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in common.slices(batches):
             tokens, sizes, taken = [], [], []
             for found in shingle_sets(batch.column(1).to_pylist(), width):
                 n = len(found)
@@ -119,13 +118,12 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     wanted = near.join(ids, near["doc_id"] == ids["rep"], "left_semi").dropDuplicates(["doc_id"])
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                found = list(shingle_sets(batch.column(1).to_pylist(), width))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([len(x) for x in found], pa.int32()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))],
-                    names=["rep", "n", "tokens"],
-                )
+        for batch in common.slices(batches):
+            found = list(shingle_sets(batch.column(1).to_pylist(), width))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(x) for x in found], pa.int32()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))],
+                names=["rep", "n", "tokens"],
+            )
 
     return wanted.mapInArrow(run, f"rep {common.id_type(docs)}, n int, tokens array<bigint>")
 
@@ -142,18 +140,20 @@ def _similar(percent: int) -> Column:
 
 
 def _prefixes(ordered: DataFrame, percent: int) -> DataFrame:
-    """(rep, n, token): the rarest tokens of each set that a partner must share one of."""
+    """(rep, n, pos, token): the rarest tokens of each set, of which a partner must share one."""
     take = F.col("n") - _share(F.col("n"), percent) + 1
-    return ordered.select("rep", "n", F.explode(F.slice("ordered", F.lit(1), take)).alias("token"))
+    return ordered.select("rep", "n", F.posexplode(F.slice("ordered", F.lit(1), take)).alias("pos", "token"))
 
 
 def _against(leaders: DataFrame, ordered: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Leaders (a) against all crowded sets (b): measured pairs with similarity of at least ``percent``."""
-    index = _prefixes(ordered.join(leaders, "rep", "left_semi"), percent).toDF("a", "na", "token")
-    probe = _prefixes(ordered, percent).toDF("b", "nb", "token")
+    index = _prefixes(ordered.join(leaders, "rep", "left_semi"), percent).toDF("a", "na", "pa", "token")
+    probe = _prefixes(ordered, percent).toDF("b", "nb", "pb", "token")
+    # The first token that two sets share leaves them what stands from there on.
+    left = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     pairs = (
         index.join(probe, "token")
-        .where((F.col("a") != F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
+        .where((F.col("a") != F.col("b")) & (left >= _need(F.col("na"), F.col("nb"), percent)))
         .select("a", "b")
         .distinct()
     )
@@ -164,20 +164,22 @@ def _crowded_links(crowded: DataFrame, sets: DataFrame, links: DataFrame, percen
     """Links among crowded sets (step 4), given the links found so far."""
     own = sets.join(crowded, "rep", "left_semi")
     tokens = own.select("rep", "n", F.explode("tokens").alias("token"))
-    counts = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("rep").alias("leader"))
+    counts = tokens.groupBy("token").agg(F.count("*").alias("df"))
     ordered = materialize(
         tokens.join(counts, "token")
         .groupBy("rep", "n")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("sorted"))
-        .select("rep", "n", F.col("sorted.token").alias("ordered"))
+        .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("sorted"), F.avg("df").alias("central"))
+        .select("rep", "n", F.col("sorted.token").alias("ordered"), "central")
     )
+    # A set stands in the middle of its family if its tokens are in many others.
+    tokens = ordered.select("rep", F.struct("central", "rep").alias("rank"), F.explode("ordered").alias("token"))
     # Twice the distance that a link allows: followers of one leader and of another.
     wide = 100 - 2 * (100 - percent)
     left = crowded
     measured = None
     for _ in range(ROUNDS):
         mine = tokens.join(left, "rep", "left_semi")
-        best = mine.groupBy("token").agg(F.min("rep").alias("leader"))
+        best = mine.groupBy("token").agg(F.max("rank").alias("best")).select("token", F.col("best.rep").alias("leader"))
         leaders = (
             mine.join(best, "token")
             .groupBy("rep", "leader")

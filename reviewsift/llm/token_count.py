@@ -141,7 +141,7 @@ def count_tokens(
 
     def mapped(batches):
         of = counter(path)
-        for batch in batches:
+        for batch in common.slices(batches, 64):
             maps = [of.chunk_map(t) for t in batch.column(3).to_pylist()]
             sizes = [len(t.encode("utf-8")) for t in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays(

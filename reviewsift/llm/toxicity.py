@@ -285,15 +285,24 @@ def scored_features(rows: DataFrame, terms: list[str], keep: str) -> DataFrame:
     return rows.select(keep, "text").mapInArrow(run, f"{keep} int, features array<double>")
 
 
+def scores(model: str, texts: list[str | None]) -> np.ndarray:
+    made = json.loads(model)
+    scanner = scanner_of(made["terms"])
+    found = np.array([scanner.features(t) for t in texts])
+    return 1 / (1 + np.exp(-np.clip(found @ np.array(made["weights"]) + made["bias"], -30, 30)))
+
+
+def drop_toxic(df: DataFrame, model: str, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of a table, all columns, whose score is below the threshold."""
+    return common.keep_rows(df, lambda texts: scores(model, texts) < threshold, text_col)
+
+
 def score(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per input row: ``doc_id, held_out, score, predicted, n_exact, n_misspelled``..."""
+    """One row per input row: ``doc_id, held_out, score, predicted``."""
     source = common.narrow(df, id_col, text_col)
 
     def work(texts):
-        made = json.loads(model)
-        scanner, weights = scanner_of(made["terms"]), np.array(made["weights"])
-        found = np.array([scanner.features(t) for t in texts])
-        return [1 / (1 + np.exp(-np.clip(found @ weights + made["bias"], -30, 30)))]
+        return [scores(model, texts)]
 
     scored = common.map_texts(source, work, f"doc_id {common.id_type(source)}, score double", ["score"])
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
