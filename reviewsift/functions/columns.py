@@ -14,6 +14,12 @@ from pyspark.sql import Column, functions as F, types as T
 WHITE_SPACE = r"\s\x1c-\x1f\x85\p{Z}"
 
 
+# Fixed value: the same characters one by one.
+WHITE_CHARACTERS = "".join(
+    map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+)
+
+
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -24,7 +30,7 @@ def text_or_empty(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Remove leading and trailing white space of any kind (``trim`` removes spaces only)."""
-    return F.regexp_replace(col(c), rf"^[{WHITE_SPACE}]+|[{WHITE_SPACE}]+\z", "")
+    return F.btrim(col(c), F.lit(WHITE_CHARACTERS))
 
 
 def collapse(c: Column | str) -> Column:
@@ -33,8 +39,18 @@ def collapse(c: Column | str) -> Column:
 
 
 def word_count(c: Column | str) -> Column:
-    """Number of white-space separated words; 0 for an empty text."""
-    return F.regexp_count(col(c), F.lit(rf"[^{WHITE_SPACE}]+"))
+    """Number of white-space separated words; 0 for an empty text.
+
+    Every white-space character becomes a blank, runs of blanks become one, and the blanks left
+    inside are counted: no array of words is built.
+    """
+    others = WHITE_CHARACTERS.replace(" ", "")
+    blank = F.trim(F.translate(col(c), others, " " * len(others)))
+    single = blank
+    for run in (" " * 32, " " * 8, " " * 4, "  ", "  "):
+        single = F.replace(single, F.lit(run), F.lit(" "))
+    words = F.length(single) - F.length(F.replace(single, F.lit(" "), F.lit(""))) + 1
+    return F.when(blank == "", 0).otherwise(words).cast("int")
 
 
 def char_count(c: Column | str, symbol: str) -> Column:

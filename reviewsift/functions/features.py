@@ -8,7 +8,7 @@ from reviewsift.functions.columns import (
     bool_int, char_count, class_count, clip, col, digit_count, flags_array, matches, quote,
     strip, text_or_empty, word_count,
 )
-from reviewsift.functions.terms import found_terms, has_any, hits
+from reviewsift.functions.terms import decisive, found_terms, has_any, hits
 from reviewsift.functions.text import join_title
 from reviewsift.lexicon import Lexicon, VIETNAMESE
 from reviewsift.schemas import METADATA_FEATURES
@@ -98,7 +98,7 @@ def quantity_pattern(lexicon: Lexicon) -> str:
 
 def reason_terms(lexicon: Lexicon) -> tuple[str, ...]:
     """Every term the reason codes look for."""
-    return (*lexicon.feature_words, *lexicon.pros, *lexicon.cons)
+    return (*lexicon.feature_words, *decisive(lexicon.pros), *decisive(lexicon.cons))
 
 
 def _codes(text: Column, words: Column, found: Column, lexicon: Lexicon) -> Column:

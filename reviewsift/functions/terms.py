@@ -1,54 +1,35 @@
 """Matching many terms and pattern families in few passes over a text.
 
-A rubric looks for a few hundred terms in every review. Scanning the text once per term costs
-more than anything else in the job, so all terms are searched in one pass by an automaton in
-an Arrow UDF; the result is a short array of the terms found, and every list of the rubric is
-then a native array expression over it.
+A rubric looks for a few hundred terms in every review. Each distinct term is searched once, as a
+native substring test; the result is a short array of the terms found, and every list of the
+rubric is then an array expression over it. Lists that only ask whether *any* term occurs need
+just their shortest terms: one that contains another of the list decides nothing.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Sequence
-from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
 
 from reviewsift.functions.columns import matches
 
-try:
-    import ahocorasick
-except ImportError:  # the native form below gives the same result
-    ahocorasick = None
-
-_STRINGS = T.ArrayType(T.StringType())
-
-
-@lru_cache(maxsize=8)
-def _automaton(terms: tuple[str, ...]):
-    """Built once per Python worker and term list."""
-    machine = ahocorasick.Automaton()
-    for term in terms:
-        machine.add_word(term, term)
-    machine.make_automaton()
-    return machine
-
 
 def found_terms(text: Column, terms: Iterable[str]) -> Column:
-    """The distinct terms that occur in a text as substrings (array of strings)."""
+    """The distinct terms that occur in a text as substrings (array of strings, NULL for NULL)."""
     known = tuple(dict.fromkeys(t for t in terms if t))
     if not known:
         return F.array().cast("array<string>")
-    if ahocorasick is None:
-        return F.array_compact(F.array(*[F.when(text.contains(t), F.lit(t)) for t in known]))
+    found = F.array_compact(F.array(*[F.when(text.contains(t), F.lit(t)) for t in known]))
+    return F.when(text.isNotNull(), found)
 
-    @F.pandas_udf(_STRINGS)
-    def search(texts: pd.Series) -> pd.Series:
-        find = _automaton(known).iter
-        return texts.map(lambda t: sorted({term for _, term in find(t)}), na_action="ignore")
 
-    return search(text)
+def decisive(terms: Sequence[str]) -> tuple[str, ...]:
+    """The terms of a list that contain no other of its terms: a text holds one of these exactly
+    if it holds one of the list."""
+    distinct = tuple(dict.fromkeys(t for t in terms if t))
+    return tuple(t for t in distinct if not any(o != t and o in t for o in distinct))
 
 
 def literal_array(terms: Sequence[str]) -> Column:
@@ -58,8 +39,9 @@ def literal_array(terms: Sequence[str]) -> Column:
 
 
 def has_any(found: Column, terms: Sequence[str]) -> Column:
-    """Whether one of the terms is among the found ones."""
-    return F.arrays_overlap(literal_array(terms), found) if terms else F.lit(False)
+    """Whether one of the terms occurs; ``found`` holds at least the :func:`decisive` ones."""
+    shortest = decisive(terms)
+    return F.arrays_overlap(literal_array(shortest), found) if shortest else F.lit(False)
 
 
 def hits(found: Column, terms: Sequence[str]) -> Column:
@@ -72,17 +54,37 @@ _PLAIN = r"[^()|\\.\[\]{}?*+^$]+"
 _LEADING_GROUP = re.compile(rf"^\(({_PLAIN}(?:\|{_PLAIN})*)\)(.*)$", re.DOTALL)
 
 
+def _branches(rest: str) -> bool:
+    """Whether a ``|`` stands outside all groups and classes, so that the start of the pattern
+    is only one of its branches."""
+    depth, at, in_class = 0, 0, False
+    while at < len(rest):
+        c = rest[at]
+        if c == "\\":
+            at += 1
+        elif in_class:
+            in_class = c != "]" or rest[at - 1] == "[" or rest[at - 2 : at] == "[^"
+        elif c == "[":
+            in_class = True
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and depth == 0:
+            return True
+        at += 1
+    return False
+
+
 def leading_terms(pattern: str) -> tuple[tuple[str, ...], bool]:
-    """(alternatives a pattern starts with, whether they are the whole pattern)."""
+    """(alternatives a pattern has to start with, whether they are the whole pattern)."""
     match = _LEADING_GROUP.match(pattern)
-    if not match or match.group(2)[:1] in ("?", "*", "{"):
+    if not match or match.group(2)[:1] in ("?", "*", "{") or _branches(match.group(2)):
         return (), False
     return tuple(match.group(1).split("|")), match.group(2) == ""
 
 
 def pattern_terms(patterns: Iterable[str]) -> list[str]:
     """Every term that decides or gates one of the patterns."""
-    return [term for p in patterns for term in leading_terms(p)[0]]
+    return [term for p in patterns for term in decisive(leading_terms(p)[0])]
 
 
 def occurs(text: Column, found: Column, pattern: str) -> Column:

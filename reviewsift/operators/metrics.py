@@ -7,12 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from reviewsift.functions.columns import round_even, safe_div
-from reviewsift.operators.ordering import running_sums
+from reviewsift.operators.ordering import with_running_sums
 from reviewsift.operators.reports import describe
 from reviewsift.schemas import LABEL_NAMES
+from reviewsift.session import materialize
 
 METRIC_NAMES = ("accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc")
-MAX_LAZY_DIGITS = 5
 
 
 def confusion(
@@ -29,29 +29,20 @@ def confusion(
 
 
 def ranking_metrics(
-    df: DataFrame, label: str, score: str, by: Sequence[str] = (), digits: int | None = None
+    df: DataFrame, label: str, score: str, by: Sequence[str] = ()
 ) -> DataFrame:
     """Exact ROC-AUC (ties count half) and average precision per group.
 
-    Rows are counted per distinct score first. With ``digits`` scores are rounded, so a group
-    has at most 10^digits + 1 levels; without it the level table is range-partitioned when it
-    is large. AUC is NULL and average precision 0 without positives; AUC is NULL without
-    negatives.
+    Rows are counted per distinct score first, scores as they are; the level table is
+    range-partitioned. AUC is NULL and average precision 0 without positives; AUC is NULL
+    without negatives.
     """
-    value = F.col(score).cast("double")
-    if digits is not None:
-        value = F.round(value, digits)
-    levels = df.groupBy(*by, value.alias("_score")).agg(
+    levels = df.groupBy(*by, F.col(score).cast("double").alias("_score")).agg(
         F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("_pos"),
         F.sum(F.when(F.col(label) == 0, 1).otherwise(0)).alias("_neg"),
     )
-    bounded = digits is not None and digits <= MAX_LAZY_DIGITS
-    summed = running_sums(
-        levels,
-        [F.col("_score").desc()],
-        {"_tp": F.col("_pos"), "_fp": F.col("_neg")},
-        by,
-        bounded=bounded,
+    summed = with_running_sums(
+        materialize(levels), [F.col("_score").desc()], {"_tp": F.col("_pos"), "_fp": F.col("_neg")}, by
     )
     precision = F.col("_tp") / (F.col("_tp") + F.col("_fp"))
     # Each negative is beaten by the positives above it and ties with those at its level.
@@ -75,7 +66,6 @@ def binary_metrics(
     pred: str = "pred",
     score: str = "proba_helpful",
     by: Sequence[str] = (),
-    digits: int | None = None,
     rounded: int | None = None,
 ) -> DataFrame:
     """Accuracy, precision, recall, F1, ROC-AUC, average precision and the confusion
@@ -90,7 +80,7 @@ def binary_metrics(
             "f1": safe_div(2 * tp, 2 * tp + fp + fn, 0.0),
         }
     )
-    ranks = ranking_metrics(df, label, score, by, digits)
+    ranks = ranking_metrics(df, label, score, by)
     if by:
         named = ranks.withColumnsRenamed({b: f"_r_{b}" for b in by})
         condition = F.lit(True)
@@ -160,11 +150,11 @@ def class_report(df: DataFrame, label: str = "label", pred: str = "pred", rounde
     return counts.select(F.explode(F.array(*classes)).alias("_c")).select("_c.*")
 
 
-def oof_report(oof: DataFrame, digits: int | None = None) -> dict[str, DataFrame]:
+def oof_report(oof: DataFrame) -> dict[str, DataFrame]:
     """Pooled metrics, per-class report, confusion counts and auxiliary predictions."""
     quartiles = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
     return {
-        "metrics": binary_metrics(oof, digits=digits),
+        "metrics": binary_metrics(oof),
         "classes": class_report(oof),
         "confusion": oof.groupBy("label", "pred").agg(F.count("*").alias("count")),
         "auxiliary": describe(oof, ["pred_helpfulness_score", "pred_confidence"], quartiles),

@@ -70,8 +70,14 @@ def with_running_sums(
     order: Sequence[Column],
     sums: dict[str, Column],
     by: Sequence[str] = (),
+    totals_as: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Add inclusive running sums per group in a total order; keys are output names."""
+    """Add inclusive running sums per group in a total order; keys are output names.
+
+    ``totals_as`` maps a sum to a column for its group total, which comes with the offsets.
+    ``df`` is read twice (range boundaries are sampled first), so it should be a stored table.
+    """
+    totals_as = totals_as or {}
     placed = _placed(df.withColumns({f"_w_{n}": w for n, w in sums.items()}), by, order)
     totals = placed.groupBy("_part", *by).agg(
         *[F.sum(f"_w_{n}").alias(f"_t_{n}") for n in sums]
@@ -81,6 +87,7 @@ def with_running_sums(
         "_part",
         *by,
         *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in sums],
+        *[F.sum(f"_t_{n}").over(W.partitionBy(*by)).alias(out) for n, out in totals_as.items()],
     )
     # One partition's share of one group: never more rows than a range partition holds.
     local = W.partitionBy("_part", *by).orderBy("_slot").rowsBetween(W.unboundedPreceding, 0)
@@ -89,29 +96,3 @@ def with_running_sums(
     joined = joined.withColumns({n: F.col(f"_l_{n}") + F.col(f"_b_{n}") for n in sums})
     drop = ["_slot", "_part"] + [f"_{k}_{n}" for n in sums for k in "wlb"]
     return joined.drop(*drop)
-
-
-# A value table up to this many rows is summed in one window per group; larger ones are
-# range-partitioned first.
-SMALL_TABLE_ROWS = 100_000
-
-
-def running_sums(
-    df: DataFrame,
-    order: Sequence[Column],
-    sums: dict[str, Column],
-    by: Sequence[str] = (),
-    bounded: bool = False,
-    stored: bool = False,
-) -> DataFrame:
-    """Running sums over an aggregated table, choosing the plan by a checked size.
-
-    ``bounded=True`` states that the table is small by construction (few distinct rounded
-    values), which keeps the whole plan lazy; ``stored=True`` that it is a written table.
-    """
-    if not bounded:
-        df = df if stored else materialize(df)
-        if df.limit(SMALL_TABLE_ROWS + 1).count() > SMALL_TABLE_ROWS:
-            return with_running_sums(df, order, sums, by)
-    window = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumns({n: F.sum(w).over(window) for n, w in sums.items()})

@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from reviewsift.operators.ordering import with_position
 
-TAKE_ORDERED_MAX = 10_000
-
 
 def rank_reviews(
     df: DataFrame,
@@ -26,12 +24,11 @@ def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) ->
     """The first k rows per group.
 
     Every task keeps only its own k best rows per group before the shuffle, so a hot group
-    never travels whole.
+    never travels whole. Without groups rows are cut by their global position: k may be
+    anything, and no task gathers k rows.
     """
     if not by:
-        return df.orderBy(*order).limit(k).withColumn(
-            "rank", F.row_number().over(W.orderBy(*order))
-        )
+        return with_position(df, order, output="rank", start=1).filter(F.col("rank") <= k)
     return df.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter(
         F.col("rank") <= k
     )
@@ -82,13 +79,8 @@ def assign_batches(
 def work_slice(
     df: DataFrame, start: int, limit: int | None, order: Sequence[Column]
 ) -> DataFrame:
-    """Rows start..start+limit in a stable order.
-
-    Small slices use a bounded top-n; larger ones are cut by global position, because a plain
-    limit gathers its rows in one task.
-    """
-    if limit is not None and start + limit <= TAKE_ORDERED_MAX:
-        return df.orderBy(*order).offset(start).limit(limit)
+    """Rows start..start+limit in a stable order, cut by global position, because a plain
+    limit gathers its rows in one task."""
     inside = F.col("_position") >= start
     if limit is not None:
         inside = inside & (F.col("_position") < start + limit)

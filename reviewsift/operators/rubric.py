@@ -10,7 +10,7 @@ from reviewsift.functions.columns import (
     WHITE_SPACE, bool_int, collapse, flags_array, nfc, quote, python_regex, round_even,
     text_or_empty,
 )
-from reviewsift.functions.terms import found_terms, has_any, hits
+from reviewsift.functions.terms import decisive, found_terms, has_any, hits
 from reviewsift.functions.text import join_title
 from reviewsift.lexicon import Lexicon, VIETNAMESE
 from reviewsift.messages import RUBRIC_REASONS
@@ -44,15 +44,19 @@ def is_generic(content: Column, lexicon: Lexicon) -> Column:
 def score_terms(lexicon: Lexicon) -> tuple[str, ...]:
     """Every term the points and flags look for in the content."""
     return (
-        *lexicon.attributes, *lexicon.decision, *lexicon.defects, *lexicon.experience,
-        *lexicon.shipping, *lexicon.spam, *lexicon.seller, *lexicon.comparison,
-        *lexicon.size_fit, *lexicon.durability, *lexicon.packaging,
+        *lexicon.attributes, *lexicon.decision, *lexicon.defects,
+        *decisive(lexicon.experience), *decisive(lexicon.shipping), *decisive(lexicon.spam),
+        *decisive(lexicon.seller), *decisive(lexicon.comparison), *decisive(lexicon.size_fit),
+        *decisive(lexicon.durability), *decisive(lexicon.packaging),
     )
 
 
 def refine_terms(lexicon: Lexicon) -> tuple[str, ...]:
     """Every term the flag refinement looks for in title and content."""
-    return (*lexicon.refine_defects, *lexicon.refine_durability, *lexicon.refine_comparison)
+    return (
+        *decisive(lexicon.refine_defects), *decisive(lexicon.refine_durability),
+        *decisive(lexicon.refine_comparison),
+    )
 
 
 def _signals(df: DataFrame, lexicon: Lexicon) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from reviewsift.operators.ordering import running_sums
+from reviewsift.operators.ordering import with_running_sums
 from reviewsift.session import materialize
 
 
@@ -37,14 +37,9 @@ def percentiles_of(
 ) -> DataFrame:
     """Percentiles of a table of :func:`value_levels`."""
     keys = [*by, "column"]
-    ranked = running_sums(levels, [F.col("value")], {"upto": F.col("n")}, keys, stored=True)
-    totals = levels.groupBy(*keys).agg(F.sum("n").alias("total")).withColumnsRenamed(
-        {k: f"_k_{k}" for k in keys}
+    ranked = with_running_sums(
+        levels, [F.col("value")], {"upto": F.col("n")}, keys, totals_as={"upto": "total"}
     )
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    ranked = ranked.join(totals, condition).drop(*[f"_k_{k}" for k in keys])
     picks = []
     for name, p in percentages.items():
         place = F.lit(float(p)) * (F.col("total") - 1)

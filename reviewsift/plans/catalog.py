@@ -1463,7 +1463,7 @@ def _known(spark, d):
 
 @query("m12_binary_metrics", o.sql(PRED, WHOLE + f"select {METRIC_COLUMNS} from mt"))
 def m12(spark, d):
-    return metrics.binary_metrics(_known(spark, d), digits=4, rounded=6)
+    return metrics.binary_metrics(_known(spark, d), rounded=6)
 
 
 @query("m12_metrics_by_fold", o.sql(PRED, PER_FOLD + f"select fold, model, {METRIC_COLUMNS} from mt"))
@@ -1480,7 +1480,7 @@ _SUMMARY = ", ".join(
 
 @query("m13_cv_summary", o.sql(PRED, PER_FOLD + f"select model, {_SUMMARY} from mt group by model"))
 def m13(spark, d):
-    return metrics.cv_summary(metrics.binary_metrics(_known(spark, d), by=["fold", "model"], digits=4))
+    return metrics.cv_summary(metrics.binary_metrics(_known(spark, d), by=["fold", "model"]))
 
 
 @query("m13_ablation_delta", o.sql(PRED, PER_FOLD + f"""
@@ -1488,7 +1488,7 @@ def m13(spark, d):
     {o.rnd("avg(case when model = 'fr' then f1 end)", 6)} as extended_mean,
     {o.rnd("avg(case when model = 'fr' then f1 end) - avg(case when model = 'en' then f1 end)", 6)} as delta from mt"""))
 def m13_delta(spark, d):
-    scores = metrics.binary_metrics(_known(spark, d), by=["fold", "model"], digits=4)
+    scores = metrics.binary_metrics(_known(spark, d), by=["fold", "model"])
     return metrics.ablation_delta(scores, "en", "fr")
 
 
@@ -1509,7 +1509,7 @@ def m14_confusion(spark, d):
     rows = _known(spark, d).withColumns(
         {"pred_helpfulness_score": F.col("proba_helpful"), "pred_confidence": F.col("proba_helpful")}
     )
-    return metrics.oof_report(rows, digits=4)["confusion"]
+    return metrics.oof_report(rows)["confusion"]
 
 
 @query("m15_train_and_predict", TRAINED + "select annotation_id, true as consistent, true as valid, 'stacked_trees' as model_variant from t")

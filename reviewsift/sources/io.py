@@ -18,38 +18,31 @@ def read_reviews(
 ) -> DataFrame:
     """Typed scan of reviews, CSV or parquet by path suffix (or ``fmt``).
 
-    CSV columns are found by header name whatever their order, quoted fields may span lines,
-    and values are cast with the given schema (bad values become NULL).
+    Columns are found by name whatever their order and must all be there; values of another type
+    are cast with the given schema (bad values become NULL). Quoted CSV fields may span lines.
     """
     fmt = fmt or ("csv" if path.rstrip("/").endswith(".csv") else "parquet")
     if fmt == "parquet":
-        return spark.read.parquet(path)
-    raw = spark.read.options(**CSV_OPTIONS).csv(path)
-    raw = raw.withColumnsRenamed({raw.columns[0]: raw.columns[0].lstrip("\ufeff")})
+        raw = spark.read.parquet(path)
+    else:
+        raw = spark.read.options(**CSV_OPTIONS).csv(path)
+        raw = raw.withColumnsRenamed({raw.columns[0]: raw.columns[0].lstrip("\ufeff")})
     require_columns(raw, schema.names)
-    return raw.withColumns(
-        {
-            f.name: F.col(f.name).try_cast(f.dataType)
-            for f in schema.fields
-            if not isinstance(f.dataType, T.StringType)
-        }
-    )
-
-
-SMALL_SCAN_BYTES = 1 << 30
+    given = {f.name: f.dataType for f in raw.schema.fields}
+    casts = {
+        f.name: F.col(f.name).try_cast(f.dataType) for f in schema.fields if given[f.name] != f.dataType
+    }
+    return raw.withColumns(casts) if casts else raw
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a small scan over all cores before CPU-heavy work.
+    """Deal out a table of fewer files than cores before CPU-heavy work.
 
-    A small table is often one row group, hence one task. Larger scans split by themselves
-    and are left alone, so no shuffle of big texts is ever added.
+    A table in a single small file is often one row group, hence one task. Tables of many files
+    split by themselves and are left alone: no shuffle of big texts is ever added.
     """
     parallelism = df.sparkSession.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) >= SMALL_SCAN_BYTES or len(df.inputFiles()) >= parallelism:
-        return df
-    return df.repartition(parallelism)
+    return df if len(df.inputFiles()) >= parallelism else df.repartition(parallelism)
 
 
 def read_batches(

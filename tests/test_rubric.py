@@ -1,3 +1,4 @@
+import random
 import unicodedata
 
 import pytest
@@ -58,11 +59,25 @@ def test_hand_worked_rows(spark):
         check(row, expected)
 
 
-def test_native_matching_gives_the_same_rows(spark, monkeypatch):
-    monkeypatch.setattr(terms, "ahocorasick", None)
-    rows = [r for r in ROWS if r[0] is None or unicodedata.is_normalized("NFC", r[0])]
-    for row, expected in zip(scored(spark, rows, normalize=False), rows):
-        check(row, expected)
+def test_decisive_terms_decide():
+    assert terms.decisive(("ab", "abc", "x", "xab", "", "ab")) == ("ab", "x")
+
+
+def test_gate_agrees_with_the_regex(spark):
+    """Patterns that start with a group, with branches, nested groups, classes and escapes after it."""
+    rng = random.Random(3)
+    tails = ["x", "|c", "x|c", "(y|z)", "(y|z)|c", "[|]", r"\|", "[^|]c", "(?:a|(b|c))x", "+", ".{0,3}c|x", "[]|]x"]
+    patterns = ["(a|b)" + "".join(rng.sample(tails, rng.randint(0, 3))) for _ in range(60)]
+    texts = ["", None] + ["".join(rng.choice("abcxyz|") for _ in range(rng.randint(1, 6))) for _ in range(60)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    df = df.withColumn("found", terms.found_terms(F.col("t"), terms.pattern_terms(patterns)))
+    wrong = df.select(
+        *[
+            F.count_if(~terms.occurs(F.col("t"), F.col("found"), p).eqNullSafe(F.col("t").rlike(p))).alias(str(i))
+            for i, p in enumerate(patterns)
+        ]
+    ).first()
+    assert not any(wrong), [p for p, n in zip(patterns, wrong) if n]
 
 
 def test_missing_human_column_counts_as_uncertain(spark):

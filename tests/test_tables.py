@@ -208,15 +208,21 @@ def test_positions_with_null_groups(spark):
     assert sorted((r["g"] or "", r["v"], r["position"]) for r in rows) == [("", 1, 0), ("", 2, 1), ("a", 1, 0)]
 
 
-def test_running_sums_both_plans(spark, monkeypatch):
+def test_running_sums_and_totals(spark):
     data, df = skewed(spark, 600)
     keyed = df.withColumn("w", F.col("original_index") % 5)
     order = [F.col("helpfulness_score"), F.col("original_index")]
-    small = ordering.running_sums(keyed, order, {"s": F.col("w")}, ["product_id"])
-    monkeypatch.setattr(ordering, "SMALL_TABLE_ROWS", 10)
-    large = ordering.running_sums(keyed, order, {"s": F.col("w")}, ["product_id"])
-    pick = lambda t: sorted((r["original_index"], r["s"]) for r in t.collect())
-    assert pick(small) == pick(large)
+    summed = ordering.with_running_sums(keyed, order, {"s": F.col("w")}, ["product_id"], totals_as={"s": "all"})
+    groups = {}
+    for r in sorted(keyed.collect(), key=lambda r: (r["helpfulness_score"], r["original_index"])):
+        groups.setdefault(r["product_id"], []).append(r)
+    want = {}
+    for rows in groups.values():
+        upto = 0
+        for r in rows:
+            upto += r["w"]
+            want[r["original_index"]] = (upto, sum(x["w"] for x in rows))
+    assert {r["original_index"]: (r["s"], r["all"]) for r in summed.collect()} == want
 
 
 def test_samples_are_seeded_and_sized(spark):
@@ -242,23 +248,25 @@ def test_folds_are_balanced_and_deterministic(spark):
     assert all(r["gap"] <= 1 and r["n"] == 4 for r in sizes)
 
 
-def test_slices_agree_across_plans(spark, monkeypatch):
+def test_slices_are_cut_by_position(spark):
     _, df = skewed(spark, 400)
-    small = ranking.work_slice(df, 50, 100, [F.col("original_index")])
-    monkeypatch.setattr(ranking, "TAKE_ORDERED_MAX", 0)
-    large = ranking.work_slice(df, 50, 100, [F.col("original_index")])
+    part = ranking.work_slice(df, 50, 100, [F.col("original_index")])
     rest = ranking.work_slice(df, 390, None, [F.col("original_index")])
     ids = lambda t: sorted(r["original_index"] for r in t.collect())
-    assert ids(small) == ids(large) == list(range(50, 150))
+    assert ids(part) == list(range(50, 150))
     assert ids(rest) == list(range(390, 400))
 
 
+def test_global_top_k(spark):
+    _, df = skewed(spark, 400)
+    best = ranking.top_k(df, [], [F.col("original_index").desc()], 30)
+    assert sorted((r["rank"], r["original_index"]) for r in best.collect()) == [(k + 1, 399 - k) for k in range(30)]
+
+
 # --- statistics and metrics -------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("limit", [10**6, 5])
-def test_percentiles_equal_numpy(spark, monkeypatch, limit):
-    monkeypatch.setattr(ordering, "SMALL_TABLE_ROWS", limit)
+def test_percentiles_equal_numpy(spark):
     rng = np.random.default_rng(1)
     groups = {"a": rng.integers(0, 9, 200), "b": rng.normal(size=51), "c": np.array([3.0])}
     data = [(g, float(x)) for g, xs in groups.items() for x in xs] + [("a", None), ("c", float("nan"))]
@@ -294,9 +302,7 @@ def brute_metrics(labels, scores):
     return auc, ap
 
 
-@pytest.mark.parametrize("limit", [10**6, 3])
-def test_metrics_equal_brute_force(spark, monkeypatch, limit):
-    monkeypatch.setattr(ordering, "SMALL_TABLE_ROWS", limit)
+def test_metrics_equal_brute_force(spark):
     rng = random.Random(8)
     scores = [rng.randrange(12) / 12 for _ in range(120)]
     labels = [int(rng.random() < s) for s in scores]
@@ -306,13 +312,21 @@ def test_metrics_equal_brute_force(spark, monkeypatch, limit):
     auc, ap = brute_metrics(labels, scores)
     assert abs(row["roc_auc"] - auc) < 1e-12 and abs(row["pr_auc"] - ap) < 1e-12
     assert row["tp"] + row["fp"] + row["fn"] + row["tn"] == 120
-    lazy = metrics.binary_metrics(df, digits=4).first()
-    assert abs(lazy["roc_auc"] - auc) < 1e-9
+
+
+def test_metrics_of_scores_that_differ_in_late_digits(spark):
+    rng = random.Random(9)
+    scores = [0.5 + rng.random() * 1e-9 for _ in range(200)]
+    labels = [int(rng.random() < 0.4) for _ in scores]
+    df = spark.createDataFrame([(l, s, 1) for l, s in zip(labels, scores)], "label int, proba_helpful double, pred int")
+    row = metrics.binary_metrics(df).first()
+    auc, ap = brute_metrics(labels, scores)
+    assert abs(row["roc_auc"] - auc) < 1e-12 and abs(row["pr_auc"] - ap) < 1e-12
 
 
 def test_metrics_of_one_class(spark):
     df = spark.createDataFrame([(0, 0.2, 0), (0, 0.9, 1)], "label int, proba_helpful double, pred int")
-    row = metrics.binary_metrics(df, digits=4).first()
+    row = metrics.binary_metrics(df).first()
     assert row["roc_auc"] is None and row["pr_auc"] == 0.0
     assert (row["precision"], row["recall"], row["f1"], row["accuracy"]) == (0.0, 0.0, 0.0, 0.5)
 
