@@ -115,8 +115,13 @@ def assign(
         )
     )
     groups = ordered.groupBy("text_key").agg(F.count("*").alias("copies"), F.min("start").alias("group_start"), F.sum("size").alias("group_size"))
-    whole = groups.where((F.col("copies") > 1) & (F.col("group_size") <= group_share * total / shards)).drop("copies")
-    joined = ordered.join(whole, "text_key", "left")
+    most = group_share * total / shards
+    # Larger groups are at most shards / group_share in number: few enough to go to every task. Their
+    # rows are placed one by one and need no join, so no task meets all copies of a text.
+    large = F.broadcast(groups.where(F.col("group_size") > most).select("text_key"))
+    whole = groups.where((F.col("copies") > 1) & (F.col("group_size") <= most)).drop("copies")
+    single = ordered.join(large, "text_key", "left_semi").select("*", *(F.lit(None).cast("long").alias(c) for c in ("group_start", "group_size")))
+    joined = ordered.join(large, "text_key", "left_anti").join(whole, "text_key", "left").unionByName(single)
     twice = F.coalesce(2 * F.col("group_start") + F.col("group_size"), 2 * F.col("start") + F.col("size"))
     sharded = joined.withColumn("shard", F.least(F.lit(shards - 1), F.floor(twice * shards / F.lit(float(2 * max(total, 1)))).cast("int")))
     first = sharded.groupBy("shard").agg(F.min("place").alias("first"))
