@@ -5,10 +5,11 @@ it stands on and moves on if a random bit of (j, symbol) says so. Strings at a s
 fall back into step with each other, so their sequences differ in few places (Hamming distance).
 Bit sampling over those sequences is a locality-sensitive hash: ``bits`` random places are hashed,
 in ``walks`` repetitions with walks of their own. Windows begin at *anchors*, words whose first
-two bytes belong to a set chosen so that every item has at least ``anchors`` of them (rarest
+three bytes belong to a set chosen so that every item has at least ``anchors`` of them (rarest
 first); each anchor of an item stands for the item-sized window around it, so an item is found if
-any of its anchors meets in any repetition. Each window that meets is compared with the item by
-exact edit distance (bit-parallel, best substring).
+any of its anchors meets in any repetition. A walk stops early where its first half of the bits
+meets no item. Windows that meet must also be near in a longer walk, place by place; those that
+are are compared with the item by exact edit distance (bit-parallel, best substring).
 
 A document is contaminated by an item if some substring of it is within
 ``floor((1 - similarity) * length)`` edits of the item. Both are lower-cased and their white
@@ -36,10 +37,12 @@ from reviewsift.llm.shingles import mix
 
 SIMILARITY = 0.8
 WALKS = 4
-BITS = 8
+BITS = 10
 STEPS = 40
 SHORT_STEPS = 16
-ANCHORS = 10
+ANCHORS = 14
+#: Steps of the longer walk, and the share of them that may differ (unrelated texts: about 0.85).
+LONG_STEPS, LONG_APART = 160, 0.6
 LEAST = 24
 BLOCK = 5_000
 #: Items go to every task, so their size is checked.
@@ -95,16 +98,26 @@ class Walk:
         self.sampled = np.zeros(steps, bool)
         self.sampled[rng.choice(steps, bits, replace=False)] = True
 
-    def hashes(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of each window, and where its walk ends."""
+        self.half = int(np.flatnonzero(self.sampled.cumsum() == bits - bits // 2)[0]) + 1
+
+    def hashes(self, data: np.ndarray, starts: np.ndarray, likely: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which starts, hash of each window, where its walk ends); with ``likely``, a table of half
+        hashes, only of starts whose first half is in it."""
+        kept = np.arange(len(starts))
         at = starts.astype(np.int32)
-        made = np.zeros(len(at), np.uint64)
-        for moves, sampled in zip(self.moves, self.sampled):
+        made = np.zeros(len(at), np.uint32)
+        for step, (moves, sampled) in enumerate(zip(self.moves, self.sampled)):
+            if step == self.half:
+                self.first = mix(made.astype(np.uint64)) >> np.uint64(44)
+                if likely is not None:
+                    some = likely[self.first]
+                    kept, at, made = kept[some], at[some], made[some]
+                made = made.astype(np.uint64)
             symbol = data[at]
             if sampled:
-                made = made * np.uint64(0x100000001B3) + symbol
+                made = made * made.dtype.type(0x1000193) + symbol
             at = at + moves[symbol]
-        return mix(made), at
+        return kept, mix(made), at
 
 
 def _words(data: np.ndarray) -> np.ndarray:
@@ -137,22 +150,47 @@ class Index:
             tables = []
             for k in range(walks if mine.any() else 0):
                 walk = Walk(SEED + 100 * steps + k, steps, min(bits, steps))
-                made, ends = walk.hashes(data, words[mine])
+                _, made, ends = walk.hashes(data, words[mine])
                 inside = ends <= (firsts + lengths)[owner[mine]]
+                likely = np.zeros(1 << 20, bool)
+                likely[walk.first[inside]] = True
                 order = np.argsort(made[inside], kind="stable")
-                hashes = made[inside][order]
-                likely = np.zeros(1 << 18, bool)
-                likely[hashes >> np.uint64(46)] = True
-                tables.append((walk, hashes, owner[mine][inside][order], (words - firsts[owner])[mine][inside][order], likely))
+                tables.append((walk, made[inside][order], owner[mine][inside][order], words[mine][inside][order], likely))
             self.levels += tables
-        self.lengths = lengths
+        self.lengths, self.firsts, self.data = lengths, firsts, data
+        self.long = np.random.default_rng(SEED).integers(0, 2, (LONG_STEPS, 256)).astype(np.int32)
+        self.long[:, 0] = 0
 
     @staticmethod
     def pair(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        return data[starts].astype(np.int32) << 8 | data[starts + 1]
+        """The first three bytes of words, folded to 16 bits."""
+        three = data[starts].astype(np.uint32) << 16 | data[starts + 1].astype(np.uint32) << 8 | data[starts + 2]
+        return (three * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.int32)
+
+    def _near(self, data: np.ndarray, starts: np.ndarray, anchors: np.ndarray, items: np.ndarray) -> np.ndarray:
+        """Whether windows of a text and of an item stay near each other on the longer walk, which
+        leads from the anchor towards the farther end of the item."""
+        kept = np.arange(len(starts))
+        first = self.firsts[items].astype(np.int32)
+        end = first + self.lengths[items].astype(np.int32)
+        way = np.where(end - anchors >= anchors - first, 1, -1).astype(np.int32)
+        a, b = starts.astype(np.int32), anchors.astype(np.int32)
+        apart, steps = np.zeros(len(a), np.int32), np.zeros(len(a), np.int32)
+        for step, moves in enumerate(self.long):
+            if step == LONG_STEPS // 4:  # most unrelated windows are far apart by now
+                some = np.flatnonzero(apart <= (LONG_APART + 0.15) * steps)
+                kept, first, end, way, a, b, apart, steps = (x[some] for x in (kept, first, end, way, a, b, apart, steps))
+            x, y = data[a], self.data[b]
+            inside = (b < end) & (b >= first)
+            apart += inside & (x != y)
+            steps += inside
+            a, b = a + way * moves[x], b + way * moves[y]
+        found = np.zeros(len(starts), bool)
+        found[kept[apart <= LONG_APART * steps]] = True
+        return found
 
     def _choose(self, data: np.ndarray, words: np.ndarray, owner: np.ndarray, anchors: int) -> np.ndarray:
-        """First two bytes of words that serve as anchors: for each item its rarest, until it has enough."""
+        """First bytes of words that serve as anchors: for each item its rarest, until it has enough."""
         chosen = np.zeros(1 << 16, bool)
         pairs = self.pair(data, words)
         counts = np.bincount(pairs, minlength=1 << 16)
@@ -175,18 +213,20 @@ class Index:
         starts = _words(data)
         starts = starts[self.chosen[self.pair(data, starts)]]
         met: set[tuple[int, int, int]] = set()
-        for walk, hashes, owner, offset, likely in self.levels:
+        for walk, hashes, owner, anchor, likely in self.levels:
             if not len(hashes) or not len(starts):
                 continue
-            made, _ = walk.hashes(data, starts)
-            some = np.flatnonzero(likely[made >> np.uint64(46)])
-            low, high = np.searchsorted(hashes, made[some], "left"), np.searchsorted(hashes, made[some], "right")
-            for k in np.flatnonzero(high > low).tolist():
-                start = int(starts[some[k]])
-                text = int(np.searchsorted(firsts, start, side="right")) - 1
-                for entry in range(low[k], high[k]):
-                    item = int(owner[entry])
-                    met.add((text, item, (start - int(firsts[text]) - int(offset[entry])) // 16))
+            kept, made, _ = walk.hashes(data, starts, likely)
+            low, high = np.searchsorted(hashes, made, "left"), np.searchsorted(hashes, made, "right")
+            times = high - low
+            start = np.repeat(starts[kept], times)
+            entry = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low, times)
+            item, spot = owner[entry], anchor[entry]
+            near = self._near(data, start, spot, item)
+            start, item, spot = start[near], item[near], spot[near]
+            text = np.searchsorted(firsts, start, side="right") - 1
+            begin = (start - firsts[text]) - (spot - self.firsts[item])
+            met.update(zip(text.tolist(), item.tolist(), (begin // 16).tolist()))
         seen: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for text, item, near in sorted(met):
             begin = near * 16
