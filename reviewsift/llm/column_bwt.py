@@ -2,8 +2,8 @@
 
 Each round puts one symbol of every string in front of the suffix inserted last, so after round j
 all suffixes of up to j symbols stand in order. A suffix is a record (string, length, common
-prefix with its predecessor, symbol before it); records live in a sequential file that is read
-twice and written once per round. Where a new suffix belongs follows from the symbol counts up to
+prefix with its predecessor, symbol before it); records live in sequential files, one per column,
+that are read twice and written once per round. Where a new suffix belongs follows from the symbol counts up to
 the place of its tail (LF mapping); its common prefix is one more than the least common prefix
 since the last occurrence of its symbol, and the record behind it is corrected likewise. Both are
 carried from block to block of the file, so memory is one block plus a few numbers per string.
@@ -22,47 +22,68 @@ IN_MEMORY = 32 << 20
 _NONE = 255
 
 
+#: Columns of a record: string and length packed, common prefix, symbol before.
+Records = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
 class _File:
-    """A sequential file of records: in memory while small, then on the task's scratch disk."""
+    """Sequential files of the three columns: in memory while small, then on the task's scratch disk."""
 
-    def __init__(self) -> None:
-        self.parts: list[np.ndarray] = []
-        self.disk = None
+    def __init__(self, packed: type) -> None:
+        self.types = (packed, np.uint8, np.uint8)
+        self.parts: list[Records] = []
+        self.disk: list | None = None
         self.size = 0
 
-    def write(self, records: np.ndarray) -> None:
-        self.size += len(records)
-        if self.disk is None and 8 * self.size <= IN_MEMORY:
-            self.parts.append(records)
-            return
+    def write(self, records: Records) -> None:
+        self.size += len(records[0])
         if self.disk is None:
-            self.disk = tempfile.TemporaryFile()
+            self.parts.append(records)
+            if 8 * self.size <= IN_MEMORY:
+                return
+            self.disk = [tempfile.TemporaryFile() for _ in records]
             for part in self.parts:
-                self.disk.write(np.ascontiguousarray(part).data)
+                self._append(part)
             self.parts = []
-        self.disk.write(np.ascontiguousarray(records).data)
+        else:
+            self._append(records)
+
+    def _append(self, records: Records) -> None:
+        for file, column in zip(self.disk, records):
+            file.write(np.ascontiguousarray(column).data)
 
-    def blocks(self) -> Iterator[tuple[int, np.ndarray]]:
+    def blocks(self) -> Iterator[tuple[int, Records]]:
         at = 0
         if self.disk is None:
             for part in self.parts:
-                for k in range(0, len(part), BLOCK):
-                    yield at, part[k : k + BLOCK]
-                    at += len(part[k : k + BLOCK])
+                for k in range(0, len(part[0]), BLOCK):
+                    records = tuple(column[k : k + BLOCK] for column in part)
+                    yield at, records
+                    at += len(records[0])
             return
-        self.disk.seek(0)
+        for file in self.disk:
+            file.seek(0)
         while at < self.size:
-            records = np.frombuffer(self.disk.read(8 * BLOCK), np.uint64)
+            records = tuple(np.frombuffer(file.read(BLOCK * np.dtype(kind).itemsize), kind) for file, kind in zip(self.disk, self.types))
             yield at, records
-            at += len(records)
+            at += len(records[0])
 
     def close(self) -> None:
-        if self.disk is not None:
-            self.disk.close()
+        for file in self.disk or ():
+            file.close()
 
 
-def _pack(strings: np.ndarray, length: int, common: np.ndarray, before: np.ndarray) -> np.ndarray:
-    return strings.astype(np.uint64) << np.uint64(24) | np.uint64(length << 16) | common.astype(np.uint64) << np.uint64(8) | before.astype(np.uint64)
+def _merged(old: Records, places: np.ndarray, new: Records) -> Records:
+    """Records with new ones at ``places`` of the result."""
+    kept = np.ones(len(old[0]) + len(places), bool)
+    kept[places] = False
+    out = []
+    for before, added in zip(old, new):
+        column = np.empty(len(kept), before.dtype)
+        column[kept] = before
+        column[places] = added
+        out.append(column)
+    return tuple(out)
 
 
 def _least(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -101,9 +122,11 @@ def suffixes(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, most: in
         lengths[strings] > length, text[np.maximum(starts[strings] + lengths[strings] - 1 - length, 0)].astype(np.int64) + 1, 0
     )
     every = np.arange(n)
-    file = _File()
+    packed = np.uint32 if n < 1 << 24 else np.uint64
+    pack = lambda strings, length: (strings << 8 | length).astype(packed)
+    file = _File(packed)
     before = symbol(every, 0)
-    file.write(_pack(every, 0, np.zeros(n, np.int64), before))
+    file.write((pack(every, 0), np.zeros(n, np.uint8), before.astype(np.uint8)))
     counts = np.bincount(before, minlength=256)
     active, places = every, every.astype(np.int64)
     for length in range(1, int(lengths.max(initial=0)) + 1):
@@ -117,20 +140,19 @@ def suffixes(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, most: in
         since = np.zeros(256, np.uint8)
         seen = np.zeros(256, bool)
         pending = np.zeros(256, bool)
-        for at, records in file.blocks():
-            bwt = records.astype(np.uint8)
-            common = (records >> np.uint64(8)).astype(np.uint8)
-            low, high = np.searchsorted(places, [at, at + len(records)])
+        for at, (_, common, bwt) in file.blocks():
+            size = len(bwt)
+            low, high = np.searchsorted(places, [at, at + size])
             mine = places[low:high] - at
             order = np.argsort(bwt, kind="stable")
-            here = np.bincount(bwt, minlength=256)
+            here = counts if size == file.size else np.bincount(bwt, minlength=256)
             first_of = np.cumsum(here) - here
-            fresh = np.zeros(len(records), bool)
+            fresh = np.zeros(size, bool)
             fresh[mine] = True
-            number = np.empty(len(records), np.int32)
+            number = np.empty(size, np.int32)
             number[mine] = np.arange(low, high)
             # Occurrences whose common prefix is wanted: new ones, and those behind new ones.
-            flags = np.zeros(len(records) + 1, bool)
+            flags = np.zeros(size + 1, bool)
             flags[:-1] = fresh[order]
             flags[1:] |= flags[:-1].copy()
             flags[first_of[(here > 0) & pending]] = True
@@ -151,7 +173,7 @@ def suffixes(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, most: in
             new_common[number[to[is_fresh]]] = value[is_fresh]
             fixed_places.append(landing[~is_fresh])
             fixed_common.append(value[~is_fresh])
-            if at + len(records) < file.size:  # carry over to the next block
+            if at + size < file.size:  # carry over to the next block
                 present = np.flatnonzero(here)
                 last = order[first_of[present] + here[present] - 1]
                 pending[present] = fresh[last]
@@ -163,32 +185,26 @@ def suffixes(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, most: in
         order = np.argsort(new_places, kind="stable")
         active, places, new_common = active[order], new_places[order], new_common[order]
         before = symbol(active, length)
-        inserted = _pack(active, length, new_common, before)
+        inserted = (pack(active, length), new_common, before.astype(np.uint8))
         counts = counts + np.bincount(before, minlength=256)
         into = places - np.arange(len(places))
         fixes = np.concatenate(fixed_places) if fixed_places else np.zeros(0, np.int64)
         values = np.concatenate(fixed_common) if fixed_common else np.zeros(0, np.uint8)
         by_place = np.argsort(fixes, kind="stable")
         fixes, values = fixes[by_place], values[by_place]
-        after = _File()
+        after = _File(packed)
         done = 0
         for at, records in file.blocks():
-            final = at + len(records) == file.size
-            stop = len(places) if final else int(np.searchsorted(into, at + len(records)))
-            merged = np.insert(records, into[done:stop] - at, inserted[done:stop])
+            size = len(records[0])
+            stop = len(places) if at + size == file.size else int(np.searchsorted(into, at + size))
             offset = at + done
-            low, high = np.searchsorted(fixes, [offset, offset + len(merged)])
-            spots = fixes[low:high] - offset
-            merged[spots] = merged[spots] & ~np.uint64(0xFF00) | values[low:high].astype(np.uint64) << np.uint64(8)
+            merged = _merged(records, places[done:stop] - offset, tuple(column[done:stop] for column in inserted))
+            low, high = np.searchsorted(fixes, [offset, offset + len(merged[0])])
+            merged[1][fixes[low:high] - offset] = values[low:high]
             after.write(merged)
             done = stop
         file.close()
         file = after
-    for _, records in file.blocks():
-        yield (
-            (records >> np.uint64(24)).astype(np.int64),
-            (records >> np.uint64(16)).astype(np.uint8).astype(np.int64),
-            (records >> np.uint64(8)).astype(np.uint8),
-            records.astype(np.uint8),
-        )
+    for _, (strings, common, before) in file.blocks():
+        yield (strings >> packed(8)).astype(np.int64), (strings & packed(255)).astype(np.int64), common, before
     file.close()

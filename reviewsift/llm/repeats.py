@@ -49,7 +49,7 @@ REACH = WINDOW - GRAM + 1
 #: Segments of a minimiser beyond which its windows are spread.
 HOT = 4_096
 #: Strings of a collection that are ordered at a time; single collections may be larger.
-BATCH = 12_000
+BATCH = 3_000
 _PIECE = 1 << 20
 
 
@@ -218,11 +218,25 @@ def _send(docs: DataFrame) -> DataFrame:
             first_of: dict[tuple[int, bytes], list] = {}
             decided: dict[int, list[int]] = {}
 
-            def meet(key: int, content: bytes, k: int, at: int) -> None:
+            def pieces():
+                """(key, string, row, place) of every segment, or of its windows where it is hot."""
+                columns = (text, start, start + windows + (WINDOW - 1), least.view(np.int64), is_hot)
+                bodies = [r["text"] for r in own]
+                for k, at, stop, key, spread in zip(*(c.tolist() for c in columns)):
+                    body = bodies[k]
+                    if not spread:
+                        yield key, body[at:stop], k, at
+                        continue
+                    for w in range(at, stop - WINDOW + 1):
+                        content = body[w : w + WINDOW]
+                        yield int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "little", signed=True), content, k, w
+
+            ids = [r["doc_id"] for r in own]
+            for key, content, k, at in pieces():
                 held = first_of.get((key, content))
                 if held is None:
                     first_of[(key, content)] = [k, [at], None]
-                elif own[held[0]]["doc_id"] < own[k]["doc_id"]:
+                elif ids[held[0]] < ids[k]:
                     decided.setdefault(k, []).extend((at, at + len(content)))
                 elif held[0] == k:
                     held[1].append(at)
@@ -230,16 +244,6 @@ def _send(docs: DataFrame) -> DataFrame:
                     held[2] = held[2] or {}
                     held[2].setdefault(k, []).append(at)
 
-            keys = least.view(np.int64).tolist()
-            for k, at, n, key, spread in zip(text.tolist(), start.tolist(), windows.tolist(), keys, is_hot.tolist()):
-                body = own[k]["text"]
-                if spread:
-                    for w in range(at, at + n):
-                        content = body[w : w + WINDOW]
-                        meet(int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "little", signed=True), content, k, w)
-                else:
-                    meet(key, body[at : at + n + WINDOW - 1], k, at)
-
             out = [(key, content, k, starts) for (key, content), held in first_of.items() for k, starts in ((held[0], held[1]), *(held[2] or {}).items())]
             out += [(own[k]["doc_id"] * 0x9E3779B1 % (1 << 62), None, k, spans) for k, spans in decided.items()]
             for a in range(0, len(out), 20_000):
@@ -293,29 +297,41 @@ def _decide(sent: DataFrame) -> DataFrame:
     def run(batches):
         contents: list[bytes] = []
         smallest: list[int] = []
-        holders: list[list[dict]] = []
+        holders: list[list[tuple]] = []
         out: list[tuple[int, int, bytes]] = []
 
-        def group_done(rows: list[dict]) -> None:
-            by_content: dict[bytes, list[dict]] = {}
+        def group_done(rows: list[tuple]) -> None:
+            """Rows (key, content, doc_id, sub, places) of one key."""
+            by_content: dict[bytes, list[tuple]] = {}
             for row in rows:
-                by_content.setdefault(row["content"], []).append(row)
+                held = by_content.get(row[1])
+                if held is None:
+                    by_content[row[1]] = [row]
+                else:
+                    held.append(row)
             for content, held in by_content.items():
-                least = min(r["doc_id"] for r in held)
-                for r in held:
-                    if r["doc_id"] > least:
-                        starts = np.frombuffer(r["places"], np.int32)
-                        out.append((r["doc_id"], r["sub"], np.stack([starts, starts + len(content)], 1).astype(np.int32).tobytes()))
+                least = held[0][2] if len(held) == 1 else min(r[2] for r in held)
+                if len(held) > 1:
+                    for r in held:
+                        if r[2] > least:
+                            out.append((r[2], r[3], whole(r[4], len(content))))
                 if len(by_content) > 1:
                     contents.append(content)
                     smallest.append(least)
-                    holders.append([r for r in held if r["doc_id"] == least])
+                    holders.append([r for r in held if r[2] == least])
+
+        def whole(places: bytes, length: int) -> bytes:
+            """The ranges of a string at each of its places."""
+            if len(places) == 4:
+                return places + (int.from_bytes(places, "little") + length).to_bytes(4, "little")
+            starts = np.frombuffer(places, np.int32)
+            return np.stack([starts, starts + length], 1).astype(np.int32).tobytes()
 
         def order() -> None:
             if contents:
                 for k, at in owned_windows(contents, np.array(smallest, np.int64)).items():
                     for r in holders[k]:
-                        out.append((r["doc_id"], r["sub"], ranges(at, np.frombuffer(r["places"], np.int32)).tobytes()))
+                        out.append((r[2], r[3], ranges(at, np.frombuffer(r[4], np.int32)).tobytes()))
             contents.clear()
             smallest.clear()
             holders.clear()
@@ -329,14 +345,14 @@ def _decide(sent: DataFrame) -> DataFrame:
                 out.clear()
 
         key, rows = None, []
-        for row in _rows(batches):
-            if row["content"] is None:
-                out.append((row["doc_id"], row["sub"], row["places"]))
+        for row in (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))):
+            if row[1] is None:
+                out.append((row[2], row[3], row[4]))
                 continue
-            if row["key"] != key:
+            if row[0] != key:
                 if len(rows) > 1:
                     group_done(rows)
-                key, rows = row["key"], []
+                key, rows = row[0], []
                 if len(contents) >= BATCH:
                     order()
                 if len(out) >= 20_000:
