@@ -51,7 +51,7 @@ class Settings:
     outer_folds: int = 5
     inner_folds: int = 3
     trees: int = 300
-    rf_depth: int = 12
+    rf_depth: int = 30  # Spark's limit; the forest has no other
     rounds: int = 500
     step: float = 0.03
     boost_depth: int = 5
@@ -414,21 +414,33 @@ def _fold_predictions(
     return materialize(reduce(DataFrame.unionByName, parts))
 
 
+OOF_COLUMNS = ("review_id", "sample_group", "title", "content")
+
+
 def outer_cv(
-    rows: DataFrame, settings: Settings = Settings(), metadata: Sequence[str] | None = None
+    rows: DataFrame,
+    settings: Settings = Settings(),
+    metadata: Sequence[str] | None = None,
+    reviews: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(metrics per fold and model, out-of-fold rows of the extended stack).
 
-    ``rows`` comes from :func:`training_rows`.
+    ``rows`` comes from :func:`training_rows`. ``reviews`` adds its ``OOF_COLUMNS`` to the
+    out-of-fold rows; texts are joined there and never travel through the fits.
     """
     names = list(metadata) if metadata is not None else usable_metadata(rows)
     folded = materialize(stratified_folds(rows, "label", settings.outer_folds, settings.seed))
-    folds = [
-        _fold_predictions(folded, fold, names, settings) for fold in range(settings.outer_folds)
-    ]
+    # Boosting is a long chain of short jobs, so folds run side by side.
+    folds = _parallel(
+        [lambda f=f: _fold_predictions(folded, f, names, settings) for f in range(settings.outer_folds)],
+        settings.parallelism,
+    )
     predictions = reduce(DataFrame.unionByName, folds)
     metrics = binary_metrics(predictions, by=["fold", "model"])
     oof = predictions.filter(F.col("model") == CANDIDATES[-1]).drop("model")
+    if reviews is not None:
+        shown = reviews.select("annotation_id", *[c for c in OOF_COLUMNS if c in reviews.columns])
+        oof = oof.join(shown, "annotation_id", "left")
     return metrics, oof
 
 

@@ -70,6 +70,7 @@ def binary_metrics(
 ) -> DataFrame:
     """Accuracy, precision, recall, F1, ROC-AUC, average precision and the confusion
     counts, per group; ratios without a denominator are 0."""
+    df = materialize(df.select(*by, label, pred, score))  # read once for counts and ranks
     counts = confusion(df, label, pred, by)
     tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
     rates = counts.withColumns(

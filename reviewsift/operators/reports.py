@@ -490,19 +490,27 @@ def quality_counters(
 ) -> DataFrame:
     """Duplicate ids, duplicate texts, empty texts and labels outside 0/1."""
     known = F.coalesce(F.col(label).isin(0, 1), F.lit(False))
-    return df.agg(
-        F.count_if(F.col(text) == "").alias("empty_text"),
-        F.count_if(~known).alias("label_outside_01"),
+    # One pass over the texts; what follows reads their digests.
+    rows = materialize(
+        df.select(
+            F.col(key).alias("key"), F.sha2(F.col(text), 256).alias("text"),
+            (F.col(text) == "").alias("empty"), known.alias("known"),
+        )
+    )
+    return rows.agg(
+        F.count_if("empty").alias("empty_text"), F.count_if(~F.col("known")).alias("label_outside_01")
     ).withColumns(
         {
-            "duplicate_id": _duplicates(df, key, "d").scalar(),
-            "duplicate_text": _duplicates(df, text, "d").scalar(),
+            "duplicate_id": _duplicates(rows, "key", "d").scalar(),
+            "duplicate_text": _duplicates(rows, "text", "d").scalar(),
         }
     )
 
 
 def overview(df: DataFrame, approx: bool = False) -> DataFrame:
     """Rows, date range, and distinct products and users."""
+    if not approx:
+        df = materialize(df.select("created_at", *_DISTINCT))  # read once for three aggregates
     base = df.agg(
         F.count("*").alias("rows"),
         F.min("created_at").alias("first_created_at"),

@@ -92,6 +92,18 @@ def s2(spark, d):
     )
 
 
+@query("s3_required_columns", o.sql("reviews", """
+  select review_id, length(content) as chars, 'no_such_a,no_such_b' as missing from review_rows"""))
+def s3(spark, d):
+    rows = io.require_columns(v.reviews(spark, d), RAW_REVIEWS.names)
+    missing = ""
+    try:
+        io.require_columns(rows, ["no_such_b", "review_id", "no_such_a"])
+    except ValueError as error:
+        missing = ",".join(n for n in ("no_such_a", "no_such_b", "review_id") if n in str(error))
+    return rows.select("review_id", F.length("content").alias("chars"), F.lit(missing).alias("missing"))
+
+
 @query(
     "s4_defaults",
     o.sql("reviews", f"""select annotation_id, coalesce(rating, 0) as rating, 0 as purchased_int,
@@ -1275,10 +1287,8 @@ def r13(spark, d):
 
 # --- M: modelling ------------------------------------------------------------------------------------
 
-QUICK = stack.Settings(
-    outer_folds=2, inner_folds=2, trees=8, rf_depth=5, rounds=4, step=0.1, boost_depth=3,
-    logistic_iterations=50, parallelism=4,
-)
+#: The smallest mode in use: that of a smoke run (3 x 2 folds, 100 trees, 150 rounds).
+MODE = stack.FAST
 
 
 @query("m1_hash_embed", f""",
@@ -1317,11 +1327,16 @@ def m2(spark, d):
     )
 
 
-# Model values have no SQL; these queries show what must hold for every scored row.
-TRAINED = f"""with t as (
-  select 'MANUAL_' || ({o.PADDED}) as annotation_id, cast(e.label < 5 as integer) as label
-  from documents d join events v on v.event_id = d.doc_id join embeddings e on e.vec_id = d.doc_id)
+# Values of trees and regressions have no SQL. Their queries return every labelled review, with
+# tests that a constant or shuffled score fails: how well scores rank the rows they were fit on
+# (AUC), and that a saved model scores as the fitted one. Ridge, scaler and weights have SQL.
+TRAINED = f"""with ids as (
+  select d.doc_id, d.text from documents d join events v on v.event_id = d.doc_id where regexp_matches(d.text, '\\S')),
+t as (select 'MANUAL_' || ({o.PADDED}) as annotation_id, quality as label
+  from (select i.doc_id, l.quality from ids i join labels l on l.doc_id = i.doc_id) x)
 """
+#: AUC on the training rows that trees and logistic regression have to pass.
+TREES_RANK, LOGISTIC_RANKS = 0.95, 0.6
 
 
 def _between(column: str, low: float, high: float) -> F.Column:
@@ -1332,44 +1347,57 @@ def _rows(spark, d):
     return stack.training_rows(v.training(spark, d))
 
 
-@query("m3_rf_features", TRAINED + "select annotation_id, label, 1.0::double as total, true as valid from t")
+def _ranks(scored: DataFrame, score: str, least: float) -> F.Column:
+    """Whether a score ranks the labels of its table with at least that AUC."""
+    auc = metrics.ranking_metrics(materialize(scored.select("label", score)), "label", score)
+    return F.lit(bool(auc.first()["roc_auc"] >= least)).alias("ranks")
+
+
+@query("m3_rf_features", TRAINED + "select annotation_id, label, 1.0::double as total, true as valid, true as ranks from t")
 def m3(spark, d):
     rows = _rows(spark, d)
-    scored = stack.rf_features(rows, stack.rf_model(rows, QUICK, 7))
+    scored = stack.rf_features(rows, stack.rf_model(rows, MODE, 7))
     low, high = (F.col(c) for c in stack.RF_FEATURES)
     return scored.select(
         "annotation_id", "label", round_even(low + high, 6).alias("total"),
-        ((low >= 0) & (high >= 0)).alias("valid"),
+        ((low >= 0) & (high >= 0)).alias("valid"), _ranks(scored, stack.RF_FEATURES[1], TREES_RANK),
     )
 
 
 @query("m4_assemble", """
-  select cast(count(*) as bigint) as rows, cast(64 + 14 as integer) as width from embeddings""")
+  select cast(count(*) as bigint) as rows, cast(384 + 14 as integer) as width from labels l
+  join documents d on d.doc_id = l.doc_id where regexp_matches(d.text, '\\S')""")
 def m4(spark, d):
     rows = _rows(spark, d)
     parts = [stack.embedding_array(), *[F.col(c) for c in METADATA_FEATURES]]
-    done = stack.assemble(rows, parts, "features", 78)
+    done = stack.assemble(rows, parts, "features", embed.HASH_DIMENSION + len(METADATA_FEATURES))
     return done.groupBy(F.size(vector_to_array("features")).alias("width")).agg(
         F.count("*").alias("rows")
     )
 
 
-@query("m5_boosted_trees", TRAINED + "select annotation_id, label, true as valid from t")
+@query("m5_boosted_trees", TRAINED + "select annotation_id, label, true as valid, true as ranks from t")
 def m5(spark, d):
     rows = _rows(spark, d)
-    model = stack.boosted(rows, "embedding", QUICK, 7)
+    model = stack.boosted(rows, "embedding", MODE, 7)
     scored = stack.with_probability(model, rows, "embedding")
-    return scored.select("annotation_id", "label", _between("proba_helpful", 0, 1).alias("valid"))
+    return scored.select(
+        "annotation_id", "label", _between("proba_helpful", 0, 1).alias("valid"),
+        _ranks(scored, "proba_helpful", TREES_RANK),
+    )
 
 
-@query("m6_logistic_baseline", TRAINED + "select annotation_id, label, true as valid from t")
+@query("m6_logistic_baseline", TRAINED + "select annotation_id, label, true as valid, true as ranks from t")
 def m6(spark, d):
     rows = _rows(spark, d)
     names = stack.usable_metadata(rows)
     ready = stack.assemble(rows, stack.scaled(stack.fit_scaler(rows, names)), "_x")
-    model = stack.logistic(ready, "_x", QUICK)
+    model = stack.logistic(ready, "_x", MODE)
     scored = stack.with_probability(model, ready, "_x")
-    return scored.select("annotation_id", "label", _between("proba_helpful", 0, 1).alias("valid"))
+    return scored.select(
+        "annotation_id", "label", _between("proba_helpful", 0, 1).alias("valid"),
+        _ranks(scored, "proba_helpful", LOGISTIC_RANKS),
+    )
 
 
 @query("m7_aux_regressors", TRAINED + "select annotation_id, true as valid from t")
@@ -1381,6 +1409,22 @@ def m7(spark, d):
     return scored.select("annotation_id", valid.alias("valid"))
 
 
+@query("m7_ridge", o.sql("reviews", f""",
+  f as (select annotation_id, cast(word_count as double) as a, cast(helpful_count as double) as b,
+          cast(length(content) as double) as y from review_rows),
+  m as (select count(*) as n, avg(a) as ma, avg(b) as mb, avg(y) as my, var_pop(a) * count(*) + 10 as aa,
+          var_pop(b) * count(*) + 10 as bb, covar_pop(a, b) * count(*) as ab,
+          covar_pop(a, y) * count(*) as ay, covar_pop(b, y) * count(*) as byy from f),
+  c as (select *, (ay * bb - byy * ab) / (aa * bb - ab * ab) as wa, (byy * aa - ay * ab) / (aa * bb - ab * ab) as wb from m)
+  select annotation_id, {o.rnd('my + wa * (a - ma) + wb * (b - mb)', 3)} as predicted from f, c"""))
+def m7_ridge(spark, d):
+    rows = v.review_rows(spark, d).withColumn("_y", F.length("content").cast("double"))
+    rows = materialize(rows.select("annotation_id", "word_count", "helpful_count", "_y"))
+    ready = stack.assemble(rows, [F.col("word_count"), F.col("helpful_count")], "_x", 2)
+    scored = stack.ridge(ready, "_x", "_y").transform(ready)
+    return scored.select("annotation_id", round_even(F.col("_ridge"), 3).alias("predicted"))
+
+
 @query("m8_scale_metadata", o.sql("reviews", f"""
   select annotation_id,
     {o.rnd('(word_count - (select avg(word_count) from review_rows)) / (select stddev_pop(word_count) from review_rows)', 6)} as scaled_word_count,
@@ -1407,7 +1451,7 @@ def m9(spark, d):
 @query("m10_nested_oof", TRAINED + "select annotation_id, label, 1.0::double as total, true as valid from t")
 def m10(spark, d):
     rows = _rows(spark, d)
-    train, _, _ = stack.nested_oof(rows, None, stack.usable_metadata(rows), QUICK, 42)
+    train, _, _ = stack.nested_oof(rows, None, stack.usable_metadata(rows), MODE, 42)
     valid = _between(stack.AUX_FEATURES[0], -2, 7) & _between(stack.AUX_FEATURES[1], 0, 1)
     total = F.col(stack.RF_FEATURES[0]) + F.col(stack.RF_FEATURES[1])
     return train.select(
@@ -1416,12 +1460,12 @@ def m10(spark, d):
 
 
 @query("m11_outer_cv", TRAINED + f""", n as (select label, count(*) as n from t group by label),
-  f as (select fold, cast(sum((n - fold + 1) // 2) as bigint) as rows, cast(sum(case when label = 1 then (n - fold + 1) // 2 end) as bigint) as helpful
-        from n, (values (0), (1)) k(fold) group by fold)
+  f as (select fold, cast(sum((n - fold + 2) // 3) as bigint) as rows, cast(sum(case when label = 1 then (n - fold + 2) // 3 end) as bigint) as helpful
+        from n, (values (0), (1), (2)) k(fold) group by fold)
   select cast(fold + 1 as integer) as fold, model, rows, helpful, true as valid
   from f, (values {", ".join(f"('{c}')" for c in stack.CANDIDATES)}) c(model)""")
 def m11(spark, d):
-    scores, _ = stack.outer_cv(_rows(spark, d), QUICK)
+    scores, _ = stack.outer_cv(_rows(spark, d), MODE)
     valid = F.lit(True)
     for name in metrics.METRIC_NAMES:
         valid = valid & _between(name, 0, 1)
@@ -1471,6 +1515,24 @@ def m12_fold(spark, d):
     return metrics.binary_metrics(_known(spark, d), by=["fold", "model"], rounded=6)
 
 
+CONTINUOUS = """,
+predictions as (select is_helpful as label, cast(helpful_count >= 20 as integer) as pred,
+  1.0::double / (1 + word_count + helpful_count / 7.0::double + doc_id / 1000003.0::double) as proba_helpful from gold_all)
+"""
+
+
+@query("m12_continuous_score", o.sql("reviews labels gold", CONTINUOUS + WHOLE + f"select {METRIC_COLUMNS} from mt"))
+def m12_continuous(spark, d):
+    """A score that differs in nearly every row, in late digits only."""
+    rows = v.gold_all(spark, d).filter(F.col("is_helpful").isNotNull())
+    score = 1 / (1 + F.col("word_count") + F.col("helpful_count") / 7.0 + F.col("doc_id") / 1000003.0)
+    rows = rows.select(
+        F.col("is_helpful").alias("label"), (F.col("helpful_count") >= 20).cast("int").alias("pred"),
+        score.alias("proba_helpful"),
+    )
+    return metrics.binary_metrics(rows, rounded=6)
+
+
 _SUMMARY = ", ".join(
     f"{o.rnd(f'avg({n})', 6)} as {n}_mean"
     + ("" if n in ("roc_auc", "pr_auc") else f", {o.rnd(f'stddev_samp({n})', 6)} as {n}_std")
@@ -1512,12 +1574,14 @@ def m14_confusion(spark, d):
     return metrics.oof_report(rows)["confusion"]
 
 
-@query("m15_train_and_predict", TRAINED + "select annotation_id, true as consistent, true as valid, 'stacked_trees' as model_variant from t")
+@query("m15_train_and_predict", TRAINED + "select annotation_id, true as consistent, true as valid, true as reloaded, 'stacked_trees' as model_variant from t")
 def m15(spark, d):
     path = _scratch(spark, "model")
-    stack.train_final(_rows(spark, d), path, QUICK)
-    rows = v.training(spark, d).drop("is_helpful", "helpfulness_score", "confidence")
-    scored = stack.predict(rows, path)
+    fitted = stack.train_final(_rows(spark, d), path, MODE)
+    rows = materialize(v.training(spark, d).drop("is_helpful", "helpfulness_score", "confidence"))
+    shown = ["helpfulness_score", "predicted_rubric_score", "predicted_annotation_confidence"]
+    again = stack.predict(rows, fitted).select("annotation_id", F.struct(*shown).alias("_fitted"))
+    scored = stack.predict(rows, path).join(again, "annotation_id")
     score = F.col("helpfulness_score")
     helpful = F.col("label") == "Helpful"
     return scored.select(
@@ -1526,6 +1590,7 @@ def m15(spark, d):
         ((helpful & (score >= 0.5)) | (~helpful & (score <= 0.5))).alias("consistent"),
         (_between("predicted_rubric_score", -2, 7) & _between("predicted_annotation_confidence", 0, 1)
          & F.col("confidence_level").isin("High", "Medium", "Low")).alias("valid"),
+        F.struct(*shown).eqNullSafe(F.col("_fitted")).alias("reloaded"),
         "model_variant",
     )
 

@@ -17,7 +17,7 @@ from reviewsift.operators.responses import (
     retry_requests,
 )
 from reviewsift.operators.rubric import refine_flags
-from reviewsift.operators.validate import review_queue, validate_reviews
+from reviewsift.operators.validate import assert_unique, review_queue, validate_reviews
 from reviewsift.session import materialize
 from reviewsift.sources.io import append_checkpoint, read_checkpoint
 
@@ -29,7 +29,12 @@ def next_requests(
     start: int = 0,
     limit: int | None = None,
 ) -> DataFrame:
-    """Requests for the rows of a work slice that are not labelled yet."""
+    """Requests for the rows of a work slice that are not labelled yet.
+
+    Ids must be unique, and texts are cleaned (NFC, white space) before they reach a prompt.
+    """
+    assert_unique(source, ["annotation_id"])
+    source = nfc_corpus(source, ["title", "content"])
     rows = work_slice(source, start, limit, [F.col("annotation_id")])
     if checkpoint is not None:
         rows = pending(rows, checkpoint)

@@ -12,6 +12,7 @@ from reviewsift.functions.columns import flags_array
 from reviewsift.functions.features import derived_flags
 from reviewsift.functions.text import with_review_text
 from reviewsift.lexicon import PatternSet, VIETNAMESE
+from reviewsift.models.embed import hash_embed
 from reviewsift.operators.gold import gold_join
 from reviewsift.schemas import RUBRIC_COLUMNS
 from reviewsift.sources.io import spread
@@ -68,17 +69,19 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
-def documents(spark: SparkSession, directory: str) -> DataFrame:
-    return spread(table(spark, directory, "documents"))
+def documents(spark: SparkSession, directory: str, only: DataFrame | None = None) -> DataFrame:
+    """Whole documents, or those whose `doc_id` is in ``only``."""
+    docs = table(spark, directory, "documents")
+    return spread(docs if only is None else docs.join(only, "doc_id", "left_semi"))
 
 
 def pages(spark: SparkSession, directory: str) -> DataFrame:
     return spread(table(spark, directory, "pages"))
 
 
-def reviews(spark: SparkSession, directory: str) -> DataFrame:
+def reviews(spark: SparkSession, directory: str, only: DataFrame | None = None) -> DataFrame:
     """One review per document, with user, votes, rating and dates from its event."""
-    docs = documents(spark, directory)
+    docs = documents(spark, directory, only)
     events = table(spark, directory, "events").select(
         "event_id",
         F.col("user_id").cast("string").alias("user_id"),
@@ -183,8 +186,10 @@ def gold_all(spark: SparkSession, directory: str) -> DataFrame:
 
 def gold(spark: SparkSession, directory: str) -> DataFrame:
     """Labelled reviews; `help` is the label."""
-    rows = review_rows(spark, directory).join(labels(spark, directory), "annotation_id")
-    return rows.withColumn("help", F.col("is_helpful"))
+    # Ids first: texts are joined and counted only for labelled documents.
+    named = table(spark, directory, "labels").select("doc_id")
+    rows = derived_flags(with_review_text(reviews(spark, directory, named)))
+    return rows.join(labels(spark, directory), "annotation_id").withColumn("help", F.col("is_helpful"))
 
 
 def predictions(spark: SparkSession, directory: str) -> DataFrame:
@@ -210,19 +215,8 @@ def predictions(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def training(spark: SparkSession, directory: str) -> DataFrame:
-    """Embedded reviews with a binary target and the two supervision columns."""
-    vectors = table(spark, directory, "embeddings").select(
-        F.col("vec_id").alias("doc_id"),
-        "embedding",
-        (F.col("label") < 5).cast("int").alias("is_helpful"),
-    )
-    n = F.col("doc_id")
-    return reviews(spark, directory).join(vectors, "doc_id").withColumns(
-        {
-            "helpfulness_score": (n % 10 - 2).cast("double"),
-            "confidence": F.lit(0.5) + (n % 50).cast("double") / 100,
-        }
-    )
+    """Every labelled review with its embedding, target and the two supervision columns."""
+    return hash_embed(gold(spark, directory), "review_text")
 
 
 def requests(spark: SparkSession, directory: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -43,6 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _fallback_dirs:
         _fallback_dirs[app] = tempfile.mkdtemp(prefix="reviewsift-")
+        atexit.register(shutil.rmtree, _fallback_dirs[app], ignore_errors=True)
     return _fallback_dirs[app]
 
 
@@ -50,10 +52,11 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to a parquet table in the shared folder and read it back.
 
     Cuts the lineage without relying on executor-local blocks, so a lost executor costs a
-    re-read, and values that depend on partition placement are frozen in the table.
+    re-read, and values that depend on partition placement are frozen in the table. Tables
+    stand under the application's id, so that a finished application's can be removed.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/reviewsift/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/reviewsift/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
