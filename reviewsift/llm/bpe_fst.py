@@ -66,7 +66,7 @@ class MergeRules:
 class Transducer:
     """Symbols in, tokens out. ``trans[state][symbol]`` is (next state, tokens emitted)."""
 
-    MOST_FITS = 500_000
+    MOST_FITS = 300_000
     MOST_STATES = 200_000
 
     def __init__(self, rules: MergeRules):

@@ -25,7 +25,7 @@ from reviewsift.llm.bpe_fst import MergeRules, Transducer, read_ranks
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Words whose tokens are kept in each of two generations of the memo table.
-MOST_WORDS = 150_000
+MOST_WORDS = 120_000
 _BLOCK = 1 << 15
 
 

@@ -26,6 +26,13 @@ def narrow(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut to fewer rows, without empty ones: what is made from them stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def map_texts(df: DataFrame, work, schema: str, columns: list[str]) -> DataFrame:
     """``work(ids, texts)`` over Arrow batches; it returns one list or array per output column.
 
@@ -33,34 +40,24 @@ def map_texts(df: DataFrame, work, schema: str, columns: list[str]) -> DataFrame
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                ids, texts = batch.column(0), batch.column(1).to_pylist()
-                yield pa.RecordBatch.from_arrays(
-                    [ids, *(x if isinstance(x, pa.Array) else pa.array(x) for x in work(texts))], names=["doc_id", *columns]
-                )
+        for batch in slices(batches):
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays(
+                [ids, *(x if isinstance(x, pa.Array) else pa.array(x) for x in work(texts))], names=["doc_id", *columns]
+            )
 
     return df.mapInArrow(run, schema)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut to fewer rows, without empty ones: what is made from them stays small."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
-
-
 def keep_rows(df: DataFrame, decide, text_col: str = "text") -> DataFrame:
     """The rows of a table, all columns, for whose texts ``decide`` (a list to a list of booleans) says yes."""
-    columns = df.columns
+    place = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                kept = pa.array(decide(batch.column(len(columns)).to_pylist()), pa.bool_())
-                yield batch.filter(kept).select(list(range(len(columns))))
+        for batch in slices(batches):
+            yield batch.filter(pa.array(decide(batch.column(place).to_pylist()), pa.bool_()))
 
-    return df.select("*", F.col(text_col).cast("string").alias("_judged")).mapInArrow(run, df.schema)
+    return df.mapInArrow(run, df.schema)
 
 
 def id_type(df: DataFrame) -> str:

@@ -29,7 +29,7 @@ TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
 #: Code points of a chunk; longer texts are counted in several tasks.
 CHUNK = 1 << 16
-MOST_WORDS = 150_000
+MOST_WORDS = 120_000
 
 #: Fixed values of the tokenizer file: its special strings and its word pattern.
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
