@@ -21,7 +21,8 @@ are at most 84.
 4. Each task orders the collections it got, a bounded number of strings at a time, and reports
    the removed byte ranges, which are joined with the partitioned texts.
 
-Equal strings of a collection enter the transform once; a collection of one string has no order
+Equal strings of a collection enter the transform once, cut to what the likest other string
+shares with them around the minimiser; a collection of one string has no order
 to find out and its smallest document owns it.
 
 Edge cases: a null text has no bytes; rows with a null id lose nothing and take nothing away;
@@ -49,7 +50,7 @@ REACH = WINDOW - GRAM + 1
 #: Segments of a minimiser beyond which its windows are spread.
 HOT = 4_096
 #: Strings of a collection that are ordered at a time; single collections may be larger.
-BATCH = 3_000
+BATCH = 6_000
 _PIECE = 1 << 20
 
 
@@ -262,12 +263,63 @@ def _send(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "key bigint, content binary, doc_id bigint, sub bigint, places binary")
 
 
+def _common(minimisers: np.ndarray, sides: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """How many bytes of its side each string shares with the likest string of the same minimiser."""
+    rows = np.hstack([minimisers.astype(">u8").view(np.uint8).reshape(-1, 8), sides])
+    order = np.argsort(np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel(), kind="stable")
+    same = rows[order][1:] == rows[order][:-1]
+    shared = np.where(same.all(axis=1), same.shape[1], same.argmin(axis=1)) - 8
+    most = np.zeros(len(rows), np.int64)
+    most[order[1:]] = shared
+    most[order[:-1]] = np.maximum(most[order[:-1]], shared)
+    return np.clip(most, 0, lengths)
+
+
+def _trimmed(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(strings, starts, lengths): the parts of strings that another string may share.
+
+    All windows of a string hold its minimiser, so a shared window reaches no farther from it, to
+    either side, than the likest string does. Where a minimiser stands twice in a string nothing
+    is cut from the strings that have it.
+    """
+    n = len(text)
+    up, down = powers(n)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((text.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
+    grams = np.full(n + 1, np.uint64(0xFFFFFFFFFFFFFFFF))
+    grams[: n - GRAM + 1] = mix((sums[GRAM:] - sums[:-GRAM]) * down[: n - GRAM + 1])
+    places = lengths - GRAM + 1
+    edges = np.stack([starts, starts + places], 1).reshape(-1)
+    least = np.minimum.reduceat(grams, edges)[0::2]
+    owner = np.repeat(np.arange(len(starts)), places)
+    place = np.arange(len(owner)) + np.repeat(starts - (np.cumsum(places) - places), places)
+    hits = np.flatnonzero(grams[place] == least[owner])
+    first = np.searchsorted(owner[hits], np.arange(len(starts) + 1))
+    at = place[hits[first[:-1]]]
+    whole = np.isin(least, least[np.diff(first) > 1])
+    steps = np.arange(REACH - 1)
+    ends = starts + lengths
+    padded = np.append(text, np.full(2 * REACH, 255, np.uint8))
+    right = at[:, None] + GRAM + steps
+    left = at[:, None] - 1 - steps
+    to_right = _common(least, np.where(right < ends[:, None], padded[right], 255).astype(np.uint8), ends - at - GRAM)
+    to_left = _common(least, np.where(left >= starts[:, None], padded[np.maximum(left, 0)], 255).astype(np.uint8), at - starts)
+    begin = np.where(whole, starts, at - to_left)
+    size = np.where(whole, lengths, to_left + GRAM + to_right)
+    strings = np.flatnonzero(size >= WINDOW)
+    return strings, begin[strings], size[strings]
+
+
 def owned_windows(contents: list[bytes], docs: np.ndarray) -> dict[int, np.ndarray]:
     """For strings and the smallest document of each: by string, the places of windows that a smaller
     document has, in the strings of this collection."""
     lengths = np.array([len(c) for c in contents], np.int64)
     text = np.frombuffer(b"".join(contents), np.uint8)
-    found = [np.concatenate(x) for x in zip(*suffixes(text, np.cumsum(lengths) - lengths, lengths, WINDOW))]
+    starts = np.cumsum(lengths) - lengths
+    kept, begin, size = _trimmed(text, starts, lengths)
+    if not len(kept):
+        return {}
+    found = [np.concatenate(x) for x in zip(*suffixes(text, begin, size, WINDOW))]
     string, length, shared = found[:3]
     run = np.cumsum(shared < WINDOW)
     whole = length >= WINDOW
@@ -275,10 +327,11 @@ def owned_windows(contents: list[bytes], docs: np.ndarray) -> dict[int, np.ndarr
     if not len(run):
         return {}
     first = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
-    own = docs[string]
+    own = docs[kept[string]]
     least = np.repeat(np.minimum.reduceat(own, first), np.diff(np.append(first, len(run))))
     lost = own > least
-    string, at = string[lost], (lengths[string] - length)[lost]
+    at = (size[string] - length + begin[string] - starts[kept[string]])[lost]
+    string = kept[string][lost]
     order = np.lexsort((at, string))
     string, at = string[order], at[order]
     names, first = np.unique(string, return_index=True)
