@@ -1,4 +1,4 @@
-"""Word and shingle hashes of texts, a megabyte at a time.
+"""Word and shingle hashes of texts, a quarter of a megabyte at a time.
 
 Words are what stands between white space (blank and controls 9 to 13) after A-Z are lower-cased.
 A word's hash is a polynomial over its bytes modulo 2**64, mixed; it comes from differences of
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, 9, 10, 11, 12, 13]] = True

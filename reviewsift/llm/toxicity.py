@@ -37,7 +37,9 @@ THRESHOLD = 0.3
 STEM, LEAST_DOCS, PURE = 4, 3, 0.95
 MOST_TERMS = 2_000
 WINDOW = 8
-MOST_WORDS = 100_000
+#: Words and automaton states that a worker keeps at most.
+MOST_WORDS = 50_000
+MOST_STATES = 20_000
 
 #: Terms that need no example: plain English insults, a fixed list.
 SEEDS = (
@@ -77,6 +79,9 @@ class TermAutomaton:
                 node = self.children[node][letter]
                 self.allowed[node] = max(self.allowed[node], most)
             self.ends[node].append(number)
+        self._reset()
+
+    def _reset(self) -> None:
         self.numbers: dict[tuple, int] = {}
         self.states: list[tuple] = []
         self.trans: list[dict[str, int]] = []
@@ -132,6 +137,8 @@ class TermAutomaton:
 
     def find(self, word: str) -> tuple[int, int] | None:
         """(errors, term number) of the best term, or None."""
+        if len(self.states) > MOST_STATES:
+            self._reset()
         state, trans, dead = self.start, self.trans, self.dead
         for letter in word:
             after = trans[state].get(letter)
