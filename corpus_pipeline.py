@@ -39,7 +39,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what is left."""
-    return byte_bpe.encode_decode(docs, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+    # Fewer states than alone: the executors' heaps are full from the stages before.
+    return byte_bpe.encode_decode(docs, outputs=("n_tokens", "ids_sha256", "decoded_sha256"), states=50_000)
 
 
 STAGES = [

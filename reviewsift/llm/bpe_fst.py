@@ -66,11 +66,11 @@ class MergeRules:
 class Transducer:
     """Symbols in, tokens out. ``trans[state][symbol]`` is (next state, tokens emitted)."""
 
-    MOST_FITS = 300_000
-    MOST_STATES = 200_000
 
-    def __init__(self, rules: MergeRules):
+    def __init__(self, rules: MergeRules, states: int = 200_000):
+        """``states`` bounds the states that are kept; memory is about a kilobyte for each."""
         self.rules = rules
+        self.most_states, self.most_pairs = states, 5 * states // 2
         self.begins = {""}
         for s in rules.ids:
             self.begins.update(s[:k] for k in range(1, len(s)))
@@ -120,7 +120,7 @@ class Transducer:
                     i += 1
                 else:
                     j += 1
-            if len(self._fits) > self.MOST_FITS:
+            if len(self._fits) > self.most_pairs:
                 self._fits.clear()
             self._fits[(a, b)] = known
         return known
@@ -146,7 +146,7 @@ class Transducer:
         while text not in self.begins:
             text = text[1:]
         kept = tuple(starts.index(start - 1) for start in self._starts(text) if start)
-        if len(self._moves) > self.MOST_FITS:
+        if len(self._moves) > self.most_pairs:
             self._moves.clear()
         self._moves[(context, symbol)] = move = (found, text, kept)
         return move
@@ -193,7 +193,7 @@ class Transducer:
         return made
 
     def tokens(self, symbols: str) -> list[int]:
-        if len(self.keys) > self.MOST_STATES:
+        if len(self.keys) > self.most_states:
             self._reset()
         state, out, trans = 0, [], self.trans
         for symbol in symbols:

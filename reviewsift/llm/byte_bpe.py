@@ -24,8 +24,9 @@ from reviewsift.llm import common
 from reviewsift.llm.bpe_fst import MergeRules, Transducer, read_ranks
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Words whose tokens are kept in each of two generations of the memo table.
-MOST_WORDS = 120_000
+#: States of the transducer that a worker keeps; words whose tokens it keeps, in each of two
+#: generations of the memo table, are three quarters of that. About a kilobyte for each state.
+STATES = 200_000
 _BLOCK = 1 << 15
 
 
@@ -86,10 +87,11 @@ class StreamDecoder:
 class ByteBpe:
     """Encoder and decoder of one rank file."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, states: int = STATES):
         ranks = read_ranks(path)
         self.rules = MergeRules({token.decode("latin-1"): rank for token, rank in ranks.items()}, None)
-        self.machine = Transducer(self.rules)
+        self.machine = Transducer(self.rules, states)
+        self.most_words = 3 * states // 4
         self.find = piece_pattern(pattern).findall
         self.token_bytes = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
@@ -112,12 +114,12 @@ class ByteBpe:
         if np.little_endian is False:
             coded.byteswap()
         made = coded.tobytes()
-        if len(piece) <= 64 and len(self.memo) < 2 * MOST_WORDS:
+        if len(piece) <= 64 and len(self.memo) < 2 * self.most_words:
             self.memo[piece] = made
         return made
 
     def encode(self, text: str) -> bytes:
-        if len(self.memo) >= MOST_WORDS:
+        if len(self.memo) >= self.most_words:
             self.older, self.memo = self.memo, {}
         known, word = self.memo.get, self.word
         return b"".join([known(piece) or word(piece) for piece in self.find(text)])
@@ -132,14 +134,15 @@ class ByteBpe:
             raise ValueError("the ids end inside a character or are not UTF-8")
 
 
-_codecs: dict[tuple[str, str], ByteBpe] = {}
+_codecs: dict[tuple[str, str, int], ByteBpe] = {}
 
 
-def codec(path: str, pattern: str) -> ByteBpe:
+def codec(path: str, pattern: str, states: int = STATES) -> ByteBpe:
     """One codec per Python worker."""
-    if (path, pattern) not in _codecs:
-        _codecs[(path, pattern)] = ByteBpe(path, pattern)
-    return _codecs[(path, pattern)]
+    key = (path, pattern, states)
+    if key not in _codecs:
+        _codecs[key] = ByteBpe(*key)
+    return _codecs[key]
 
 
 #: What ``encode_decode`` can return, with the type of each.
@@ -153,13 +156,17 @@ def encode_decode(
     path: str | None = None,
     pattern: str | None = None,
     outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded"),
+    states: int = STATES,
 ) -> DataFrame:
-    """One row per input row: ``doc_id`` and the chosen ``OUTPUTS``; other columns are left out."""
+    """One row per input row: ``doc_id`` and the chosen ``OUTPUTS``; other columns are left out.
+
+    ``states`` trades memory of the Python workers for speed; results do not depend on it.
+    """
     path, pattern = path or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
     source = common.narrow(df, id_col, text_col)
 
     def work(texts: list[str | None]) -> list[list]:
-        bpe = codec(path, pattern)
+        bpe = codec(path, pattern, states)
         columns: dict[str, list] = {name: [] for name in outputs}
         for text in texts:
             coded = bpe.encode(text or "")
