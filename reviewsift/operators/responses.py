@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reviewsift.functions.columns import bool_int, clip, collapse, nfc, round_even, strip, text_or_empty
+from reviewsift.functions.columns import clip, collapse, nfc, round_even, strip, text_or_empty
 from reviewsift.functions.text import canonical_id
 from reviewsift.messages import LABEL_INSTRUCTIONS
 from reviewsift.operators.ranking import assign_batches
