@@ -4,7 +4,8 @@ Method: assignment-aware lexing. Texts that hold an assignment mark are lexed in
 name and its value (quoted literals, bare words, concatenations, and references to other names).
 Constants propagate: a reference takes over the literals of the name it points to, through any
 number of steps. Each literal is scored by how sensitive the names are that it reaches and by how
-random it looks; literals above the threshold are added as spans of kind ``lexed``. The three base
+random it looks; what passes is added as spans of kind ``lexed``: literals that are not too plain
+under a strong name, and literals that look random under any listed name. The three base
 patterns (kinds ``assign``, ``access``, ``hex``) are found as the contract defines them and always
 stay.
 
@@ -14,6 +15,7 @@ Names are lexed in order, so a name that is set twice refers to its latest liter
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -39,16 +41,25 @@ KINDS = ("assign", "access", "hex", "lexed")
 SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "pass": 0.7, "secret": 1.0, "token": 0.9,
     "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "private": 0.6, "key": 0.5, "auth": 0.5, "bearer": 0.7,
-    "signature": 0.4, "salt": 0.5, "dsn": 0.5, "pin": 0.4,
+    "signature": 0.4, "salt": 0.5, "dsn": 0.5, "pin": 0.6,
 }
 THRESHOLD = 0.6
+#: Under a weak name a literal must look random: name and literal together must be this certain.
+CERTAIN, LEAST_CHANCE = 0.76, 0.45
 LEAST_LITERAL = 8
+#: Names whose quoted literals may hold blanks.
+PHRASES = {"password", "passwd", "passphrase", "pwd", "pass"}
 
 _NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*"
 _PAIR = re.compile(rf"""(?P<q>["']?)(?P<name>{_NAME})(?P=q)[ \t]*(?::=|=>|=(?!=)|:(?![:/]))[ \t]*(?=\S)""", re.ASCII)
 _VALUE = re.compile(rf"""(?P<quote>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<ref>\$\{{?{_NAME}\}}?)|(?P<bare>[A-Za-z0-9+/_.=\-]+)""", re.ASCII)
 _PLUS = re.compile(r"[ \t]*\+[ \t]*")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+_WORD = re.compile(r"[A-Z]?[a-z]{4,}|[A-Z][a-z]{3}|[A-Z]{4,}(?![a-z])|(?<![A-Za-z0-9+/])[A-Za-z]{2,3}(?![A-Za-z0-9+/])")
+_LOGIN = re.compile(r"://[^/\s:@]*:([^/\s@]+)@")
+_HARD = re.compile(r"(?i:[b-df-hj-np-tv-xz]{5}|^[b-df-hj-np-tv-xz]+$)")
+_MARKS = re.compile(r"[ _.:,-]")
+_ALPHABETS = [(re.compile(p), size) for p, size in (("[0-9]+", 10), ("[0-9a-f]+|[0-9A-F]+", 16), ("[a-z]+|[A-Z]+", 26), ("[0-9a-z]+|[0-9A-Z]+", 36))]
 
 
 def base_spans(text: str, lower: str) -> list[tuple[int, int, str]]:
@@ -61,29 +72,73 @@ def base_spans(text: str, lower: str) -> list[tuple[int, int, str]]:
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def name_weight(name: str) -> float:
-    """How sensitive a target name is: of its words the strongest, joined neighbours included."""
+def name_words(name: str) -> list[str]:
+    """The words of a target name, joined neighbours included."""
     words = [w.lower() for w in _PARTS.findall(name)]
-    joined = words + [a + b for a, b in zip(words, words[1:])]
-    return max((SENSITIVE.get(w, 0.0) for w in joined), default=0.0)
+    return words + [a + b for a, b in zip(words, words[1:])]
+
+
+def name_weight(name: str) -> float:
+    """How sensitive a target name is: of its words the strongest."""
+    return max((SENSITIVE.get(w, 0.0) for w in name_words(name)), default=0.0)
+
+
+def _entropy(value: str) -> float:
+    n = len(value)
+    return -sum(c / n * math.log2(c / n) for c in Counter(value).values())
 
 
 def literal_weight(value: str) -> float:
-    """How random a literal looks, from 0 to 1: its entropy against that of a random one, less for
-    plain words, more for mixed character classes."""
+    """How little plain a literal is, from 0 to 1: its entropy against the most its length allows,
+    less for plain words, more for mixed character classes."""
     n = len(value)
-    if n < LEAST_LITERAL or " " in value:
+    if n < LEAST_LITERAL:
         return 0.0
-    counts = Counter(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in counts.values()) / math.log2(min(n, 64))
+    entropy = _entropy(value) / math.log2(min(n, 64))
     classes = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit)) + (not value.isalnum())
     return min(1.0, entropy * (0.55 if classes < 2 else 0.85 + 0.1 * (classes - 2)))
 
 
+@functools.cache
+def _random_entropy(n: int, size: int) -> float:
+    """The entropy to expect of ``n`` random letters of ``size``."""
+    p = 1 / size
+    chances = ((math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p), k) for k in range(1, n + 1))
+    return -size * sum(math.exp(c) * k / n * math.log2(k / n) for c, k in chances)
+
+
+def chance(value: str) -> float:
+    """How much a literal looks drawn at random, from 0 to 1, at any length: the share of it that is
+    neither words nor marks between them, less if its entropy is below that of a random string of
+    its alphabet. Digits alone count about half, since they may be plain numbers; of an address with
+    a login its password counts."""
+    if login := _LOGIN.search(value):
+        value = login[1]
+    packed = _MARKS.sub("", value)
+    if len(packed) < LEAST_LITERAL:
+        return 0.0
+    worded = sum(len(w) for w in _WORD.findall(value) if not _HARD.search(w))
+    size = next((size for shape, size in _ALPHABETS if shape.fullmatch(packed)), 64)
+    usual = _random_entropy(min(len(packed), 256), size)
+    return min(1.0, _entropy(packed) / usual) * (len(packed) - worded) / len(value) * (0.5 if packed.isdigit() else 1.0)
+
+
+def is_secret(name: str, value: str) -> bool:
+    """Whether a literal that reaches a name is reported: every listed name can pass with a random one."""
+    weight = name_weight(name)
+    if weight == 0 or len(value) < LEAST_LITERAL or (" " in value and PHRASES.isdisjoint(name_words(name))):
+        return False
+    plain = literal_weight(value)
+    if plain > 0 and weight * (0.4 + 0.6 * plain) >= THRESHOLD:
+        return True
+    random = chance(value)
+    return random >= LEAST_CHANCE and 1 - (1 - weight) * (1 - random) >= CERTAIN
+
+
 def lexed_spans(text: str) -> list[tuple[int, int, str]]:
     """Literals that reach a sensitive name, as spans of the literal without its quotes."""
     known: dict[str, list[tuple[int, int]]] = {}
-    best: dict[tuple[int, int], float] = {}
+    found: set[tuple[int, int]] = set()
     for pair in _PAIR.finditer(text):
         at, literals, direct = pair.end(), [], True
         while value := _VALUE.match(text, at):
@@ -102,13 +157,10 @@ def lexed_spans(text: str) -> list[tuple[int, int, str]]:
             at, direct = plus.end(), False
         name = pair["name"]
         known[name] = literals
-        weight = name_weight(name)
-        if weight > 0:
-            whole = literal_weight("".join(text[a:b] for a, b in literals))
-            for span in literals:
-                own = literal_weight(text[slice(*span)]) if direct else whole
-                best[span] = max(best.get(span, 0.0), weight * (0.4 + 0.6 * own) if own > 0 else 0.0)
-    return [(a, b, "lexed") for (a, b), score in best.items() if score >= THRESHOLD]
+        if name_weight(name) > 0:
+            whole = "".join(text[a:b] for a, b in literals)
+            found.update(span for span in literals if is_secret(name, text[slice(*span)] if direct else whole))
+    return [(a, b, "lexed") for a, b in found]
 
 
 def all_spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:

@@ -384,6 +384,29 @@ def test_lexer_propagates_constants():
     assert all(text[a - 10 : a].find("colour") < 0 for a, _, kind in spans if kind == "lexed")
 
 
+@pytest.mark.parametrize("word", sorted(secrets_scan.SENSITIVE))
+def test_every_listed_name_reports_random_literals(word):
+    for value in ("Zk93hfJw02mQp7sLx", "q8Zr+T4vXb1/Yd7KpW3sNf0Lc9GhMj5aUe2Ro6Ti", "x7Kp2VnQ9sWd4RtZ" * 4):
+        text = f'my_{word} = "{value}"\n'
+        found = {text[a:b] for a, b, kind in secrets_scan.all_spans(text)[1] if kind == "lexed"}
+        assert found == {value}
+    text = f'my_{word} = "plain"\n'
+    assert not secrets_scan.lexed_spans(text)
+
+
+def test_weak_names_and_phrases():
+    rng = random.Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    for length in (20, 32, 40, 64):
+        values = ["".join(rng.choices(letters, k=length)) for _ in range(300)]
+        for name in ("private_key", "encryption_key", "auth", "signature"):
+            assert sum(secrets_scan.is_secret(name, v) for v in values) > 0.9 * 300, (name, length)
+    for name, value in [("cache_key", "user_profile_list"), ("sort_key", "2024-01-01"), ("auth", "https://example.com/login"), ("dsn", "postgres://localhost/mydatabase"), ("key", "the quick brown fox")]:
+        assert not secrets_scan.is_secret(name, value)
+    text = 'dsn = "postgres://app:Zx81kQp0vTn4@db/main"\npassphrase = "correct horse battery staple"\n'
+    assert {text[a:b] for a, b, _ in secrets_scan.lexed_spans(text)} == {"postgres://app:Zx81kQp0vTn4@db/main", "correct horse battery staple"}
+
+
 def test_secrets_on_edges(edge, empty):
     assert collections.Counter(r["doc_id"] for r in secrets_scan.scan(edge).collect()) == collections.Counter(r[0] for r in edge_rows())
     assert secrets_scan.scan(empty).count() == 0
