@@ -19,7 +19,11 @@ has the key can turn them back (``decrypt=True``).
 | email | shape                          | letters and digits of the local part; domain stays      |
 
 Separators, case and digit counts stay (a day or month written with one digit may get two).
-Values that do not validate are left alone. A date that can only be read month first may give one
+Values that do not validate are left alone. Cards and IBANs are read out of whole stretches of groups
+(``_read``), since other numbers and words may stand beside them: readings begin and end at
+separators, and what is left of a stretch stays as text. The usual layouts (cards of 4-4-4-4, 4-6-5 and 4-6-4
+digits, an IBAN of its country's length) come first, then the longest reading. Where numbers beside
+a value make readings ambiguous, the pseudonym may by chance allow an earlier one. A date that can only be read month first may give one
 that can be read day first; all other values can be turned back from the text alone.
 
 Edge cases: a null text stays null with zero counts; an empty one stays empty. Only texts with a
@@ -36,18 +40,37 @@ from reviewsift.llm import common
 KEY = "replace this key"
 ROUNDS = 10
 
-#: The shapes looked for. Order matters where shapes overlap.
+#: What ends a stretch of groups: an address, date, number or mail of its own behind a blank.
+_OTHER = (
+    r"\d{1,3}(?:\.\d{1,3}){3}|\d{1,2}[./]\d{1,2}[./]\d{4}|\d{4}-\d{2}-\d{2}(?![\d-])|\d{3}-\d{2}-\d{4}(?![\d-])"
+    r"|\d{3}[.-]\d{3}[.-]\d{4}(?!\d)|[A-Z0-9]*+[a-z._%+-]*+[A-Za-z0-9._%+-]*+@|[A-Z]{2}\d{2}[A-Z0-9]{8}"
+)
+#: The shapes looked for; of cards and IBANs the stretches of groups they stand in.
+#: Order matters where shapes overlap.
 SHAPES = {
     "email": r"(?<![\w.%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]){{8}})[A-Z0-9]++(?![a-z])(?: (?!{_OTHER})[A-Z0-9]++(?![a-z]))*+",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)",
     "date": r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\d./])\d{1,2}([./])\d{1,2}\1\d{4}(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?!\d)",
-    "card": r"(?<![\d])\d(?:[ -]?\d){12,18}(?!\d)",
+    "card": rf"(?<![\d])\d(?:-?\d| (?!{_OTHER})\d){{12,}}+",
 }
 PATTERN = "|".join(f"(?:{shape})" for shape in SHAPES.values())
 GATE = r"[0-9][0-9.\-/ )(]*[0-9]|@"
+#: Usual layouts of cards, as lengths of groups, and lengths of IBANs by country.
+LAYOUTS = {"4-4-4-4": 16, "4-6-5": 15, "4-6-4": 14}
+IBAN_LENGTHS = {
+    int(length): names.split()
+    for length, names in {
+        "15": "NO", "16": "BE", "18": "DK FI FK FO GL NL SD", "19": "MK SI", "20": "AT BA EE KZ LT LU MN XK", "21": "CH HR LI LV",
+        "22": "BG BH CR DE GB GE IE ME RS VA", "23": "AE GI IL IQ OM SO TL", "24": "AD CZ ES MD PK RO SA SE SK TN VG",
+        "25": "LY PT ST", "26": "IS TR", "27": "BI DJ FR GR IT MC MR SM", "28": "AL AZ BY CY DO GT HU LB NI PL SV", "29": "BR EG PS QA UA",
+        "30": "JO KW MU YE", "31": "MT SC", "32": "LC", "33": "RU",
+    }.items()
+}
+#: Groups in one value at most: 19 digits apart, or 34 letters and digits apart.
+MOST_GROUPS = {"card": 19, "iban": 34}
 #: Days of 400 years, their factors, and the first day of a cycle.
 CYCLE, CYCLE_FACTORS, CYCLE_START = 146_097, (189, 773), "1800-01-01"
 
@@ -119,6 +142,11 @@ def _laid_out(shape: Column, content: Column, taken: str) -> Column:
     )
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def luhn_sum(digits: Column) -> Column:
     """The Luhn sum of a string of digits, its check digit included."""
     doubled = lambda d, k: F.when(k % 2 == 0, d).otherwise(2 * d - F.when(d > 4, 9).otherwise(0))
@@ -131,20 +159,55 @@ def _mod97(moved: Column) -> Column:
     return F.aggregate(wide, F.lit(0).cast("bigint"), lambda a, x: F.when(x > 9, (a * 100 + x) % 97).otherwise((a * 10 + x) % 97))
 
 
+def _valid_card(match: Column) -> Column:
+    digits = F.regexp_replace(match, "[^0-9]", "")
+    return F.length(digits).between(13, 19) & (luhn_sum(digits) % 10 == 0)
+
+
+def _layout(match: Column) -> Column:
+    """Lengths of the groups of digits, as ``4-4-4-4``."""
+    return F.array_join(F.transform(F.split(match, "[ -]"), lambda g: F.length(g).cast("string")), "-")
+
+
 def _card(match: Column, key: str, decrypt: bool) -> Column:
     digits = F.regexp_replace(match, "[^0-9]", "")
-    payload = _permuted(F.substring(digits, F.lit(1), F.length(digits) - 1), "card", key, decrypt)
-    check = (F.lit(10) - luhn_sum(F.concat(payload, F.lit("0"))) % 10) % 10
-    return F.when(luhn_sum(digits) % 10 == 0, _laid_out(match, F.concat(payload, check.cast("string")), "0-9"))
+
+    def permuted(all_digits: Column) -> Column:
+        payload = _permuted(F.substring(all_digits, F.lit(1), F.length(all_digits) - 1), "card", key, decrypt)
+        check = lambda p: (F.lit(10) - luhn_sum(F.concat(p, F.lit("0"))) % 10) % 10
+        return _bound(payload, lambda p: F.concat(p, check(p).cast("string")))
+
+    # A value that goes on behind a usual layout is permuted until that part alone is no card, as before.
+    longer = F.lit(0)
+    for layout, length in LAYOUTS.items():
+        longer = F.when(_layout(match).startswith(layout + "-"), length).otherwise(longer)
+    mistaken = lambda d: (longer > 0) & (luhn_sum(F.substring(d, F.lit(1), longer)) % 10 == 0)
+    new = F.aggregate(
+        F.when(longer > 0, F.sequence(F.lit(1), F.lit(12))).otherwise(F.array(F.lit(1))),
+        digits,
+        lambda d, turn: F.when((turn == 1) | mistaken(d), permuted(d)).otherwise(d),
+    )
+    return _bound(new, lambda d: _laid_out(match, d, "0-9"))
+
+
+def _valid_iban(match: Column) -> Column:
+    packed = F.regexp_replace(match, " ", "")
+    return packed.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]{8,30}$") & (_mod97(F.concat(F.substring(packed, F.lit(5), F.length(packed)), F.substring(packed, 1, 4))) == 1)
+
+
+def _country_long(match: Column) -> Column:
+    """Whether an IBAN is as long as those of its country."""
+    return F.length(F.regexp_replace(match, " ", "")) == F.coalesce(
+        *(F.when(F.substring(match, 1, 2).isin(names), length) for length, names in IBAN_LENGTHS.items()), F.lit(0)
+    )
 
 
 def _iban(match: Column, key: str, decrypt: bool) -> Column:
     packed = F.regexp_replace(match, " ", "")
     country, account = F.substring(packed, 1, 2), F.substring(packed, F.lit(5), F.length(packed))
     fresh = _permuted(account, "iban", key, decrypt)
-    check = F.lpad((98 - _mod97(F.concat(fresh, country, F.lit("00")))).cast("string"), 2, "0")
-    valid = _mod97(F.concat(account, F.substring(packed, 1, 4))) == 1
-    return F.when(valid, _laid_out(match, F.concat(country, check, fresh), "A-Z0-9"))
+    check = lambda new: F.lpad((98 - _mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
+    return _bound(_bound(fresh, lambda new: F.concat(country, check(new), new)), lambda new: _laid_out(match, new, "A-Z0-9"))
 
 
 def _ssn(match: Column, key: str, decrypt: bool) -> Column:
@@ -208,27 +271,77 @@ def _kind(match: Column) -> Column:
     return found
 
 
+def _piece(kind: Column | str, old: Column) -> Column:
+    return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), old.alias("old"))
+
+
+def _read(stretch: Column, kind: str, left: str, valid) -> Column:
+    """A stretch of groups as pieces: from the left, at each group the longest valid reading that ends
+    with a group; groups in none stay together as pieces of kind ``left``."""
+    groups = F.regexp_extract_all(stretch, F.lit("[A-Z0-9]+[ -]?|[ -]"), F.lit(0))
+
+    def reading(at: Column, group: Column) -> Column:
+        """How many groups, from this one on, the reading takes; 0 for none."""
+        most = F.least(F.size(group) - at, F.lit(MOST_GROUPS[kind[:4]]))
+        joined = lambda n: F.regexp_replace(F.array_join(F.slice(group, at + 1, n), ""), "[ -]$", "")
+        some = F.get(F.filter(F.sequence(most, F.lit(1), F.lit(-1)), lambda n: valid(joined(n))), F.lit(0))
+        return F.when(F.get(group, at).rlike("^[A-Z0-9]"), F.coalesce(some, F.lit(0))).otherwise(F.lit(0))
+
+    def step(state: Column, token: Column) -> Column:
+        """Adds a group to the open piece, or opens a piece."""
+        opens = (state["todo"] == 0) & (token["n"] > 0)
+        goes_on = state["todo"] > 0
+        body = F.regexp_replace(token["text"], "[ -]$", "")
+        mark = F.substring(token["text"], F.length(body) + 1, F.lit(1))
+        todo = F.when(opens, token["n"]).otherwise(state["todo"]) - 1
+        value = F.concat(F.when(opens, F.lit("")).otherwise(state["open"]), F.when(todo == 0, body).otherwise(token["text"]))
+        before = F.when(opens, F.concat(state["out"], F.array(_piece(left, state["open"])))).otherwise(state["out"])
+        taken = F.struct(
+            todo.alias("todo"),
+            F.when(todo == 0, F.concat(before, F.array(_piece(kind, value)))).otherwise(before).alias("out"),
+            F.when(todo == 0, mark).otherwise(value).alias("open"),
+        )
+        plain = F.struct(F.lit(0).alias("todo"), state["out"].alias("out"), F.concat(state["open"], token["text"]).alias("open"))
+        return F.when(opens | goes_on, taken).otherwise(plain)
+
+    tokens = F.transform(groups, lambda text, at: F.struct(text.alias("text"), reading(at, groups).alias("n")))
+    start = F.struct(F.lit(0).alias("todo"), F.array().cast("array<struct<kind:string,old:string>>").alias("out"), F.lit("").alias("open"))
+    return F.aggregate(tokens, start, step, lambda s: F.concat(s["out"], F.array(_piece(left, s["open"]))))
+
+
+#: Readings of stretches in their order: which pieces are read, as what, and what their other groups are then.
+_READINGS = (
+    ("iban", "iban!", "iban?", lambda old: _country_long(old) & _valid_iban(old)),
+    ("iban?", "iban!", "card", lambda old: _valid_iban(old)),
+    ("card", "card!", "card?", lambda old: _layout(old).isin(*LAYOUTS) & _valid_card(old)),
+    ("card?", "card!", "", lambda old: _valid_card(old)),
+)
+
+
 def pseudonymise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY, decrypt: bool = False) -> DataFrame:
     """One row per input row: ``doc_id``, the new ``text``, and per kind how many values were replaced."""
     docs = common.narrow(df, id_col, text_col)
     gated = F.col("text").rlike(GATE)
     matches = F.when(gated, F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
     between = F.when(gated, F.split("text", PATTERN, -1)).otherwise(F.array("text"))
+    cut = docs.select("doc_id", "text", between.alias("between"), F.transform(matches, lambda m: F.array(_piece(_kind(m), m))).alias("pieces"))
+    for wanted, kind, left, valid in _READINGS:
+        read = lambda p: F.when(p["kind"] == wanted, _read(p["old"], kind, left, valid)).otherwise(F.array(p))  # noqa: B023, E731
+        cut = cut.withColumn("pieces", F.transform("pieces", lambda pieces: F.flatten(F.transform(pieces, read))))  # noqa: B023
 
-    def rewritten(match: Column) -> Column:
-        kind = _kind(match)
+    def rewritten(piece: Column) -> Column:
         new = F.lit(None).cast("string")
         for name, maker in _MAKERS.items():
-            new = F.when(kind == name, maker(match, key, decrypt)).otherwise(new)
-        return F.struct(kind.alias("kind"), new.alias("new"), match.alias("old"))
+            new = F.when(piece["kind"] == (name + "!" if name in MOST_GROUPS else name), maker(piece["old"], key, decrypt)).otherwise(new)
+        return F.struct(F.regexp_replace(piece["kind"], "!", "").alias("kind"), new.alias("new"), piece["old"].alias("old"))
 
-    cut = docs.select("doc_id", "text", between.alias("between"), matches.alias("matches"))
-    done = cut.withColumn("done", F.transform("matches", rewritten))
-    tails = F.concat(F.transform("done", lambda x: F.coalesce(x["new"], x["old"])), F.array(F.lit("")))
+    done = cut.withColumn("done", F.transform("pieces", lambda pieces: F.transform(pieces, rewritten)))
+    spelled = lambda pieces: F.array_join(F.transform(pieces, lambda x: F.coalesce(x["new"], x["old"])), "")
+    tails = F.concat(F.transform("done", spelled), F.array(F.lit("")))
     text = F.array_join(F.zip_with("between", tails, lambda a, b: F.concat(a, b)), "")
 
     def count(kind: str) -> Column:
-        return F.size(F.filter("done", lambda x: (x["kind"] == kind) & x["new"].isNotNull())).cast("long").alias(f"n_{kind}")
+        return F.size(F.filter(F.flatten("done"), lambda x: (x["kind"] == kind) & x["new"].isNotNull())).cast("long").alias(f"n_{kind}")
 
     counts = [count(kind) for kind in SHAPES]
     return done.select("doc_id", F.when(F.col("text").isNotNull(), text).alias("text"), *counts)

@@ -465,6 +465,31 @@ def test_pseudonyms(spark):
         assert new[100 + k]["text"] == f"x {value} y"
 
 
+def test_values_beside_other_groups(spark):
+    card, amex, iban, other = "4111 1111 1111 1111", "3782 822463 10005", "ES91 2100 0418 4502 0005 1332", "GB29NWBK60161331926819"
+    texts = [f"{card} 123", f"{card} 12/26 ok", f"{card}-123", f"123 {card}", f"{amex} {card}", f"{card} 2024-05-01", f"{card} 10.0.0.1 x", f"{card} 123-45-6789",
+             f"{iban} EUR", f"{iban} PAID IN FULL", f"{other} EUR.", f"AB12 {iban}", f"{iban} {card}", f"AB12 {card} 123", f"{iban} {other}", card, iban]
+    texts += ["7" * 40_000, "1234567 " * 300 + card]
+    # 16 digits with a code behind them, and cards of 19 digits: both turn back.
+    rng = random.Random(4)
+    bodies = ["".join(rng.choices("0123456789", k=k)) for k in (15, 18) for _ in range(60)]
+    numbers = [b + next(str(d) for d in range(10) if luhn(b + str(d))) for b in bodies]
+    first = len(texts)
+    texts += [" ".join(n[k : k + 4] for k in range(0, len(n), 4)) + (" 123" if len(n) == 16 else "") for n in numbers]
+    new = pseudonyms.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), key="k").collect()
+    got = {r["doc_id"]: r for r in new}
+    for i, text in enumerate(texts[:first]):
+        if i != 17:
+            assert all(value not in got[i]["text"] for value in (card, amex, iban, other, "2024-05-01", "10.0.0.1", "123-45-6789")), (text, got[i])
+            assert got[i]["n_card"] == (card in text) + (amex in text) and got[i]["n_iban"] == (iban in text) + (other in text), text
+    assert all(got[i]["text"] == got[15]["text"] + tail for i, tail in [(0, " 123"), (1, " 12/26 ok"), (2, "-123")])
+    assert all(got[i]["text"] == got[16]["text"] + tail for i, tail in [(8, " EUR"), (9, " PAID IN FULL")])
+    assert got[17]["text"] == texts[17] and got[10]["text"].endswith(" EUR.")
+    back = pseudonyms.pseudonymise(spark.createDataFrame([(r["doc_id"], r["text"]) for r in new], "doc_id bigint, text string"), key="k", decrypt=True)
+    back = {r["doc_id"]: r["text"] for r in back.collect()}
+    assert all(got[i]["text"] != texts[i] and back[i] == texts[i] for i in range(first, len(texts)))
+
+
 def test_pseudonyms_are_a_bijection(spark):
     new = pseudonyms.pseudonymise(spark.range(10_000).selectExpr("id as doc_id", "concat('10.3.', id div 256, '.', id % 256) as text"))
     assert new.select("text").distinct().count() == 10_000
