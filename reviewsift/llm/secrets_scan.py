@@ -10,11 +10,13 @@ patterns (kinds ``assign``, ``access``, ``hex``) are found as the contract defin
 stay.
 
 Edge cases: a null text counts as empty: no spans, the digest of nothing. Any id passes through.
-Names are lexed in order, so a name that is set twice refers to its latest literal above.
+Names are lexed in order, so a name that is set twice refers to its latest literal above;
+``$`` references without one above take the first below.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import math
 import re
@@ -137,29 +139,58 @@ def is_secret(name: str, value: str) -> bool:
 
 def lexed_spans(text: str) -> list[tuple[int, int, str]]:
     """Literals that reach a sensitive name, as spans of the literal without its quotes."""
-    known: dict[str, list[tuple[int, int]]] = {}
-    found: set[tuple[int, int]] = set()
+    # Of each pair its name, its own literals, the pairs it refers to, and whether it is one value.
+    pairs: list[tuple[str, list[tuple[int, int]], list[str], bool]] = []
     for pair in _PAIR.finditer(text):
-        at, literals, direct = pair.end(), [], True
+        at, literals, names, direct = pair.end(), [], [], True
         while value := _VALUE.match(text, at):
             start, end = value.span()
             if value["quote"]:
                 literals.append((start + 1, end - 1))
             elif value["ref"]:
-                literals += known.get(value["ref"].strip("${}"), [])
-            elif value["bare"] in known:
-                literals += known[value["bare"]]
+                names.append(value["ref"].strip("${}"))
             else:
                 literals.append((start, end))
             plus = _PLUS.match(text, end)
             if not plus:
                 break
             at, direct = plus.end(), False
-        name = pair["name"]
-        known[name] = literals
-        if name_weight(name) > 0:
-            whole = "".join(text[a:b] for a, b in literals)
-            found.update(span for span in literals if is_secret(name, text[slice(*span)] if direct else whole))
+        pairs.append((pair["name"], literals, names, direct))
+    places: dict[str, list[int]] = {}
+    for k, (name, *_) in enumerate(pairs):
+        places.setdefault(name, []).append(k)
+
+    def target(name: str, k: int, above: bool = False) -> int | None:
+        """The pair a name refers to in pair k: the latest above, else the first below."""
+        where = places.get(name)
+        if not where:
+            return None
+        n = bisect.bisect_left(where, k)
+        later = where[n:] if where[n:] and where[n] != k else where[n + 1 :]
+        return where[n - 1] if n else later[0] if later and not above else None
+
+    found: set[tuple[int, int]] = set()
+    for k, (name, _, _, direct) in enumerate(pairs):
+        if name_weight(name) == 0:
+            continue
+        reached, todo, visited = {}, [k], {k}
+        while todo:
+            here = todo.pop()
+            _, literals, names, _ = pairs[here]
+            nexts = [target(n, here) for n in names]
+            for a, b in literals:
+                # A bare word is a reference if its name is set above.
+                aim = target(text[a:b], here, above=True) if text[a - 1 : a] not in ('"', "'") else None
+                if aim is None:
+                    reached[(a, b)] = None
+                nexts.append(aim)
+            for aim in nexts:
+                if aim is not None and aim not in visited:
+                    visited.add(aim)
+                    todo.append(aim)
+        spans = sorted(reached)
+        whole = "".join(text[a:b] for a, b in spans)
+        found.update(span for span in spans if is_secret(name, text[slice(*span)] if direct else whole))
     return [(a, b, "lexed") for a, b in found]
 
 

@@ -407,6 +407,13 @@ def test_weak_names_and_phrases():
     assert {text[a:b] for a, b, _ in secrets_scan.lexed_spans(text)} == {"postgres://app:Zx81kQp0vTn4@db/main", "correct horse battery staple"}
 
 
+def test_references_before_definitions():
+    value = "Zk93hfJw02mQp7sLx"
+    for text in (f"PASSWORD=${{VALUE}}\nVALUE={value}\n", f"PASSWORD=$A\nA=$B\nB={value}\n"):
+        assert {text[a:b] for a, b, _ in secrets_scan.lexed_spans(text)} == {value}
+    assert secrets_scan.lexed_spans("PASSWORD=$A\nA=$B\nB=$A\n") == []
+
+
 def test_secrets_on_edges(edge, empty):
     assert collections.Counter(r["doc_id"] for r in secrets_scan.scan(edge).collect()) == collections.Counter(r[0] for r in edge_rows())
     assert secrets_scan.scan(empty).count() == 0
