@@ -22,6 +22,10 @@ from reviewsift.functions.features import (
     metadata_features, reason_codes, sample_weight_of,
 )
 from reviewsift.lexicon import Lexicon, VIETNAMESE
+from reviewsift.models.moments import (
+    Moments, balanced_weights, fold_moments, leave_out, linear_model, ridge_solution, scaler_of,
+    total,
+)
 from reviewsift.operators.explain import decide
 from reviewsift.operators.metrics import binary_metrics
 from reviewsift.operators.ranking import stratified_folds
@@ -187,9 +191,11 @@ def embedding_array() -> Column:
     return vector_to_array("embedding")
 
 
-def rf_model(rows: DataFrame, settings: Settings, seed: int) -> RandomForestClassificationModel:
-    """M3: balanced random forest on the embedding."""
-    weighted = with_class_weight(rows, class_weights(rows))
+def rf_model(
+    rows: DataFrame, settings: Settings, seed: int, weights: Mapping[int, float] | None = None
+) -> RandomForestClassificationModel:
+    """M3: balanced random forest on the embedding; ``weights`` are those of the classes, if known."""
+    weighted = with_class_weight(rows, weights or class_weights(rows))
     return RandomForestClassifier(
         featuresCol="embedding", labelCol="label", weightCol="_weight",
         numTrees=settings.trees, maxDepth=settings.rf_depth, minInstancesPerNode=2, seed=seed,
@@ -222,12 +228,34 @@ def ridge(
     ).fit(rows)
 
 
+def split_moments(
+    rows: DataFrame, metadata: Sequence[str], fold: str | None = None, width: int | None = None
+) -> dict[int, Moments]:
+    """Moments of embedding, metadata, targets and label per fold: one pass over the rows.
+
+    Scalers, class weights and auxiliary regressors of every split follow from them.
+    """
+    if width is None:
+        first = rows.select(F.size(embedding_array()).alias("width")).first()
+        width = first["width"] if first else 0
+    numbers = {c: F.col(c) for c in (*metadata, *AUX_TARGETS, "label")}
+    return fold_moments(rows, numbers, fold, ("embedding_", embedding_array(), width))
+
+
+def aux_of(moments: Moments, scaler: Mapping[str, tuple[float, float]]) -> dict[str, LinearRegressionModel]:
+    """M7: predictors of the rubric score and of the annotation confidence, from the moments of their rows."""
+    features = [c for c in moments.names if c.startswith("embedding_")] + list(scaler)
+    return {
+        target: linear_model(*ridge_solution(moments, features, target, RIDGE_ALPHA, scaler), "_aux_features", "_ridge")
+        for target in AUX_TARGETS
+    }
+
+
 def aux_regressors(
     rows: DataFrame, scaler: Mapping[str, tuple[float, float]]
 ) -> dict[str, LinearRegressionModel]:
-    """M7: predictors of the rubric score and of the annotation confidence."""
-    ready = assemble(rows, [embedding_array(), *scaled(scaler)], "_aux_features")
-    return {target: ridge(ready, "_aux_features", target) for target in AUX_TARGETS}
+    """M7: both predictors fit on all rows of a table."""
+    return aux_of(total(split_moments(rows, list(scaler))), scaler)
 
 
 def aux_features(
@@ -317,10 +345,12 @@ def _score_level_one(rows: DataFrame, models: StackModels) -> DataFrame:
 
 
 def _fit_level_one(
-    rows: DataFrame, metadata: Sequence[str], settings: Settings, seed: int
+    rows: DataFrame, moments: Moments, metadata: Sequence[str], settings: Settings, seed: int
 ) -> StackModels:
-    scaler = fit_scaler(rows, metadata)
-    return StackModels(rf_model(rows, settings, seed), scaler, aux_regressors(rows, scaler))
+    """Models of one split; ``moments`` are those of its rows."""
+    scaler = scaler_of(moments, metadata)
+    forest = rf_model(rows, settings, seed, balanced_weights(moments))
+    return StackModels(forest, scaler, aux_of(moments, scaler))
 
 
 def nested_oof(
@@ -333,23 +363,26 @@ def nested_oof(
     """Stack features for training rows from models that never saw them, and for
     validation rows from models fit on all training rows.
 
-    Every training row is scored exactly once, by the models of the other inner folds.
+    Every training row is scored exactly once, by the models of the other inner folds. All linear
+    parts come from one pass over the rows: a split's moments are the total's minus the fold's.
     """
     folded = stratified_folds(train, "label", settings.inner_folds, seed, output="inner_fold")
     folded = materialize(folded)
+    parts = split_moments(folded, metadata, "inner_fold")
+    others = leave_out(parts)
 
     def inner(i: int) -> Callable[[], DataFrame]:
         def run() -> DataFrame:
             fit = folded.filter(F.col("inner_fold") != i)
-            models = _fit_level_one(fit, metadata, settings, seed + i + 1)
+            models = _fit_level_one(fit, others[i], metadata, settings, seed + i + 1)
             return _score_level_one(folded.filter(F.col("inner_fold") == i), models)
 
         return run
 
     tasks: list[Callable[[], object]] = [inner(i) for i in range(settings.inner_folds)]
-    tasks.append(lambda: _fit_level_one(folded, metadata, settings, seed + 100))
-    *parts, full = _parallel(tasks, settings.parallelism)
-    oof = reduce(DataFrame.unionByName, parts)
+    tasks.append(lambda: _fit_level_one(folded, total(parts), metadata, settings, seed + 100))
+    *scored, full = _parallel(tasks, settings.parallelism)
+    oof = reduce(DataFrame.unionByName, scored)
     train_rows = materialize(stack_features(oof, full.scaler))
     if valid is None:
         return train_rows, None, full
@@ -367,7 +400,8 @@ def _fold_predictions(
     train = rows.filter(F.col("fold") != fold)
     valid = rows.filter(F.col("fold") == fold)
     seed = settings.seed + (fold + 1) * 1000
-    scaler = fit_scaler(train, metadata)
+    stack_train, stack_valid, level_one = nested_oof(train, valid, metadata, settings, seed)
+    scaler = level_one.scaler
     views = {
         "metadata_logistic": (scaled(scaler), None, False),
         "embedding_logistic": ([embedding_array()], None, True),
@@ -385,8 +419,6 @@ def _fold_predictions(
 
         return run
 
-    stack_train, stack_valid, _ = nested_oof(train, valid, metadata, settings, seed)
-
     def stacked(features: str) -> Callable[[], DataFrame]:
         return lambda: with_probability(boosted(stack_train, features, settings, seed), stack_valid, features)
 

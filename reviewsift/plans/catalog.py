@@ -19,7 +19,7 @@ from reviewsift.functions.features import (
 from reviewsift.functions.text import (
     canonical_ids, clean_cloud_text, clean_corpus, encoder_ready, nfc_corpus, with_review_text,
 )
-from reviewsift.models import embed, stack
+from reviewsift.models import embed, moments, stack
 from reviewsift.operators import explain, gold as joins, metrics, ranking, reports, responses
 from reviewsift.operators import rubric, rubric_v2, validate
 from reviewsift.plans import flows, oracle as o, views as v
@@ -1400,13 +1400,17 @@ def m6(spark, d):
     )
 
 
-@query("m7_aux_regressors", TRAINED + "select annotation_id, true as valid from t")
+@query("m7_aux_regressors", TRAINED + "select annotation_id, true as valid, true as fits from t")
 def m7(spark, d):
     rows = _rows(spark, d)
     scaler = stack.fit_scaler(rows, stack.usable_metadata(rows))
     scored = stack.aux_features(rows, stack.aux_regressors(rows, scaler), scaler)
     valid = _between(stack.AUX_FEATURES[0], -2, 7) & _between(stack.AUX_FEATURES[1], 0, 1)
-    return scored.select("annotation_id", valid.alias("valid"))
+    # A constant has the variance as its error, a shuffled prediction more.
+    errors = scored.agg(*[
+        (F.avg((F.col(t) - F.col(p)) ** 2) < 0.9 * F.var_pop(t)).alias(t) for t, p in zip(stack.AUX_TARGETS, stack.AUX_FEATURES)
+    ]).first()
+    return scored.select("annotation_id", valid.alias("valid"), F.lit(all(errors)).alias("fits"))
 
 
 @query("m7_ridge", o.sql("reviews", f""",
@@ -1425,6 +1429,40 @@ def m7_ridge(spark, d):
     return scored.select("annotation_id", round_even(F.col("_ridge"), 3).alias("predicted"))
 
 
+FOLD_RIDGE = """,
+  f as (select annotation_id, cast(doc_id % 3 as integer) as fold, cast(word_count as double) as a, cast(helpful_count as double) as b,
+          cast(length(content) as double) as y from review_rows),
+  m as (select k.fold, count(*) as n, avg(a) as ma, avg(b) as mb, avg(y) as my, var_pop(a) * count(*) + 10 as aa,
+          var_pop(b) * count(*) + 10 as bb, covar_pop(a, b) * count(*) as ab,
+          covar_pop(a, y) * count(*) as ay, covar_pop(b, y) * count(*) as byy
+        from f join (select distinct fold from f) k on k.fold <> f.fold group by k.fold),
+  c as (select *, (ay * bb - byy * ab) / (aa * bb - ab * ab) as wa, (byy * aa - ay * ab) / (aa * bb - ab * ab) as wb from m)
+"""
+
+
+def _fold_ridge(spark, d):
+    rows = v.review_rows(spark, d).withColumn("_y", F.length("content").cast("double"))
+    rows = rows.select("annotation_id", "word_count", "helpful_count", "_y", (F.col("doc_id") % 3).cast("int").alias("fold"))
+    return moments.oof_ridge(materialize(rows), ["word_count", "helpful_count"], "_y", "fold", stack.RIDGE_ALPHA)
+
+
+@query("m7_fold_ridge", o.sql("reviews", FOLD_RIDGE + f"""
+  select annotation_id, f.fold, {o.rnd('my + wa * (a - ma) + wb * (b - mb)', 3)} as predicted from f join c on c.fold = f.fold"""))
+def m7_fold_ridge(spark, d):
+    """Each row predicted by the model of the other folds; one pass fits all of them."""
+    scored, _ = _fold_ridge(spark, d)
+    return scored.select("annotation_id", "fold", round_even(F.col("oof_prediction"), 3).alias("predicted"))
+
+
+@query("m7_fold_coefficients", o.sql("reviews", FOLD_RIDGE + f"""
+  select fold, {o.rnd('wa', 9)} as w_word_count, {o.rnd('wb', 9)} as w_helpful_count, {o.rnd('my - wa * ma - wb * mb', 7)} as intercept from c"""))
+def m7_fold_coefficients(spark, d):
+    _, models = _fold_ridge(spark, d)
+    rows = [(f, *map(float, beta), float(intercept)) for f, (beta, intercept) in models.items()]
+    made = spark.createDataFrame(rows, "fold int, w_word_count double, w_helpful_count double, intercept double")
+    return made.select("fold", *[round_even(F.col(c), k).alias(c) for c, k in (("w_word_count", 9), ("w_helpful_count", 9), ("intercept", 7))])
+
+
 @query("m8_scale_metadata", o.sql("reviews", f"""
   select annotation_id,
     {o.rnd('(word_count - (select avg(word_count) from review_rows)) / (select stddev_pop(word_count) from review_rows)', 6)} as scaled_word_count,
