@@ -39,18 +39,8 @@ def collapse(c: Column | str) -> Column:
 
 
 def word_count(c: Column | str) -> Column:
-    """Number of white-space separated words; 0 for an empty text.
-
-    Every white-space character becomes a blank, runs of blanks become one, and the blanks left
-    inside are counted: no array of words is built.
-    """
-    others = WHITE_CHARACTERS.replace(" ", "")
-    blank = F.trim(F.translate(col(c), others, " " * len(others)))
-    single = blank
-    for run in (" " * 32, " " * 8, " " * 4, "  ", "  "):
-        single = F.replace(single, F.lit(run), F.lit(" "))
-    words = F.length(single) - F.length(F.replace(single, F.lit(" "), F.lit(""))) + 1
-    return F.when(blank == "", 0).otherwise(words).cast("int")
+    """Number of white-space separated words; 0 for an empty text."""
+    return F.regexp_count(col(c), F.lit(f"[^{WHITE_SPACE}]+"))
 
 
 def char_count(c: Column | str, symbol: str) -> Column:

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from reviewsift.functions.columns import round_even, safe_div
 from reviewsift.operators.ordering import with_running_sums
 from reviewsift.operators.reports import describe
 from reviewsift.schemas import LABEL_NAMES
-from reviewsift.session import materialize
 
 METRIC_NAMES = ("accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc")
 
@@ -28,21 +27,14 @@ def confusion(
     )
 
 
-def ranking_metrics(
-    df: DataFrame, label: str, score: str, by: Sequence[str] = ()
-) -> DataFrame:
-    """Exact ROC-AUC (ties count half) and average precision per group.
+def _ranked(levels: DataFrame, by: Sequence[str], also: Sequence[Column] = ()) -> DataFrame:
+    """AUC and average precision of score levels with `_pos` and `_neg` counts, per group.
 
-    Rows are counted per distinct score first, scores as they are; the level table is
-    range-partitioned. AUC is NULL and average precision 0 without positives; AUC is NULL
-    without negatives.
+    Levels are range-partitioned by score once, their places frozen in one written table; totals per
+    partition combine in score order, so no task sees more than its range.
     """
-    levels = df.groupBy(*by, F.col(score).cast("double").alias("_score")).agg(
-        F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("_pos"),
-        F.sum(F.when(F.col(label) == 0, 1).otherwise(0)).alias("_neg"),
-    )
     summed = with_running_sums(
-        materialize(levels), [F.col("_score").desc()], {"_tp": F.col("_pos"), "_fp": F.col("_neg")}, by
+        levels, [F.col("_score").desc()], {"_tp": F.col("_pos"), "_fp": F.col("_neg")}, by
     )
     precision = F.col("_tp") / (F.col("_tp") + F.col("_fp"))
     # Each negative is beaten by the positives above it and ties with those at its level.
@@ -51,13 +43,31 @@ def ranking_metrics(
         F.sum("_pos").alias("_p"),
         F.sum("_neg").alias("_n"),
         F.sum(beaten).alias("_beaten"),
-        F.sum(F.col("_pos") * precision).alias("_ap"),
+        # A level without rows of either class has no precision.
+        F.sum(F.when(F.col("_pos") > 0, F.col("_pos") * precision).otherwise(0.0)).alias("_ap"),
+        *also,
     )
-    return totals.select(
-        *by,
-        safe_div(F.col("_beaten"), F.col("_p") * F.col("_n")).alias("roc_auc"),
-        safe_div(F.col("_ap"), F.col("_p"), 0.0).alias("pr_auc"),
+    return totals.withColumns(
+        {
+            "roc_auc": safe_div(F.col("_beaten"), F.col("_p") * F.col("_n")),
+            "pr_auc": safe_div(F.col("_ap"), F.col("_p"), 0.0),
+        }
+    ).drop("_p", "_n", "_beaten", "_ap")
+
+
+def ranking_metrics(
+    df: DataFrame, label: str, score: str, by: Sequence[str] = ()
+) -> DataFrame:
+    """Exact ROC-AUC (ties count half) and average precision per group.
+
+    Rows are counted per distinct score first, scores as they are. AUC is NULL and average precision
+    0 without positives; AUC is NULL without negatives.
+    """
+    levels = df.groupBy(*by, F.col(score).cast("double").alias("_score")).agg(
+        F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("_pos"),
+        F.sum(F.when(F.col(label) == 0, 1).otherwise(0)).alias("_neg"),
     )
+    return _ranked(levels, by).select(*by, "roc_auc", "pr_auc")
 
 
 def binary_metrics(
@@ -70,10 +80,20 @@ def binary_metrics(
 ) -> DataFrame:
     """Accuracy, precision, recall, F1, ROC-AUC, average precision and the confusion
     counts, per group; ratios without a denominator are 0."""
-    df = materialize(df.select(*by, label, pred, score))  # read once for counts and ranks
-    counts = confusion(df, label, pred, by)
+    y, p = F.col(label), F.col(pred)
+    levels = df.groupBy(*by, F.col(score).cast("double").alias("_score")).agg(
+        F.sum(F.when(y == 1, 1).otherwise(0)).alias("_pos"),
+        F.sum(F.when(y == 0, 1).otherwise(0)).alias("_neg"),
+        *[
+            F.count_if((y == a) & (p == b)).alias(c)
+            for c, a, b in (("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0), ("tp", 1, 1))
+        ],
+    )
+    # Counts of the four cells come with the levels: the data is read once.
+    cells = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tn", "fp", "fn", "tp")]
+    ranks = _ranked(levels, by, cells)
     tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
-    rates = counts.withColumns(
+    result = ranks.withColumns(
         {
             "accuracy": safe_div(tp + tn, tn + fp + fn + tp),
             "precision": safe_div(tp, tp + fp, 0.0),
@@ -81,20 +101,6 @@ def binary_metrics(
             "f1": safe_div(2 * tp, 2 * tp + fp + fn, 0.0),
         }
     )
-    ranks = ranking_metrics(df, label, score, by)
-    if by:
-        named = ranks.withColumnsRenamed({b: f"_r_{b}" for b in by})
-        condition = F.lit(True)
-        for b in by:
-            condition = condition & F.col(b).eqNullSafe(F.col(f"_r_{b}"))
-        result = rates.join(named, condition, "left").drop(*[f"_r_{b}" for b in by])
-    else:
-        result = rates.withColumns(
-            {
-                "roc_auc": ranks.select("roc_auc").scalar(),
-                "pr_auc": ranks.select("pr_auc").scalar(),
-            }
-        )
     shown = [
         F.col(n) if rounded is None else round_even(F.col(n), rounded).alias(n)
         for n in METRIC_NAMES

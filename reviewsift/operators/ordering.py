@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from reviewsift.session import materialize
 
-_ROW_BITS = 33
+#: Low bits of a monotonically increasing id that count rows inside a partition.
+ROW_BITS = 33
 
 
 def _placed(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -22,7 +23,7 @@ def _placed(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFr
         df.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .withColumn("_slot", F.monotonically_increasing_id())
-        .withColumn("_part", F.shiftright("_slot", _ROW_BITS))
+        .withColumn("_part", F.shiftright("_slot", ROW_BITS))
     )
 
 

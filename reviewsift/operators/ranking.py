@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from reviewsift.operators.ordering import with_position
+from reviewsift.operators.ordering import ROW_BITS, with_position
 
 
 def rank_reviews(
@@ -20,15 +20,22 @@ def rank_reviews(
     return with_position(df, order, partition_by, "rank", start=1, total="count")
 
 
+def _first_of_tasks(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
+    """The first k rows of each partition: no other can be among the first k of the table."""
+    inside = F.monotonically_increasing_id().bitwiseAND((1 << ROW_BITS) - 1)
+    return df.sortWithinPartitions(*order).withColumn("_place", inside).filter(F.col("_place") < k).drop("_place")
+
+
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
     """The first k rows per group.
 
     Every task keeps only its own k best rows per group before the shuffle, so a hot group
-    never travels whole. Without groups rows are cut by their global position: k may be
-    anything, and no task gathers k rows.
+    never travels whole. Without groups the tasks' first k rows are cut by their global
+    position: k may be anything, and no task gathers k rows.
     """
     if not by:
-        return with_position(df, order, output="rank", start=1).filter(F.col("rank") <= k)
+        first = _first_of_tasks(df, order, k)
+        return with_position(first, order, output="rank", start=1).filter(F.col("rank") <= k)
     return df.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter(
         F.col("rank") <= k
     )
@@ -80,8 +87,9 @@ def work_slice(
     df: DataFrame, start: int, limit: int | None, order: Sequence[Column]
 ) -> DataFrame:
     """Rows start..start+limit in a stable order, cut by global position, because a plain
-    limit gathers its rows in one task."""
+    limit gathers its rows in one task. Rows that come after the slice in their own task go first."""
     inside = F.col("_position") >= start
     if limit is not None:
         inside = inside & (F.col("_position") < start + limit)
+        df = _first_of_tasks(df, order, start + limit)
     return with_position(df, order, output="_position").filter(inside).drop("_position")

@@ -61,6 +61,15 @@ def _share(count: str = "review_count") -> Column:
     return percentage(F.col(count) / F.sum(count).over(W.partitionBy()))
 
 
+def exact_mean(df: DataFrame, column: str) -> Column:
+    """Mean that does not hang on the order of summation: fractions are summed as decimals (ten
+    places), so that a mean on a rounding tie falls to the same side in every plan."""
+    if dict(df.dtypes).get(column) not in ("double", "float"):
+        return F.avg(column)
+    value = F.col(column).try_cast("decimal(38,10)")
+    return F.sum(value).cast("double") / F.nullif(F.count(value), F.lit(0))
+
+
 def rate_aggs(label: str) -> list[Column]:
     return [
         F.count("*").alias("review_count"),
@@ -80,7 +89,7 @@ def rate_report(
     """Group size, helpful sum, helpful rate in percent, other rounded means, and share."""
     means = means or {}
     grouped = df.groupBy(by).agg(
-        *rate_aggs(label), *[F.avg(c).alias(f"_m_{out}") for out, (c, _) in means.items()]
+        *rate_aggs(label), *[exact_mean(df, c).alias(f"_m_{out}") for out, (c, _) in means.items()]
     )
     columns = [
         F.col(by),

@@ -214,7 +214,8 @@ def rate_sql(
         f"{big(f'sum({label})')} as helpful_count",
         f"{pct(f'avg({label})')} as helpful_rate",
     ]
-    cols += [f"{rnd(f'avg({c})', d)} as {out}" for out, c, d in means]
+    exact = "sum(cast({0} as decimal(38,10)))::double / count({0})"
+    cols += [f"{rnd(exact.format(c), d)} as {out}" for out, c, d in means]
     if share:
         cols.append(
             f"{rnd(f'count(*)::double / (select count(*) from {source}) * 100', 2)} as percentage"

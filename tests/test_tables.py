@@ -266,6 +266,57 @@ def test_global_top_k(spark):
 # --- statistics and metrics -------------------------------------------------------------------------------
 
 
+def test_narrowed_percentiles_equal_numpy(spark):
+    """Sets that are too large to sort are cut to the buckets that hold a wanted rank."""
+    rng = np.random.default_rng(8)
+    values = {
+        "a": rng.normal(size=3000) * 10.0 ** rng.integers(-300, 300, 3000),
+        "b": np.repeat([1.5, -0.0, 7.0], 40),
+        None: rng.integers(0, 900, 2000) / 7.0,
+        "d": np.array([4.25]),
+        "e": np.concatenate([np.full(500, -np.inf), np.arange(400.0), np.full(3, np.inf)]),
+    }
+    df = spark.createDataFrame([(g, float(x)) for g, xs in values.items() for x in xs] + [("a", None), ("z", None)], "g string, x double")
+    wanted = {"p0": 0.0, "p1": 0.01, "p50": 0.5, "p77": 0.77, "p100": 1.0}
+    got = {r["g"]: r for r in stats.percentiles_of(stats.value_levels(df, ["x"], ["g"]), wanted, ["g"], most=10).collect()}
+    whole = {r["g"]: r for r in stats.exact_percentiles(df, ["x"], wanted, ["g"]).collect()}
+    assert set(got) == set(values) and got == whole
+    for g, xs in values.items():
+        for name, p in wanted.items():
+            ordered, place = np.sort(xs), p * (len(xs) - 1)
+            low, high = ordered[int(np.floor(place))], ordered[int(np.ceil(place))]
+            between = low if low == high else low + (high - low) * (place - np.floor(place))
+            assert got[g][name] == between
+
+
+def test_global_top_k_and_slices_write_only_what_a_task_could_need(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(rng.choice([None, 1.0, 2.0, 3.5]), f"k{i:04d}") for i in range(1000)]
+    df = spark.createDataFrame(rows, "s double, k string").repartition(6)
+    order = [F.col("s").desc_nulls_last(), F.col("k")]
+    want = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    written = []
+    real = ordering.materialize
+    monkeypatch.setattr(ordering, "materialize", lambda d: written.append(real(d)) or written[-1])
+    for k in (0, 1, 7, 333, 2000):
+        got = ranking.top_k(df, [], order, k).orderBy("rank").collect()
+        assert [(r["s"], r["k"]) for r in got] == want[:k] and [r["rank"] for r in got] == list(range(1, min(k, 1000) + 1))
+        assert written[-1].count() <= 6 * k
+    got = ranking.work_slice(df, 20, 30, order).collect()
+    assert sorted((r["k"] for r in got)) == sorted(k for _, k in want[20:50])
+    assert ranking.work_slice(df, 990, None, order).count() == 10
+
+
+def test_mean_does_not_depend_on_the_order_of_rows(spark):
+    values = [0.1, 0.7, 1e6, 0.3, 2e-5, 0.755, 0.755] * 30
+    means = set()
+    for seed in range(4):
+        random.Random(seed).shuffle(values)
+        df = spark.createDataFrame([(1, 1, v) for v in values], "g int, help int, c double").repartition(seed + 1)
+        means.add(reports.rate_report(df, "g", means={"m": ("c", 6)}).first()["m"])
+    assert len(means) == 1
+
+
 def test_percentiles_equal_numpy(spark):
     rng = np.random.default_rng(1)
     groups = {"a": rng.integers(0, 9, 200), "b": rng.normal(size=51), "c": np.array([3.0])}
