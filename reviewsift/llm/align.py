@@ -12,6 +12,10 @@ combine before the shuffle, so a pair that is in every document is a row per tas
 ``HOT_PAIRS`` at most, go to every task; the others meet their counts in a join, where no key holds more
 than a share of 1.2 / HOT_PAIRS of the rows.
 
+The first side's library spends most of its time on offsets that nobody needs here. Where its
+vocabulary is that of a file of ranks, texts of plain letters, signs, blanks and line ends are encoded by
+ranks instead, which gives the same ids (a test compares them); all others go through the library.
+
 Texts above ``LONG`` characters are encoded in parts that end at a blank between two letters, where
 neither tokenizer has a token that crosses; a stretch without such a blank is encoded whole.
 
@@ -34,9 +38,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reviewsift.llm import common
+from reviewsift.llm.bpe_fst import read_ranks
 from reviewsift.session import materialize
 
 A_FILE = "byte_bpe_50k.json"
+A_RANKS = "byte_bpe_50k.tiktoken"
 B_FILE = "piece_bpe_32k.model"
 #: Most pairs whose counts are sent to every task.
 HOT_PAIRS = 1 << 18
@@ -44,6 +50,9 @@ HOT_PAIRS = 1 << 18
 LONG = 1 << 17
 #: Pairs that a task collects before it combines them.
 _COMBINE = 1 << 22
+#: Characters that both libraries split alike, in runs that are short enough for merging by ranks.
+_PLAIN = "!-~À-ÖØ-öø-ſ"
+_SAFE = re.compile(f"(?:[{_PLAIN}]{{1,256}}(?:[ \\n]+|$)|[ \\n]+)*+")
 _CUT = re.compile("(?<=[A-Za-zÀ-ÖØ-öø-ɏΑ-Ρα-ωА-я]) (?=[A-Za-zÀ-ÖØ-öø-ɏΑ-Ρα-ωА-я])")
 
 
@@ -57,9 +66,10 @@ def _byte_letters() -> dict[str, int]:
 class Pair:
     """Both tokenizers, the bytes and lengths of their tokens and the texts of their ids."""
 
-    def __init__(self, a_path: str, b_path: str) -> None:
+    def __init__(self, a_path: str, b_path: str, a_ranks: str | None = None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(a_path)
@@ -79,6 +89,9 @@ class Pair:
         many = max(n_a, n_b)
         self.texts = {end: np.array([f"{i}{end}" for i in range(many)], object) for end in ",|;"}
         self.base = n_b
+        ranks = read_ranks(a_ranks) if a_ranks else {}
+        same = bool(ranks) and all(self.a_bytes[i] == token for token, i in ranks.items())
+        self.by_rank = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}) if same else None
         #: Texts may be cut at a blank only if no piece has a blank behind another character.
         self.cuts = not any(b" " in x.lstrip(b" ") for x in self.b_bytes)
 
@@ -92,6 +105,11 @@ class Pair:
             at = cut.end()
         return [*found, text[at:]]
 
+    def a_ids(self, text: str) -> list[int]:
+        if self.by_rank and _SAFE.fullmatch(text):
+            return self.by_rank.encode_ordinary(text)
+        return self.a.encode(text, add_special_tokens=False).ids
+
     def encode(self, text: str | None) -> tuple[list[int], list[int]] | None:
         """Ids of both sides, or None if there are none or a side has other bytes."""
         if not text:
@@ -99,7 +117,7 @@ class Pair:
         a, b = [], []
         for part in self.parts(text):
             data = b" " + part.encode()
-            ids_a = self.a.encode(" " + part, add_special_tokens=False).ids
+            ids_a = self.a_ids(" " + part)
             ids_b = self.b.encode(part, num_threads=1)
             if b"".join(map(self.a_bytes.__getitem__, ids_a)) != data or b"".join(map(self.b_bytes.__getitem__, ids_b)) != data:
                 return None
@@ -149,16 +167,16 @@ def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[starts], np.diff(np.append(starts, len(values)))
 
 
-_loaded: dict[tuple[str, str], Pair] = {}
+_loaded: dict[tuple[str | None, ...], Pair] = {}
 
 
-def _pair(a_path: str, b_path: str) -> Pair:
-    if (a_path, b_path) not in _loaded:
-        _loaded[a_path, b_path] = Pair(a_path, b_path)
-    return _loaded[a_path, b_path]
+def _pair(*paths: str | None) -> Pair:
+    if paths not in _loaded:
+        _loaded[paths] = Pair(*paths)
+    return _loaded[paths]
 
 
-def _measured(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
+def _measured(docs: DataFrame, paths: tuple[str | None, ...]) -> DataFrame:
     """Counts and digest of each text, its distinct pairs (``codes``) and how often it links them (``times``)."""
 
     def work(pair: Pair, rows: pa.Array, ids: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
@@ -186,7 +204,7 @@ def _measured(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     names = ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "codes", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = _pair(a_path, b_path)
+        pair = _pair(*paths)
         for batch in batches:
             sizes = [len(x) if x else 0 for x in batch.column(2).to_pylist()]
             start = size = 0
@@ -288,13 +306,20 @@ def _looked_up(measured: DataFrame, counts: DataFrame, most: int) -> tuple[DataF
     return known, measured.select("row", "codes", "times").mapInArrow(rest, "row bigint, code int, times bigint")
 
 
+def default_paths() -> tuple[str, str, str]:
+    return public_tokenizers.path(A_FILE), public_tokenizers.path(B_FILE), public_tokenizers.path(A_RANKS)
+
+
 def align(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_path: str | None = None, b_path: str | None = None, hot_pairs: int = HOT_PAIRS
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", paths: tuple[str | None, ...] = (), hot_pairs: int = HOT_PAIRS
 ) -> DataFrame:
-    """One row per input row: ``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256``."""
-    a_path, b_path = a_path or public_tokenizers.path(A_FILE), b_path or public_tokenizers.path(B_FILE)
-    measured = materialize(_measured(common.narrow(df, id_col, text_col), a_path, b_path))
-    counts = materialize(pair_counts(measured, _pair(a_path, b_path).base))
+    """One row per input row: ``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256``.
+
+    ``paths`` names the files of both tokenizers and, if there is one, of the first one's ranks.
+    """
+    paths = paths or default_paths()
+    measured = materialize(_measured(common.narrow(df, id_col, text_col), paths))
+    counts = materialize(pair_counts(measured, _pair(*paths).base))
     known, rest = _looked_up(measured, counts, hot_pairs)
     others = (
         rest.join(counts, "code")

@@ -109,9 +109,7 @@ def test_members_are_hashed_over_pieces(spark, monkeypatch):
 
 @pytest.fixture(scope="module")
 def pair():
-    import public_tokenizers
-
-    return align.Pair(public_tokenizers.path(align.A_FILE), public_tokenizers.path(align.B_FILE))
+    return align.Pair(*align.default_paths())
 
 
 def spans(ids, sizes):
@@ -205,6 +203,20 @@ def test_long_texts_are_cut_where_no_token_crosses(pair):
     assert a == pair.a.encode(" " + text, add_special_tokens=False).ids and b == pair.b.encode(text)
 
 
+def test_ranks_give_the_ids_of_the_library(pair, spark, small):
+    rng = random.Random(6)
+    plain = [chr(c) for c in (*range(0x21, 0x7F), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x180))]
+    texts = ["".join(rng.choice([*plain, " ", " ", " ", "\n", "'s", "'ll", "e", "n", "9"]) for _ in range(rng.randint(1, 200))) for _ in range(3000)]
+    texts += [" \n \n  a", "a\n\n", "   ", "x" * 256, "<|endoftext|> a", "a  b   c\n \nd "]
+    texts += [r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect() if r["text"]]
+    safe = [t for t in texts if align._SAFE.fullmatch(" " + t)]
+    assert len(safe) > 3000
+    for text in safe:
+        assert pair.a_ids(" " + text) == pair.a.encode(" " + text, add_special_tokens=False).ids
+    for odd in ("x" * 257, "a\u00a0b", "a\tb", "a\x1cb", "東京", "٣", "a\r"):
+        assert not align._SAFE.fullmatch(odd)
+
+
 # --- 13: URL filters
 
 _LOW = str.maketrans(url_filters._UPPER, url_filters._LOWER)
