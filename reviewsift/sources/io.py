@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from reviewsift.functions.columns import text_or_empty, word_count
 from reviewsift.functions.text import join_title
 from reviewsift.schemas import CHECKPOINT, RAW_REVIEWS
-
-CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
+from reviewsift.sources.csv_records import CSV_OPTIONS, read_csv
 
 
 def read_reviews(
@@ -19,13 +18,14 @@ def read_reviews(
     """Typed scan of reviews, CSV or parquet by path suffix (or ``fmt``).
 
     Columns are found by name whatever their order and must all be there; values of another type
-    are cast with the given schema (bad values become NULL). Quoted CSV fields may span lines.
+    are cast with the given schema (bad values become NULL). Quoted CSV fields may span lines; a file
+    is read by as many tasks as it has ranges all the same.
     """
     fmt = fmt or ("csv" if path.rstrip("/").endswith(".csv") else "parquet")
     if fmt == "parquet":
         raw = spark.read.parquet(path)
     else:
-        raw = spark.read.options(**CSV_OPTIONS).csv(path)
+        raw = read_csv(spark, path).drop("_file")
         raw = raw.withColumnsRenamed({raw.columns[0]: raw.columns[0].lstrip("\ufeff")})
     require_columns(raw, schema.names)
     given = {f.name: f.dataType for f in raw.schema.fields}
@@ -38,8 +38,8 @@ def read_reviews(
 def spread(df: DataFrame) -> DataFrame:
     """Deal out a table of fewer files than cores before CPU-heavy work.
 
-    A table in a single small file is often one row group, hence one task. Tables of many files
-    split by themselves and are left alone: no shuffle of big texts is ever added.
+    A table in a single file may be one row group, hence one task, so its rows are dealt out once,
+    texts included. Tables of as many files as cores are left alone.
     """
     parallelism = df.sparkSession.sparkContext.defaultParallelism
     return df if len(df.inputFiles()) >= parallelism else df.repartition(parallelism)
