@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+from pyspark.errors import StreamingQueryException
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -29,6 +30,7 @@ from reviewsift.schemas import (
 from reviewsift.session import materialize, shared_dir
 from reviewsift.sources import io
 from reviewsift.sources.manifest import manifest
+from reviewsift.streaming import checkpointing
 from reviewsift.streaming.scoring import read_review_stream, score_rows, score_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1672,6 +1674,40 @@ def st1(spark, d):
     )
 
 
+@query("st1_checkpoint_stream", o.sql("reviews", o.rubric_sql(v.TEST_LEXICON, """
+  select annotation_id, is_helpful, helpfulness_score, confidence, flags, true as once from refined""")))
+def st1_checkpoint(spark, d):
+    """A stream of three batches that is lost between a write and its commit, run again, and followed
+    by a second stream over the same files."""
+    columns = ["annotation_id", "review_id", "product_id", "title", "content", "manual_label"]
+    source, inbox, out = v.reviews(spark, d).select(*columns), _scratch(spark, "inbox"), _scratch(spark, "labels")
+    source.repartition(3).write.parquet(inbox)
+    state, lost = _scratch(spark, "state"), []
+
+    def lose(number: int) -> None:
+        if number == 1 and not lost:
+            lost.append(number)
+            raise RuntimeError("lost between write and commit")
+
+    def run(state: str) -> None:
+        stream = read_review_stream(spark, inbox, source.schema, files_per_trigger=1)
+        checkpointing.label_stream(stream, out, state, lambda rows: checkpointing.rubric_labels(rows, v.TEST_LEXICON), lose).awaitTermination()
+
+    try:
+        run(state)
+    except StreamingQueryException:
+        pass
+    run(state)
+    run(_scratch(spark, "state"))
+    log = checkpointing.commit_log(spark, out)
+    done = log.agg(F.sum("rows"), F.count("*")).first()
+    once = bool(lost) and tuple(done) == (spark.read.parquet(inbox).count(), 6)
+    return checkpointing.read_committed(spark, out).select(
+        "annotation_id", "is_helpful", "helpfulness_score", "confidence",
+        F.array_join("quality_flags", ",").alias("flags"), F.lit(once).alias("once"),
+    )
+
+
 def score_batch(spark: SparkSession, d: str) -> DataFrame:
     """The batch counterpart of the streaming query."""
     return score_rows(v.reviews(spark, d), v.TEST_LEXICON)
