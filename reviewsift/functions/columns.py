@@ -129,16 +129,29 @@ def bucketize(
 
 
 @F.pandas_udf(T.StringType())
-def nfc(texts: pd.Series) -> pd.Series:
-    """Unicode NFC; Spark has no built-in normalisation."""
+def _nfc_batch(texts: pd.Series) -> pd.Series:
     return texts.map(_nfc, na_action="ignore")
 
 
 @F.pandas_udf(T.StringType())
-def unescape_nfc(texts: pd.Series) -> pd.Series:
-    """HTML entities resolved, then Unicode NFC, in one Arrow batch."""
+def _unescape_nfc_batch(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: _nfc(html.unescape(t)), na_action="ignore")
 
 
+def nfc(c: Column | str) -> Column:
+    """Unicode NFC, which Spark has not built in. ASCII texts, as many bytes as characters, are NFC
+    and stay in the JVM; Python gets a NULL in their place."""
+    text = col(c)
+    other = F.octet_length(text) != F.length(text)
+    return F.coalesce(_nfc_batch(F.when(other, text)), text)
+
+
+def unescape_nfc(c: Column | str) -> Column:
+    """HTML entities resolved, then Unicode NFC, in one Arrow batch of the texts that need either."""
+    text = col(c)
+    needed = (F.octet_length(text) != F.length(text)) | text.contains("&")
+    return F.coalesce(_unescape_nfc_batch(F.when(needed, text)), text)
+
+
 def _nfc(text: str) -> str:
     return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)

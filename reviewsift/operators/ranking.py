@@ -42,13 +42,13 @@ def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) ->
 
 
 def _hash_order(seed: int, key: str) -> list[Column]:
-    return [F.xxhash64(F.lit(seed), F.col(key)), F.col(key)]
+    return [F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.col(key)]
 
 
 def sample_per_group(
     df: DataFrame, by: Sequence[str], n: int, seed: int = 42, key: str = "review_id"
 ) -> DataFrame:
-    """N seeded rows per group (or overall): the n smallest key hashes."""
+    """N seeded rows per group (or overall): the n smallest digests of seed and key."""
     return top_k(df, by, _hash_order(seed, key), n).drop("rank")
 
 
@@ -61,8 +61,8 @@ def stratified_folds(
     output: str = "fold",
 ) -> DataFrame:
     """Folds 0..k-1 whose label counts differ by at most one row, deterministic by seed."""
-    hashed = df.withColumn("_hash", F.xxhash64(F.lit(seed), F.col(key)))
-    placed = with_position(hashed, [F.col("_hash"), F.col(key)], [label], "_position")
+    digest, tie = _hash_order(seed, key)
+    placed = with_position(df.withColumn("_hash", digest), [F.col("_hash"), tie], [label], "_position")
     return placed.withColumn(output, (F.col("_position") % k).cast("int")).drop(
         "_position", "_hash"
     )

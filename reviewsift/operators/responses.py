@@ -40,22 +40,24 @@ def explode_responses(
     """One row per label item of each response body.
 
     Accepts a fenced body, an object with a `labels` list, a bare list, one label object, or
-    a list under another key. A body without labels gives one row with a NULL `item` and the
+    a list under another key: of several such lists the first one of the text. A body without labels gives one row with a NULL `item` and the
     `problem` (`invalid_json` or `no_labels`).
     """
     text = strip(text_or_empty(body))
     bare = F.regexp_replace(F.regexp_replace(text, FENCE_START, ""), FENCE_END, "")
     text = F.when(text.startswith("```"), bare).otherwise(text)
-    df = responses.withColumn("_v", F.try_parse_json(text))
+    df = responses.withColumn("_text", text).withColumn("_v", F.try_parse_json("_text"))
     v = F.col("_v")
-    fields = F.map_values(_object(v))
+    df = df.withColumn("_fields", _object(v))
+    # A variant sorts the names of an object; the text still has them in their order.
+    fields = F.transform(F.json_object_keys("_text"), lambda k: F.try_element_at("_fields", k))
     other_lists = F.filter(
         F.transform(fields, lambda f: F.try_variant_get(f, "$", "array<variant>")),
         lambda a: a.isNotNull() & (F.size(a) > 0)
         & F.try_variant_get(F.get(a, F.lit(0)), "$.annotation_id", "variant").isNotNull(),
     )
     single = F.when(
-        F.map_contains_key(_object(v), "annotation_id"), F.array(v)
+        F.map_contains_key("_fields", "annotation_id"), F.array(v)
     )
     items = F.coalesce(
         F.try_variant_get(v, "$.labels", "array<variant>"),

@@ -79,18 +79,19 @@ def s1(spark, d):
 @query(
     "s2_batch_directory",
     o.sql("reviews", """select source_file, cast(count(*) as bigint) as n,
-      cast(sum(length(content)) as bigint) as chars from review_rows group by source_file"""),
+      cast(sum(length(content)) as bigint) as chars, true as named from review_rows group by source_file"""),
 )
 def s2(spark, d):
     path = _scratch(spark, "batches")
     rows = v.reviews(spark, d).withColumn("batch", F.col("product_id"))
     rows.select("annotation_id", "content", "batch").write.partitionBy("batch").parquet(path)
     scan = io.read_batches(spark, path, fmt="parquet")
-    # File names are arbitrary here, so the directory value stands for the file.
+    # File names are arbitrary here, so the directory value stands for the file; that each row
+    # carries its own file's name shows in the path of the row.
+    scan = scan.withColumn("named", F.input_file_name().endswith(F.concat(F.lit("/"), "source_file")))
     return (
-        scan.filter(F.col("source_file").endswith(".parquet"))
-        .groupBy(F.concat("batch", F.lit(".csv")).alias("source_file"))
-        .agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"))
+        scan.groupBy(F.concat("batch", F.lit(".csv")).alias("source_file"))
+        .agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"), F.every("named").alias("named"))
     )
 
 
@@ -262,7 +263,7 @@ def p8(spark, d):
 
 @query("p9_constant_columns", o.sql("reviews", """
   select 'product_name' as "column", count(distinct product_name) <= 1 as is_constant from review_rows
-  union all select 'rating', false from (select 1) where (select count(distinct rating) + 1 from review_rows) > 1
+  union all select 'rating', count(distinct rating) + count(distinct case when rating is null then 0 end) <= 1 from review_rows
   union all select 'word_count', count(distinct word_count) <= 1 from review_rows
   union all select 'purchased_int', count(distinct purchased_int) <= 1 from review_rows"""))
 def p9(spark, d):
@@ -845,23 +846,24 @@ def w2(spark, d):
 
 
 @query("w3_sample_per_group", o.sql(LAB, """
-  select help, cast(least(100, count(*)) as bigint) as n, cast(least(100, count(*)) as bigint) as ids
-  from gold group by help"""))
+  select help, review_id from (select *, row_number() over (partition by help order by md5('42:' || review_id), review_id) as rn from gold)
+  where rn <= 100"""))
 def w3(spark, d):
-    sample = ranking.sample_per_group(v.gold(spark, d), ["help"], 100)
-    return sample.groupBy("help").agg(
-        F.count("*").alias("n"), F.count_distinct("review_id").alias("ids")
-    )
+    return ranking.sample_per_group(v.gold(spark, d), ["help"], 100).select("help", "review_id")
+
+
+@query("w3_sample_overall", o.sql(LAB, """
+  select review_id from (select *, row_number() over (order by md5('7:' || review_id), review_id) as rn from gold) where rn <= 150"""))
+def w3_overall(spark, d):
+    return ranking.sample_per_group(v.gold(spark, d), [], 150, seed=7).select("review_id")
 
 
 @query("w4_stratified_folds", o.sql(LAB, """
-  select help, cast(f.fold as integer) as fold, cast((n - f.fold + 4) // 5 as bigint) as n, cast((n - f.fold + 4) // 5 as bigint) as ids
-  from (select help, count(*) as n from gold group by help), (values (0),(1),(2),(3),(4)) f(fold)"""))
+  select annotation_id, help, cast((row_number() over (partition by help order by md5('42:' || annotation_id), annotation_id) - 1) % 5 as integer) as fold
+  from gold"""))
 def w4(spark, d):
-    folds = ranking.stratified_folds(v.gold(spark, d), "help", 5)
-    return folds.groupBy("help", "fold").agg(
-        F.count("*").alias("n"), F.count_distinct("annotation_id").alias("ids")
-    )
+    rows = v.gold(spark, d).select("annotation_id", "help")
+    return ranking.stratified_folds(rows, "help", 5).select("annotation_id", "help", "fold")
 
 
 @query("w5_assign_batches", o.sql("reviews", """
@@ -1075,13 +1077,14 @@ def _responses(spark, d):
         ).alias("evidence"),
         F.array_append("quality_flags", F.lit("unknown_flag")).alias("quality_flags"),
     )
-    grouped = batched.groupBy("batch_id").agg(F.collect_list(item).alias("items"))
+    grouped = batched.groupBy("batch_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
     items = F.to_json("items")
     body = (
         F.when(F.col("batch_id") % 4 == 0, F.concat(F.lit('{"labels": '), items, F.lit("}")))
         .when(F.col("batch_id") % 4 == 1, items)
         .when(F.col("batch_id") % 4 == 2, F.concat(F.lit("```json\n"), items, F.lit("\n```")))
-        .otherwise(F.concat(F.lit('{"count": 1, "results": '), items, F.lit("}")))
+        # The first list of the text counts, whatever the order of the names.
+        .otherwise(F.concat(F.lit('{"count": 1, "results": '), items, F.lit(', "another": [{"annotation_id": "later"}]}')))
     )
     return grouped.select("batch_id", body.alias("response_text")), batched
 
@@ -1121,14 +1124,15 @@ def r4_rejects(spark, d):
 
 
 @query("r5_explode_responses", o.sql(LAB, RESPONSES_SQL + """
-  select batch_id, cast(count(*) as bigint) as items, cast(count(distinct annotation_id) as bigint) as ids
-  from p group by batch_id"""))
+  select batch_id, cast(row_number() over (partition by batch_id order by lower(annotation_id)) - 1 as integer) as item_index,
+    lower(annotation_id) as annotation_id, case when broken then 9 else specificity end as specificity
+  from p join (select annotation_id as id, specificity from label_rows) l on l.id = p.annotation_id"""))
 def r5(spark, d):
     bodies, _ = _responses(spark, d)
     items = responses.explode_responses(bodies)
-    ids = F.try_variant_get("item", "$.annotation_id", "string")
-    return items.groupBy("batch_id").agg(
-        F.count("*").alias("items"), F.count_distinct(ids).alias("ids")
+    return items.select(
+        "batch_id", "item_index", F.try_variant_get("item", "$.annotation_id", "string").alias("annotation_id"),
+        F.try_variant_get("item", "$.evidence.specificity", "int").alias("specificity"),
     )
 
 
@@ -1515,6 +1519,21 @@ def m11(spark, d):
     )
 
 
+#: Models of the out-of-fold rows: their folds, texts and order are compared, not their quality.
+LIGHT = stack.Settings(outer_folds=3, inner_folds=2, trees=10, rf_depth=8, rounds=5, step=0.3, logistic_iterations=50)
+
+
+@query("m11_oof_rows", o.sql(LAB, f"""
+  select annotation_id, cast((row_number() over (partition by is_helpful order by md5('42:' || annotation_id), annotation_id) - 1) % 3 + 1 as integer) as fold,
+    is_helpful as label, review_id, sample_group, title, content, true as valid
+  from gold where regexp_matches(title || content, '\\S')"""))
+def m11_rows(spark, d):
+    _, oof = stack.outer_cv(_rows(spark, d), LIGHT, reviews=v.gold(spark, d))
+    decided = (F.col("proba_helpful") >= 0.5).cast("int") == F.col("pred")
+    valid = decided & _between("proba_helpful", 0, 1) & _between("pred_helpfulness_score", -2, 7) & _between("pred_confidence", 0, 1)
+    return oof.select("annotation_id", "fold", "label", *stack.OOF_COLUMNS, valid.alias("valid"))
+
+
 METRICS_SQL = f""",
 s as (select {{keys}} proba_helpful as score, label, pred from predictions where label is not null),
 lv as (select {{keys}} score, sum(label) as pos, sum(1 - label) as neg from s group by {{keys}} score),
@@ -1605,13 +1624,33 @@ def m14(spark, d):
     return metrics.class_report(_known(spark, d))
 
 
+def _oof_report(spark, d) -> dict[str, DataFrame]:
+    rows = _known(spark, d).withColumns({"pred_helpfulness_score": F.col("proba_helpful") * 9 - 2, "pred_confidence": F.col("proba_helpful")})
+    return metrics.oof_report(rows)
+
+
 @query("m14_oof_confusion", o.sql(PRED, """
   select label, pred, cast(count(*) as bigint) as count from predictions where label is not null group by label, pred"""))
 def m14_confusion(spark, d):
-    rows = _known(spark, d).withColumns(
-        {"pred_helpfulness_score": F.col("proba_helpful"), "pred_confidence": F.col("proba_helpful")}
-    )
-    return metrics.oof_report(rows)["confusion"]
+    return _oof_report(spark, d)["confusion"]
+
+
+@query("m14_oof_metrics", o.sql(PRED, WHOLE + f"select {METRIC_COLUMNS} from mt"))
+def m14_metrics(spark, d):
+    pooled = _oof_report(spark, d)["metrics"]
+    return pooled.select(*[round_even(F.col(n), 6).alias(n) for n in metrics.METRIC_NAMES], "tn", "fp", "fn", "tp")
+
+
+_QUARTILES = ", ".join(f"{o.rnd(f'quantile_cont(value, {p})', 6)} as {n}" for n, p in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75)))
+
+
+@query("m14_oof_auxiliary", o.sql(PRED, f""",
+  k as (select 'pred_helpfulness_score' as "column", proba_helpful * 9 - 2 as value from predictions where label is not null
+        union all select 'pred_confidence', proba_helpful from predictions where label is not null)
+  select "column", cast(count(*) as bigint) as count, {o.rnd('avg(value)', 6)} as mean, {o.rnd('stddev_samp(value)', 6)} as std,
+    min(value) as min, max(value) as max, {_QUARTILES} from k group by "column" """))
+def m14_auxiliary(spark, d):
+    return _oof_report(spark, d)["auxiliary"]
 
 
 @query("m15_train_and_predict", TRAINED + "select annotation_id, true as consistent, true as valid, true as reloaded, 'stacked_trees' as model_variant from t")
@@ -1653,6 +1692,34 @@ def ranked_requests(spark, d):
     return flows.score_and_rank(v.requests(spark, d), score, ["category"])[0]
 
 
+@query("flow_labelling_loop", o.sql(LAB, RESPONSES_SQL + """,
+  q as (select p.*, (row_number() over (order by annotation_id) - 1) // 20 as request from p),
+  f as (select request, max(broken::integer) as failed from q group by request)
+  select q.annotation_id, q.is_helpful, q.score as helpfulness_score, f.failed as batch_seq from q join f on f.request = q.request"""))
+def labelling_loop(spark, d):
+    """Requests, answers of which one spoils its batch, the checkpoint, resumption and the gold table."""
+    out, truth = _scratch(spark, "loop"), v.labels(spark, d)
+    source = materialize(v.review_rows(spark, d).join(truth, "annotation_id", "left_semi"))
+
+    def turn(checkpoint: DataFrame | None, number: int) -> None:
+        requests = flows.next_requests(source, checkpoint, 20)
+        ids = F.explode(F.from_json("records", "array<struct<annotation_id:string>>"))
+        asked = materialize(requests.select("batch_id", ids.alias("r")).select("batch_id", "r.annotation_id"))
+        spoiled = F.when(F.col("annotation_id").endswith("77") & (F.lit(number) == 0), 9).otherwise(F.col("specificity"))
+        points = F.struct(spoiled.alias("specificity"), *[c for c in RUBRIC_COLUMNS if c != "specificity"])
+        item = F.struct("annotation_id", "is_helpful", "confidence", "reason", points.alias("evidence"), "quality_flags")
+        bodies = asked.join(truth, "annotation_id").groupBy("batch_id").agg(
+            F.concat(F.lit('{"labels": '), F.to_json(F.collect_list(item)), F.lit("}")).alias("response_text")
+        )
+        flows.accept_responses(asked, materialize(bodies), source, out, number, v.TEST_LEXICON)
+
+    turn(None, 0)
+    turn(io.read_checkpoint(spark, out), 1)
+    done = io.read_checkpoint(spark, out).select("annotation_id", F.col("batch_seq").cast("int"))
+    gold = flows.gold_outputs(source, out)["gold"].select("annotation_id", "is_helpful", "helpfulness_score")
+    return gold.join(done, "annotation_id")
+
+
 # --- ST: streaming ---------------------------------------------------------------------------------------
 
 
