@@ -8,7 +8,7 @@ from reviewsift.functions.columns import (
     bool_int, char_count, class_count, clip, col, digit_count, flags_array, matches, quote,
     strip, text_or_empty, word_count,
 )
-from reviewsift.functions.terms import decisive, found_terms, has_any, hits
+from reviewsift.functions.terms import decisive, has_any, hits, with_found_terms
 from reviewsift.functions.text import join_title
 from reviewsift.lexicon import Lexicon, VIETNAMESE
 from reviewsift.schemas import METADATA_FEATURES
@@ -125,7 +125,7 @@ def reason_codes(
     """add the reason codes of a review text, in a fixed order."""
     # One step per shared value, so that none is computed twice.
     df = df.withColumn("_low", F.lower(text_or_empty(column)))
-    df = df.withColumn("_found", found_terms(F.col("_low"), reason_terms(lexicon)))
+    df = with_found_terms(df, "_low", reason_terms(lexicon), "_found")
     df = df.withColumn("_n_words", word_count("_low"))
     df = df.withColumn("_codes", _codes(F.col("_low"), F.col("_n_words"), F.col("_found"), lexicon))
     generic = (F.size("_codes") == 0) & (F.col("_n_words") <= GENERIC_WORDS_MAX)

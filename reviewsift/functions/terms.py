@@ -1,9 +1,11 @@
 """Matching many terms and pattern families in few passes over a text.
 
-A rubric looks for a few hundred terms in every review. Each distinct term is searched once, as a
-native substring test; the result is a short array of the terms found, and every list of the
-rubric is then an array expression over it. Lists that only ask whether *any* term occurs need
-just their shortest terms: one that contains another of the list decides nothing.
+A rubric looks for a few hundred terms in every review. The terms stand in an index by their rarest
+letter; the letters of a text are met with the index once, and only terms whose letter is there
+get the exact test, a native substring search. The result is a short array of the terms found,
+and every list of the rubric is then an array expression over it. Lists that only ask whether
+*any* term occurs need just their shortest terms: one that contains another of the list decides
+nothing.
 """
 
 from __future__ import annotations
@@ -11,18 +13,45 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from reviewsift.functions.columns import matches
 
 
-def found_terms(text: Column, terms: Iterable[str]) -> Column:
-    """The distinct terms that occur in a text as substrings (array of strings, NULL for NULL)."""
-    known = tuple(dict.fromkeys(t for t in terms if t))
-    if not known:
-        return F.array().cast("array<string>")
-    found = F.array_compact(F.array(*[F.when(text.contains(t), F.lit(t)) for t in known]))
-    return F.when(text.isNotNull(), found)
+def _key(term: str) -> str | None:
+    """The letter by which a term is indexed: the rarest one by script block, NULL if all are ASCII.
+
+    Letters with two marks stand in higher blocks than those with one, which other languages
+    share; of a block, the letter that is last in the order of code points is taken.
+    """
+    letters = [c for c in term if ord(c) > 0x7F]
+    return max(letters, key=lambda c: (ord(c) >= 0x1E00, ord(c) >= 0x100, ord(c))) if letters else None
+
+
+def term_index(terms: Iterable[str]) -> dict[str | None, list[str]]:
+    """The distinct terms by their key; those without one stand under None and are always tested."""
+    index: dict[str | None, list[str]] = {}
+    for term in dict.fromkeys(t for t in terms if t):
+        index.setdefault(_key(term), []).append(term)
+    return index
+
+
+def with_found_terms(df: DataFrame, text: str, terms: Iterable[str], output: str) -> DataFrame:
+    """Add the distinct terms that occur in a text column as substrings (NULL for NULL)."""
+    index = term_index(terms)
+    keys = sorted(k for k in index if k is not None)
+    source = F.col(text)
+
+    def tested(some: Sequence[str]) -> Column:
+        return F.array_compact(F.array(*[F.when(source.contains(t), F.lit(t)) for t in some]))
+
+    # What is not ASCII is short; a step of its own, so that it is computed once for all keys.
+    df = df.withColumn("_letters", F.regexp_replace(source, r"[\x00-\x7f]+", ""))
+    parts = [F.when(F.col("_letters").contains(k), tested(index[k])) for k in keys]
+    if None in index:
+        parts.append(tested(index[None]))
+    found = F.flatten(F.array_compact(F.array(*parts))) if parts else F.array().cast("array<string>")
+    return df.withColumn(output, F.when(source.isNotNull(), found)).drop("_letters")
 
 
 def decisive(terms: Sequence[str]) -> tuple[str, ...]:

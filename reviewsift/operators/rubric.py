@@ -10,7 +10,7 @@ from reviewsift.functions.columns import (
     WHITE_SPACE, bool_int, collapse, flags_array, nfc, quote, python_regex, round_even,
     text_or_empty,
 )
-from reviewsift.functions.terms import decisive, found_terms, has_any, hits
+from reviewsift.functions.terms import decisive, has_any, hits, with_found_terms
 from reviewsift.functions.text import join_title
 from reviewsift.lexicon import Lexicon, VIETNAMESE
 from reviewsift.messages import RUBRIC_REASONS
@@ -178,12 +178,8 @@ def rubric_score(
     )
     # Every Python step comes before the native ones: a UDF above them would make the optimizer
     # inline the whole chain of expressions into one.
-    df = df.withColumns(
-        {
-            "_found": found_terms(F.col("_content"), score_terms(lexicon)),
-            "_refine": found_terms(F.col("_text"), refine_terms(lexicon)),
-        }
-    )
+    df = with_found_terms(df, "_content", score_terms(lexicon), "_found")
+    df = with_found_terms(df, "_text", refine_terms(lexicon), "_refine")
     df = _signals(df, lexicon).withColumns(_points())
     df = df.withColumn("helpfulness_score", sum((F.col(c) for c in RUBRIC_COLUMNS), F.lit(0)))
 
@@ -243,8 +239,8 @@ def refine_flags(
     """R2: drop flags that contradict the label or lack support in the text, add comparison,
     and recompute the review need. ``text`` is title plus content."""
     text = F.lower(F.col(text) if isinstance(text, str) else text)
-    df = df.withColumn("_refine", found_terms(text, refine_terms(lexicon)))
-    return _refined(df, F.col("_refine"), lexicon).drop("_refine")
+    df = with_found_terms(df.withColumn("_low", text), "_low", refine_terms(lexicon), "_refine")
+    return _refined(df, F.col("_refine"), lexicon).drop("_refine", "_low")
 
 
 def _refined(df: DataFrame, found: Column, lexicon: Lexicon) -> DataFrame:

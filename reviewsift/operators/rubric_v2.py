@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from reviewsift.functions.columns import (
     bool_int, clip, flags_array, matches, round_even, strip, word_count,
 )
-from reviewsift.functions.terms import found_terms, occurrences, occurs, pattern_terms
+from reviewsift.functions.terms import occurrences, occurs, pattern_terms, with_found_terms
 from reviewsift.lexicon import (
     PatternSet, V2_EMPTY_FLAGS, V2_INFORMATIVE_FLAGS, V2_ONLY_PUNCTUATION, VIETNAMESE_PATTERNS,
 )
@@ -135,12 +135,8 @@ def rubric_score_v2(
     stored = F.coalesce(F.col("word_count").cast("int"), words) if "word_count" in df.columns else words
     df = df.withColumns({"_low": F.lower("_text"), "_words": words, "_wc": stored})
     # Python steps first; see rubric_score.
-    df = df.withColumns(
-        {
-            "_found": found_terms(F.col("_low"), pattern_terms(patterns.every())),
-            "_duplicate": duplicate_like(F.col("_low")),
-        }
-    )
+    df = df.withColumn("_duplicate", duplicate_like(F.col("_low")))
+    df = with_found_terms(df, "_low", pattern_terms(patterns.every()), "_found")
     low, found = F.col("_low"), F.col("_found")
     df = df.withColumns(
         {

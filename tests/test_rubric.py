@@ -70,7 +70,7 @@ def test_gate_agrees_with_the_regex(spark):
     patterns = ["(a|b)" + "".join(rng.sample(tails, rng.randint(0, 3))) for _ in range(60)]
     texts = ["", None] + ["".join(rng.choice("abcxyz|") for _ in range(rng.randint(1, 6))) for _ in range(60)]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    df = df.withColumn("found", terms.found_terms(F.col("t"), terms.pattern_terms(patterns)))
+    df = terms.with_found_terms(df, "t", terms.pattern_terms(patterns), "found")
     wrong = df.select(
         *[
             F.count_if(~terms.occurs(F.col("t"), F.col("found"), p).eqNullSafe(F.col("t").rlike(p))).alias(str(i))
@@ -149,11 +149,16 @@ def test_leading_terms(pattern, expected):
 
 
 def test_found_terms_equals_substring_search(spark):
-    wanted = ("da", "dạ dày", "độ bền", "bền", "x.y", "it's")
-    texts = ["đang da", "độ bền tốt", "dạ dày", "x.y it's", "", None]
+    wanted = ("da", "dạ dày", "độ bền", "bền", "x.y", "it's", "", "da", "ÿ", "]ộ", "😀 ok", "\x7f")
+    texts = ["đang da", "độ bền tốt", "dạ dày", "x.y it's", "", None, "be\u0302\u0300n", "ộ bền", "]ộ", "a😀 ok", "\x7f"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    got = [r[0] for r in df.select(terms.found_terms(F.col("t"), wanted)).collect()]
+    got = [r[0] for r in terms.with_found_terms(df, "t", wanted, "f").select("f").collect()]
+    wanted = {w for w in wanted if w}
+    assert terms.with_found_terms(df, "t", (), "f").select("f").first()[0] == []
+    for list_ in (["da"], ["ề"]):
+        some = terms.with_found_terms(df, "t", list_, "f").select("f").collect()
+        assert [r[0] for r in some] == [None if t is None else [w for w in list_ if w in t] for t in texts]
     expected = [None if t is None else sorted(w for w in wanted if w in t) for t in texts]
     assert [g if g is None else sorted(g) for g in got] == expected
-    both = df.select(terms.hits(F.array(F.lit("it's"), F.lit("da")), wanted)).first()[0]
+    both = df.select(terms.hits(F.array(F.lit("it's"), F.lit("da")), ("da", "dạ dày", "it's"))).first()[0]
     assert both == ["da", "it's"]
