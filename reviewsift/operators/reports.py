@@ -18,6 +18,7 @@ from reviewsift.functions.columns import (
 from reviewsift.functions.text import clean_cloud_text, encoder_ready
 from reviewsift.lexicon import STOP_WORDS
 from reviewsift.operators.ranking import top_k
+from reviewsift.operators.sketches import quantile_sketch
 from reviewsift.operators.stats import (
     correlations, exact_percentiles, percentiles_of, value_levels,
 )
@@ -365,21 +366,30 @@ def _with_percentiles(
     ).drop("_by", *[f"_p_{c}" for c in columns])
 
 
-def label_profile(df: DataFrame, label: str = "help") -> DataFrame:
-    """Averages and median length per label, with the verified-purchase rate."""
+def label_profile(df: DataFrame, label: str = "help", approx: bool = False) -> DataFrame:
+    """Averages and median length per label, with the verified-purchase rate.
+
+    ``approx`` takes the median from a sketch in the same pass (see :mod:`operators.sketches`).
+    """
     means = {
         "avg_rating": "rating",
         "avg_word_count": "word_count",
         "avg_score": "helpfulness_score",
         "avg_confidence": "confidence",
     }
-    df = _narrow(df.filter(F.col(label).isNotNull()), label, "purchased_int", *means.values())
+    df = df.filter(F.col(label).isNotNull())
+    if not approx:
+        df = _narrow(df, label, "purchased_int", *means.values())
+    median = F.when(F.count("word_count") > 0, F.kll_sketch_get_quantile_double(quantile_sketch("word_count"), F.lit(0.5)))
     report = df.groupBy(label).agg(
         F.count("*").alias("review_count"),
         *[round_even(F.avg(c), 3).alias(out) for out, c in means.items()],
         # Rounded as a rate first, then shown in percent, as in the published report.
         percentage(round_even(F.avg("purchased_int"), 3)).alias("verified_purchase_rate"),
+        *([round_even(median, 3).alias("median_word_count")] if approx else []),
     )
+    if approx:
+        return report.withColumn("label", _names(label, LABEL_NAMES))
     report = _with_percentiles(report, df, label, {"median_word_count": ("word_count", 3)})
     return report.withColumn("label", _names(label, LABEL_NAMES))
 

@@ -22,7 +22,7 @@ from reviewsift.functions.text import (
 )
 from reviewsift.models import embed, moments, stack
 from reviewsift.operators import explain, gold as joins, metrics, ranking, reports, responses
-from reviewsift.operators import rubric, rubric_v2, validate
+from reviewsift.operators import rubric, rubric_v2, sketches, validate
 from reviewsift.plans import flows, oracle as o, views as v
 from reviewsift.schemas import (
     LABEL_COLUMNS, METADATA_FEATURES, OUTPUT_FIELDS, RAW_REVIEWS, RUBRIC_COLUMNS, TASK_COLUMNS,
@@ -642,6 +642,64 @@ DESCRIBED = (
 )
 
 
+# Sketches have no SQL; their queries carry what is exact and whether the estimate keeps its error.
+
+
+@query("g14_label_profile_approx", o.sql(LAB, f"""
+  select help, cast(count(*) as bigint) as review_count, {o.rnd('avg(word_count)', 3)} as avg_word_count, true as close from gold group by help"""))
+def g14_approx(spark, d):
+    rows = materialize(v.gold(spark, d).select("help", "word_count", "rating", "helpfulness_score", "confidence", "purchased_int"))
+    report = reports.label_profile(rows, approx=True)
+    median = report.select(F.col("help").alias("of"), "median_word_count")
+    rank = rows.join(F.broadcast(median), F.col("help") == F.col("of")).groupBy("help").agg(
+        F.avg((F.col("word_count") < F.col("median_word_count")).cast("int")).alias("below"),
+        F.avg((F.col("word_count") <= F.col("median_word_count")).cast("int")).alias("upto"),
+    )
+    close = (F.col("below") <= 0.51) & (F.col("upto") >= 0.49)
+    return report.join(rank, "help").select("help", "review_count", "avg_word_count", close.alias("close"))
+
+
+@query("g17_column_profile_approx", o.sql("reviews", """
+  select 'review_id' as "column", cast(count(*) filter (where review_id is null) as bigint) as missing_count, true as close from review_rows
+  union all select 'rating', cast(count(*) filter (where rating is null) as bigint), true from review_rows
+  union all select 'content', cast(count(*) filter (where content is null) as bigint), true from review_rows
+  union all select 'user_id', cast(count(*) filter (where user_id is null) as bigint), true from review_rows"""))
+def g17_approx(spark, d):
+    rows = materialize(v.review_rows(spark, d).select("review_id", "rating", F.md5("content").alias("content"), "user_id"))
+    exact = reports.column_profile(rows).select("column", F.col("unique_count").alias("exact"))
+    both = reports.column_profile(rows, approx=True).join(exact, "column")
+    # Three times the sketch's standard deviation.
+    close = F.abs(F.col("unique_count") - F.col("exact")) <= 0.15 * F.col("exact")
+    return both.select("column", "missing_count", close.alias("close"))
+
+
+@query("g20_stored_sketches", o.sql("reviews", """
+  select category, cast(count(*) as bigint) as rows, true as users_close, true as reviews_close, true as median_close from review_rows group by category"""))
+def g20_sketches(spark, d):
+    """Sketches kept per batch of input; one batch is read a second time; all are merged per category."""
+    rows = materialize(v.review_rows(spark, d).select("category", "product_id", "user_id", "review_id", "word_count"))
+    path = _scratch(spark, "sketches")
+    batches = [r["product_id"] for r in rows.select("product_id").distinct().collect()]
+    for batch in [*batches, batches[0]]:
+        part = rows.where(F.col("product_id").eqNullSafe(F.lit(batch)))
+        sketches.store(sketches.sketched(part, ["user_id", "review_id"], ["word_count"], ["category"]), path, str(batch))
+    kept = sketches.stored(spark, path)
+    counts = sketches.distinct_counts(kept, ["category"]).groupBy("category").agg(
+        F.max("rows").alias("rows"), *[F.max(F.when(F.col("column") == c, F.col("estimate"))).alias(c) for c in ("user_id", "review_id")]
+    )
+    median = sketches.quantile_values(kept, {"median": 0.5}, ["category"]).select(F.col("category").alias("of"), "median")
+    exact = rows.join(F.broadcast(median), F.col("category") == F.col("of")).groupBy("category").agg(
+        F.count_distinct("user_id").alias("users"), F.count_distinct("review_id").alias("reviews"),
+        F.avg((F.col("word_count") < F.col("median")).cast("int")).alias("below"),
+        F.avg((F.col("word_count") <= F.col("median")).cast("int")).alias("upto"),
+    )
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 0.05 * F.col(b)
+    return counts.join(exact, "category").select(
+        "category", "rows", near("user_id", "users").alias("users_close"), near("review_id", "reviews").alias("reviews_close"),
+        ((F.col("below") <= 0.51) & (F.col("upto") >= 0.49)).alias("median_close"),
+    )
+
+
 @query("g21_describe", o.sql(EDA, " union all ".join(
     f"""select '{c}' as "column", cast(count({c}) as bigint) as count, {o.rnd(f'avg({c})', 6)} as mean,
     {o.rnd(f'stddev_samp({c})', 6)} as std, cast(min({c}) as double) as min, cast(max({c}) as double) as max, """

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reviewsift.operators import gold, metrics, ordering, ranking, reports, stats, validate
+from reviewsift.operators import gold, metrics, ordering, ranking, reports, sketches, stats, validate
 from reviewsift.schemas import ANNOTATION_BATCH, CHECKPOINT, LABELS
 from reviewsift.sources import io
 from reviewsift.sources.manifest import manifest
@@ -447,3 +447,24 @@ def test_histogram_of_a_constant(spark):
 def test_agreement_counts_missing_as_wrong(spark):
     df = spark.createDataFrame([(1, 1), (None, None), (0, None), (0, 1)], "a int, b int")
     assert reports.agreement(df, "a", "b").first()["agreement"] == 0.25
+
+
+def test_sketches_merge_over_batches_and_reruns(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    values = rng.lognormal(3, 1, 30_000)
+    rows = [(int(k % 3), f"u{rng.integers(0, 4000)}", float(x)) for k, x in enumerate(values)]
+    df = spark.createDataFrame(rows, "b int, u string, x double")
+    path = str(tmp_path / "s")
+    for b in (0, 1, 2, 1):
+        sketches.store(sketches.sketched(df.where(F.col("b") == b), ["u"], ["x"]), path, f"b{b}")
+    kept = sketches.stored(spark, path)
+    users = sketches.distinct_counts(kept).first()
+    assert users["rows"] == 30_000 and abs(users["estimate"] - len({u for _, u, _ in rows})) < 0.05 * 4000
+    got = sketches.quantile_values(kept, {"p1": 0.01, "p50": 0.5, "p99": 0.99}).first()
+    for name, p in (("p1", 0.01), ("p50", 0.5), ("p99", 0.99)):
+        assert abs((values <= got[name]).mean() - p) < 0.01
+    nothing = sketches.sketched(df.where("false"), ["u"], ["x"])
+    assert sketches.distinct_counts(nothing).first()["estimate"] == 0
+    assert sketches.quantile_values(nothing, {"m": 0.5}).first()["m"] is None
+    mixed = spark.createDataFrame([(None,), (float("nan"),), (2.0,)], "x double")
+    assert sketches.quantile_values(sketches.sketched(mixed, [], ["x"]), {"m": 0.5}).first()["m"] == 2.0
