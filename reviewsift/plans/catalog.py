@@ -20,6 +20,7 @@ from reviewsift.functions.features import (
 from reviewsift.functions.text import (
     canonical_ids, clean_cloud_text, clean_corpus, encoder_ready, nfc_corpus, with_review_text,
 )
+from reviewsift.messages import EXPLANATION
 from reviewsift.models import embed, moments, stack
 from reviewsift.operators import explain, gold as joins, metrics, ranking, reports, responses
 from reviewsift.operators import rubric, rubric_v2, sketches, validate
@@ -1266,22 +1267,42 @@ def _explained(spark, d):
     )
 
 
+def _sentences(codes: str, first: str = "") -> str:
+    """SQL list of the reason sentences of a list of codes."""
+    cases = " ".join(f"when {o.lit(c)} then {o.lit(t)}" for c, t in EXPLANATION["reason"].items())
+    return f"list_transform({codes}[1:3], lambda x: {first}case x {cases} end)"
+
+
+_WHY = f"case when len(codes) = 0 then [{o.lit(EXPLANATION['no_reason'])}] else {_sentences('codes')} end"
+_HELPFUL = "p.proba_helpful >= 0.5"
+
+
+def _either(name: str) -> str:
+    return f"case when {_HELPFUL} then {o.lit(EXPLANATION[name + '_helpful'])} else {o.lit(EXPLANATION[name + '_unhelpful'])} end"
+
+
+def _joined(values: list[str]) -> str:
+    return o.lit(" | ".join(values))
+
+
 @query("r10_explain_local", o.sql("reviews labels predictions", f""",
   c as (select annotation_id, {o.reason_sql('review_text', v.TEST_LEXICON)} as codes from review_rows)
-  select c.annotation_id, case when p.proba_helpful >= 0.5 then 'Helpful' else 'Not Helpful' end as label,
-    cast(greatest(1, least(3, len(codes))) as integer) as n_why, cast(least(3, len(codes)) as integer) as n_evidence,
-    cast(case when p.proba_helpful >= 0.5 then greatest(1, least(3, len(codes))) else 0 end as integer) as n_strengths,
-    cast(case when p.proba_helpful >= 0.5 then 0 else 2 end as integer) as n_limitations,
-    cast(case when p.proba_helpful >= 0.5 then 1 else 3 end as integer) as n_missing,
+  select c.annotation_id, case when {_HELPFUL} then 'Helpful' else 'Not Helpful' end as label,
+    array_to_string({_WHY}, ' | ') as why, array_to_string({_sentences('codes', "x || ': ' || ")}, ' | ') as evidence,
+    case when {_HELPFUL} then array_to_string({_WHY}, ' | ') else '' end as strengths,
+    case when {_HELPFUL} then '' else {_joined(EXPLANATION['limitations'])} end as limitations,
+    case when {_HELPFUL} then {_joined(EXPLANATION['missing_helpful'])} else {_joined(EXPLANATION['missing_unhelpful'])} end as missing,
+    {_either('assessment')} as assessment, {_either('suggestion')} as suggestion, {_either('buyer_value')} as buyer_value,
     'local_fallback' as source
   from c join predictions p on p.annotation_id = c.annotation_id"""))
 def r10(spark, d):
     e = F.col("explanation")
+    evidence = F.transform(e["evidence_analysis"], lambda x: F.concat(x["criterion"], F.lit(": "), x["analysis"]))
     return _explained(spark, d).select(
-        "annotation_id", "label", F.size(e["why"]).alias("n_why"),
-        F.size(e["evidence_analysis"]).alias("n_evidence"), F.size(e["strengths"]).alias("n_strengths"),
-        F.size(e["limitations"]).alias("n_limitations"),
-        F.size(e["missing_information"]).alias("n_missing"), e["source"].alias("source"),
+        "annotation_id", "label", F.array_join(e["why"], " | ").alias("why"), F.array_join(evidence, " | ").alias("evidence"),
+        F.array_join(e["strengths"], " | ").alias("strengths"), F.array_join(e["limitations"], " | ").alias("limitations"),
+        F.array_join(e["missing_information"], " | ").alias("missing"), e["short_assessment"].alias("assessment"),
+        e["improvement_suggestion"].alias("suggestion"), e["buyer_value"].alias("buyer_value"), e["source"].alias("source"),
     )
 
 
