@@ -13,11 +13,12 @@ Links join documents whose sets of word shingles have a Jaccard similarity of at
    (*crowded* sets), so only crowded sets are joined again:
 4. Set relations. Among crowded sets a few leaders are elected (of each list the set whose tokens
    are in most others) and compared with all crowded sets through a rarest-first prefix, again
-   skipping by position. A set that links with a
-   leader inherits the leader's answers: two sets that follow the same leader need no comparison,
-   and by the triangle inequality of the Jaccard distance a follower of another leader can only
-   link with it if it is close enough to that leader. Those boundary cases, and sets that follow
-   nobody, become leaders themselves at the end; nothing is dropped.
+   skipping by position. A set that links with a leader inherits the leader's answers: two sets that
+   follow the same leader need no comparison, and by the triangle inequality of the Jaccard distance
+   a set can only link with a follower if it is close enough to the follower's leader. Where such a set
+   is in another component, it or the followers, whichever are fewer, come to lead themselves: eight
+   of each surroundings first, then eight times as many in each round, as most fall into a known
+   component on the way. It ends when nothing is open; no pair is dropped.
 5. Components of all links by star contraction.
 
 Edge cases: a null or blank text has no shingles and is linked with nothing (its component is its
@@ -29,7 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reviewsift.llm import common
@@ -42,7 +43,12 @@ WORDS = 5
 PERCENT = 80
 #: Sets in a list beyond which its token is frequent.
 BLOCK = 16
+#: Rounds of elections; sets that follow nobody after them lead themselves.
 ROUNDS = 2
+#: Sets of one leader's surroundings that come to lead in the first round after the elections, and
+#: how many times more in each next one.
+FIRST_OPEN = 8
+MORE_OPEN = 8
 
 
 def _share(n: Column | np.ndarray, percent: int):
@@ -140,9 +146,11 @@ def _similar(percent: int) -> Column:
 
 
 def _prefixes(ordered: DataFrame, percent: int) -> DataFrame:
-    """(rep, n, pos, token): the rarest tokens of each set, of which a partner must share one."""
-    take = F.col("n") - _share(F.col("n"), percent) + 1
-    return ordered.select("rep", "n", F.posexplode(F.slice("ordered", F.lit(1), take)).alias("pos", "token"))
+    """(rep, n, pos, token): the rarest tokens of each set, of which a partner must share one. Those that
+    no other set has keep their places, but are not listed."""
+    take = F.greatest(F.col("n") - _share(F.col("n"), percent) + 1 - F.col("alone"), F.lit(0))
+    listed = F.slice("ordered", F.col("alone") + 1, take)
+    return ordered.select("rep", "n", "alone", F.posexplode(listed).alias("at", "token")).select("rep", "n", (F.col("at") + F.col("alone")).alias("pos"), "token")
 
 
 def _against(leaders: DataFrame, ordered: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -160,8 +168,53 @@ def _against(leaders: DataFrame, ordered: DataFrame, sets: DataFrame, percent: i
     return _measured(pairs, sets).where(_similar(percent))
 
 
-def _crowded_links(crowded: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """Links among crowded sets (step 4), given the links found so far."""
+def _distance() -> Column:
+    """Jaccard distance of a measured pair."""
+    return 1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
+
+
+def _elected(tokens: DataFrame, left: DataFrame) -> DataFrame:
+    """A leader for each set that is left: of the best-ranked sets of its tokens the most frequent."""
+    mine = tokens.join(left, "rep", "left_semi")
+    best = mine.groupBy("token").agg(F.max("rank").alias("best")).select("token", F.col("best.rep").alias("leader"))
+    votes = mine.join(best, "token").groupBy("rep", "leader").agg(F.count("*").alias("c"))
+    return votes.groupBy("rep").agg(F.max_by("leader", F.struct("c", "leader")).alias("leader")).select(F.col("leader").alias("rep")).distinct()
+
+
+def _open_pairs(measured: DataFrame, leaders: DataFrame, roots: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(leader a, set b) of different components between whose followers and b a link may exist, and the
+    followers of each leader.
+
+    Leaders know all their links, so an unknown link joins two other sets. One of them, z, follows its
+    nearest elected leader a; the other one, b, then is no further from a than z is, plus the distance
+    of a link. All sets that are so near to an elected leader are in ``measured``.
+    """
+    step = 1 - percent / 100
+    others = measured.join(leaders.select(F.col("rep").alias("b")), "b", "left_anti").withColumn("far", _distance())
+    homes = others.where(_similar(percent)).groupBy("b").agg(F.min(F.struct("far", "a")).alias("home"))
+    followers = homes.select(F.col("home.a").alias("a"), F.col("b").alias("rep"), F.col("home.far").alias("far"))
+    reach = followers.groupBy("a").agg(F.max("far").alias("reach"), F.count("*").alias("followers"))
+    near = others.where(~_similar(percent)).join(reach, "a").where(F.col("far") <= F.col("reach") + step + 1e-9)
+    root_of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+    apart = near.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
+    apart = apart.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+    return apart.select("a", "b", "followers"), followers
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, root) after some more links: only the links between components are contracted."""
+    ends = [roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab"]
+    between = links.join(ends[0], "a", "left").join(ends[1], "b", "left")
+    between = between.select(F.coalesce("root_a", "a").alias("u"), F.coalesce("root_b", "b").alias("v")).where("u <> v")
+    moved = components(between).withColumnsRenamed({"node": "was", "root": "now"})
+    known = roots.join(moved, F.col("root") == F.col("was"), "left").select("node", F.coalesce("now", "root").alias("root"))
+    # Ends that had no component until now.
+    new = moved.join(roots, F.col("was") == F.col("node"), "left_anti").select(F.col("was").alias("node"), F.col("now").alias("root"))
+    return materialize(known.union(new))
+
+
+def _with_crowded(crowded: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """Components (node, root) of all links, given those found by lists; crowded sets meet here (step 4)."""
     own = sets.join(crowded, "rep", "left_semi")
     tokens = own.select("rep", "n", F.explode("tokens").alias("token"))
     counts = tokens.groupBy("token").agg(F.count("*").alias("df"))
@@ -169,44 +222,47 @@ def _crowded_links(crowded: DataFrame, sets: DataFrame, links: DataFrame, percen
         tokens.join(counts, "token")
         .groupBy("rep", "n")
         .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("sorted"), F.avg("df").alias("central"))
-        .select("rep", "n", F.col("sorted.token").alias("ordered"), "central")
+        .select(
+            "rep",
+            "n",
+            F.col("sorted.token").alias("ordered"),
+            "central",
+            F.size(F.filter("sorted", lambda t: t["df"] == 1)).alias("alone"),
+        )
     )
-    # A set stands in the middle of its family if its tokens are in many others.
-    tokens = ordered.select("rep", F.struct("central", "rep").alias("rank"), F.explode("ordered").alias("token"))
-    # Twice the distance that a link allows: followers of one leader and of another.
+    # A set stands in the middle of its family if its tokens are in many others. Tokens of one set come
+    # first in the order and have no vote.
+    shared = F.slice("ordered", F.col("alone") + 1, F.col("n"))
+    tokens = ordered.select("rep", F.struct("central", "rep").alias("rank"), F.explode(shared).alias("token"))
+    # Twice the distance that a link allows: a follower's link and its way to its leader.
     wide = 100 - 2 * (100 - percent)
-    left = crowded
-    measured = None
+    left, leaders, measured = crowded, None, None
     for _ in range(ROUNDS):
-        mine = tokens.join(left, "rep", "left_semi")
-        best = mine.groupBy("token").agg(F.max("rank").alias("best")).select("token", F.col("best.rep").alias("leader"))
-        leaders = (
-            mine.join(best, "token")
-            .groupBy("rep", "leader")
-            .agg(F.count("*").alias("c"))
-            .groupBy("rep")
-            .agg(F.max_by("leader", F.struct("c", "leader")).alias("leader"))
-            .select(F.col("leader").alias("rep"))
-            .distinct()
-        )
-        leaders = materialize(leaders)
-        found = _against(leaders, ordered, own, wide)
+        new = materialize(_elected(tokens, left))
+        found = _against(new, ordered, own, wide)
         measured = materialize(found if measured is None else measured.union(found))
-        linked = measured.where(_similar(percent))
-        covered = leaders.union(linked.select("a")).union(linked.select("b"))
-        left = materialize(left.join(covered, "rep", "left_anti"))
-    linked = measured.where(_similar(percent)).select("a", "b")
-    roots = components(links.union(linked))
-    root = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
-    boundary = (
-        measured.where(~_similar(percent))
-        .join(root("a"), "a", "left")
-        .join(root("b"), "b", "left")
-        .where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-        .select(F.col("b").alias("rep"))
-    )
-    last = materialize(left.union(boundary).distinct())
-    return linked.union(_against(last, ordered, own, percent).select("a", "b"))
+        leaders = materialize(new if leaders is None else leaders.union(new).distinct())
+        left = materialize(left.join(leaders.union(measured.where(_similar(percent)).select("b")), "rep", "left_anti"))
+    roots = materialize(components(links.union(measured.where(_similar(percent)).select("a", "b"))))
+    most = FIRST_OPEN
+    while True:
+        open_, followers = _open_pairs(measured, leaders, roots, percent)
+        open_ = materialize(open_)
+        # A link has two sides; the smaller one comes to lead, some sets of a leader in each round.
+        sides = open_.groupBy("a").agg(F.count("*").alias("opposite"), F.max("followers").alias("followers"))
+        theirs = open_.join(sides.where("opposite <= followers").select("a"), "a").select("a", F.col("b").alias("rep"))
+        ours = followers.join(sides.where("opposite > followers").select("a"), "a").select("a", "rep")
+        turn = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("rep"), "rep"))
+        new = theirs.union(ours).withColumn("turn", turn).where(F.col("turn") <= most).select("rep")
+        # What followed nobody after the elections leads itself, in the first round.
+        new = materialize((new if left is None else new.union(left)).distinct())
+        if new.isEmpty():
+            return roots
+        # Nobody's home is with these: their links are enough.
+        found = _against(new, ordered, own, percent).select("a", "b")
+        leaders = materialize(leaders.union(new).distinct())
+        roots = _merged(roots, materialize(found))
+        most, left = most * MORE_OPEN, None
 
 
 def components_by_shingles(
@@ -248,8 +304,7 @@ def components_by_shingles(
     wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(crowded).distinct()
     sets = materialize(_sets(named, materialize(wanted), width))
     links = materialize(_measured(pairs, sets).where(_similar(percent)).select("a", "b"))
-    links = links.union(_crowded_links(materialize(crowded), sets, links, percent))
-    roots = components(links)
+    roots = _with_crowded(materialize(crowded), sets, links, percent)
 
     known = (
         digests.join(reps, "digest")

@@ -7,6 +7,7 @@ import datetime
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -232,6 +233,62 @@ def test_ngram_join_crowded(spark):
         assert got == want
 
 
+def crowd_rows():
+    """One family around a text: close copies, copies at the edge of a link, chains that walk away from it by
+    small steps, a second family at a distance where some of its members touch the first, and other texts
+    that hold one long passage of it."""
+    rng = random.Random(21)
+    word = lambda: f"v{rng.randint(0, 50_000)}"
+    base = [word() for _ in range(120)]
+
+    def edited(text, n):
+        text = list(text)
+        for at in rng.sample(range(len(text)), n):
+            text[at] = word()
+        return text
+
+    rows = [edited(base, rng.choice([0, 1, 1, 2, 2, 3, 4, 5, 6, 8])) for _ in range(160)]
+    for _ in range(6):
+        walk = base
+        for _ in range(6):
+            walk = edited(walk, 2)
+            rows.append(walk)
+    second = edited(base, 3)[:100] + [word() for _ in range(12)]
+    rows += [edited(second, rng.randint(0, 4)) for _ in range(60)]
+    rows += [base[: rng.randint(90, 120)] for _ in range(20)]
+    rows += [[word() for _ in range(rng.randint(5, 60))] + base[20:60] for _ in range(60)]
+    rng.shuffle(rows)
+    return [(k, " ".join(r)) for k, r in enumerate(rows)]
+
+
+@pytest.mark.parametrize("block", [4, 16])
+def test_ngram_join_around_one_text(spark, monkeypatch, block):
+    """Sets that lead themselves one by one, so that open pairs take several rounds."""
+    monkeypatch.setattr(ngram_join, "FIRST_OPEN", 1)
+    monkeypatch.setattr(ngram_join, "MORE_OPEN", 3)
+    rows = crowd_rows()
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.components_by_shingles(df, block=block).collect()}
+    assert got == brute_components(rows)
+
+
+def test_ngram_join_does_not_pair_a_family(spark, monkeypatch):
+    """Of the pairs of a family and its copies few are measured in step 4."""
+    made = []
+    real = ngram_join._against
+
+    def counted(leaders, ordered, sets, percent):
+        found = real(leaders, ordered, sets, percent)
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(ngram_join, "_against", counted)
+    rows = crowd_rows()
+    many = rows + [(len(rows) + k, f"{t} again") for k, t in rows]
+    assert ngram_join.components_by_shingles(spark.createDataFrame(many, "doc_id bigint, text string")).count() == len(many)
+    assert 0 < sum(made) < 0.02 * len(many) ** 2
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(40)] + [(k, k + 1) for k in range(100, 130)]
@@ -384,6 +441,26 @@ def test_lexer_propagates_constants():
     assert all(text[a - 10 : a].find("colour") < 0 for a, _, kind in spans if kind == "lexed")
 
 
+def test_lexing_is_linear_in_runs_of_name_characters():
+    value = "qX9vR2mK7pL4wZ8t"
+    for run in ("a" * 1_000_000, "a.b-" * 250_000, "1" * 1_000_000, "f0" * 500_000, '"' * 200_000, "'a" * 200_000, "a " * 200_000, " " * 500_000):
+        text = f"{run}, password = {value}"
+        start = time.perf_counter()
+        spans = secrets_scan.lexed_spans(text)
+        assert time.perf_counter() - start < 3
+        assert [text[a:b] for a, b, _ in spans] == [value], run[:4]
+
+
+def test_pairs_begin_where_they_did_before():
+    rng = random.Random(12)
+    plain = secrets_scan._PAIR.pattern.replace("*+", "*")
+    free = re.compile(plain[plain.index("(?P<q>") :], re.ASCII)
+    for _ in range(4000):
+        text = "".join(rng.choice(["a", "b9", "9", ".", "-", "_", '"', "'", "=", ":", " ", ":=", "=>", "==", "é", "\n"]) for _ in range(rng.randint(1, 14))) + "x"
+        want = [(m["name"], m.end()) for m in free.finditer(text)]
+        assert [(m["name"], m.end()) for m in secrets_scan._PAIR.finditer(text)] == want, text
+
+
 @pytest.mark.parametrize("word", sorted(secrets_scan.SENSITIVE))
 def test_every_listed_name_reports_random_literals(word):
     for value in ("Zk93hfJw02mQp7sLx", "q8Zr+T4vXb1/Yd7KpW3sNf0Lc9GhMj5aUe2Ro6Ti", "x7Kp2VnQ9sWd4RtZ" * 4):
