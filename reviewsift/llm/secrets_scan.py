@@ -52,8 +52,10 @@ LEAST_LITERAL = 8
 #: Names whose quoted literals may hold blanks.
 PHRASES = {"password", "passwd", "passphrase", "pwd", "pass"}
 
-_NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*"
-_PAIR = re.compile(rf"""(?P<q>["']?)(?P<name>{_NAME})(?P=q)[ \t]*(?::=|=>|=(?!=)|:(?![:/]))[ \t]*(?=\S)""", re.ASCII)
+_NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*+"
+#: A pair begins at a quote or at the first character that a name can have, and a name gives nothing
+#: back: a long run of such characters is read once.
+_PAIR = re.compile(rf"""(?:(?=["'])|(?<![A-Za-z0-9_.\-])[0-9.\-]*+)(?P<q>["']?)(?P<name>{_NAME})(?P=q)[ \t]*(?::=|=>|=(?!=)|:(?![:/]))[ \t]*(?=\S)""", re.ASCII)
 _VALUE = re.compile(rf"""(?P<quote>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<ref>\$\{{?{_NAME}\}}?)|(?P<bare>[A-Za-z0-9+/_.=\-]+)""", re.ASCII)
 _PLUS = re.compile(r"[ \t]*\+[ \t]*")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
