@@ -319,3 +319,27 @@ def components_by_shingles(
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components_by_shingles(common.table(spark, sf_dir, "documents"))
+
+
+ORACLE = """
+with recursive words as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w
+    from documents
+), shingles as (
+    select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+        else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s
+    from words
+), sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+pairs as (
+    select a.doc_id as a, b.doc_id as b, count(*) as c from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by a.doc_id, b.doc_id
+), links as (
+    select a, b from pairs join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)
+), edges as (select a, b from links union all select b, a from links),
+reach(doc_id, root) as (
+    select doc_id, doc_id from documents
+    union
+    select e.b, r.root from reach r join edges e on e.a = r.doc_id where r.root < e.b
+)
+select d.doc_id, coalesce(any_value(n), 0) as n_shingles, min(root) as component_id
+from documents d join reach r on r.doc_id = d.doc_id left join sizes s on s.doc_id = d.doc_id group by d.doc_id
+"""

@@ -40,6 +40,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op3_exact_dedup": exact_dedup.ORACLE,
+    "op7_ngram_join": ngram_join.ORACLE,
     "op11_prefix_trie": prefix_trie.ORACLE,
     "op13_url_filters": url_filters.ORACLE,
 }

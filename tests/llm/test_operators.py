@@ -32,6 +32,7 @@ from reviewsift.llm import (  # noqa: E402
     toxicity,
 )
 from reviewsift.llm.graph import components  # noqa: E402
+from tools.check_oracle import compare, connect  # noqa: E402
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, token string, part int, size int, n int"
 WHITE = re.compile(r"[\x20\x09-\x0D]+")
@@ -289,6 +290,10 @@ def test_ngram_join_does_not_pair_a_family(spark, monkeypatch):
     assert 0 < sum(made) < 0.02 * len(many) ** 2
 
 
+def test_ngram_join_query_equals_sql(spark, small):
+    assert compare(ngram_join.query(spark, small), connect(small).sql(ngram_join.ORACLE)) == ""
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(40)] + [(k, k + 1) for k in range(100, 130)]
