@@ -1,12 +1,11 @@
 """Operator 6: token counts of texts.
 
-Method: a deterministic transducer whose transitions carry the number of tokens they emit
-(``bpe_fst``, lazily compiled), run over chunks of the texts. White space always brings it back
-to its initial state, so a chunk's state map has a short form: what it reads before its first
-white space (``head``) depends on the entry state, the count after it and the exit state
-(``tail``: what it has read since its last white space) do not. Such maps compose
-associatively; the chunks of a long text are counted in separate tasks and their maps are
-composed in order by a parallel prefix scan (pairs, then pairs of pairs).
+Method: a deterministic transducer (``bpe_fst``, lazily compiled) run over chunks of the texts. Its
+transitions hold emitted ids; the count is the length of the list. White space always brings it
+back to its initial state, so a chunk is known by what it reads before its first white space
+(``head``), the count after it, and what it has read since its last white space (``tail``). Chunks of
+a long text are counted in separate tasks; one task puts a text's chunks together in order and
+tokenises the seams, a tail with the next head, again.
 
 A null text counts as empty: 0 bytes, 0 tokens. Rows with equal or null ids are counted row by
 row. Special strings inside texts count one token each, as the library does by default.

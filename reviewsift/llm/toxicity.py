@@ -253,8 +253,8 @@ def learn_terms(rows: DataFrame) -> list[str]:
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Logistic regression by Newton steps; the last weight is the intercept. Weights of hits stay
-    at or above zero except for quotation, which may lower a score."""
+    """Logistic regression by Newton steps; the last weight is the intercept. Weights have
+    no bound, so a kind of hit that is rare in the sample may come out below zero."""
     x = np.hstack([x, np.ones((len(x), 1))])
     penalty = np.diag([ridge] * (x.shape[1] - 1) + [1e-6])
     w = np.zeros(x.shape[1])
