@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from reviewsift.functions.columns import (
-    bool_int, clip, flags_array, matches, round_even, strip, word_count,
+    bool_int, clip, flags_array, mapped, matches, round_even, strip, word_count,
 )
 from reviewsift.functions.terms import occurrences, occurs, pattern_terms, with_found_terms
 from reviewsift.lexicon import (
@@ -30,8 +30,8 @@ def _levels(two: Column, one: Column) -> Column:
     return F.when(two, 2).when(one, 1).otherwise(0)
 
 
-@F.pandas_udf(T.BooleanType())
-def duplicate_like(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(T.BooleanType())
+def duplicate_like(texts: pa.Array) -> pa.Array:
     """More than 12 words, and over a third of them occur in both halves of the text.
 
     Counting copies against a set is linear in the words; array functions compare the halves
@@ -44,7 +44,7 @@ def duplicate_like(texts: pd.Series) -> pd.Series:
         later = set(words[half:])
         return len(words) > 12 and sum(w in later for w in words[:half]) > len(words) // 3
 
-    return texts.map(check, na_action="ignore").astype("boolean")
+    return mapped(texts, check, pa.bool_())
 
 
 def _flags(patterns: dict[str, str]) -> Column:

@@ -1,6 +1,8 @@
+import tracemalloc
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +134,15 @@ def test_eda_features_of_a_row(spark):
     assert (row["created_weekday"], row["created_hour"], row["has_helpful_vote"]) == ("Monday", 13, 1)
     assert (empty["sentence_count"], empty["review_word_length"], empty["helpful_count"]) == (1, 0, 0.0)
     assert empty["created_year"] is None
+
+
+def test_only_some_texts_of_a_batch_are_python_strings_at_a_time():
+    texts = [f"{i} &amp; é " + "x" * 20_000 for i in range(1_000)]
+    batch = pa.array([*texts, None, ""])
+    tracemalloc.start()
+    out = c._unescape_nfc_batch.func(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 0.3 * batch.nbytes
+    assert out.to_pylist() == [t.replace("&amp;", "&").replace("é", "é") for t in texts] + [None, ""]
+    assert c._unescape_nfc_batch.func(batch.slice(0, 0)).to_pylist() == []
