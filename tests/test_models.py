@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -129,3 +131,28 @@ def test_train_save_load_predict(spark, small, rows, tmp_path):
     assert all((r["label"] == "Helpful") == (r["helpfulness_score"] >= 0.5) for r in out if r["helpfulness_score"] != 0.5)
     assert {r["confidence_level"] for r in out} <= {"High", "Medium", "Low"}
     assert all(-2 <= r["predicted_rubric_score"] <= 7 for r in out)
+
+
+def test_embedding_makes_no_object_per_row(spark):
+    matrix = np.arange(20_000 * 30, dtype=np.float32).reshape(20_000, 30)
+    tracemalloc.start()
+    lists = embed.list_array(matrix)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 0.3 * matrix.nbytes and lists[7].as_py() == matrix[7].tolist()
+
+
+def test_encoder_takes_batches_as_they_are_needed(spark):
+    def make():
+        def encoder(texts):
+            # A batch of Arrow rows that became strings as a whole is kept by the array that was cut.
+            assert len(texts) <= 8 and texts.base is None
+            return np.array([[len(t)] for t in texts], dtype=np.float32)
+
+        return encoder
+
+    df = spark.createDataFrame([(i, "x" * i) for i in range(100)], "id int, t string").coalesce(1)
+    out = embed.encode(df, "t", make, batch_size=8).select("id", "embedding").collect()
+    assert all(r["embedding"] == [float(r["id"])] for r in out) and len(out) == 100
+    with pytest.raises(Exception, match="An encoder of 8 texts"):
+        embed.encode(df, "t", lambda: lambda texts: np.zeros((1, 1), np.float32), batch_size=8).collect()
