@@ -156,3 +156,11 @@ def test_encoder_takes_batches_as_they_are_needed(spark):
     assert all(r["embedding"] == [float(r["id"])] for r in out) and len(out) == 100
     with pytest.raises(Exception, match="An encoder of 8 texts"):
         embed.encode(df, "t", lambda: lambda texts: np.zeros((1, 1), np.float32), batch_size=8).collect()
+
+
+def test_forest_keeps_the_nodes_of_the_rows(spark):
+    data = [([float(i % 7), float(i % 5)], i % 2) for i in range(60)]
+    df = spark.createDataFrame(data, "e array<double>, label int")
+    df = df.select(array_to_vector("e").alias("embedding"), "label")
+    model = stack.rf_model(df, QUICK, 1)
+    assert model.getCacheNodeIds() and model.getNumTrees == QUICK.trees
