@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, types as T
@@ -13,6 +14,9 @@ from reviewsift.lexicon import Lexicon, VIETNAMESE
 from reviewsift.operators.explain import decide, quality_assessment
 from reviewsift.operators.rubric import rubric_score
 
+#: Texts average some KB, so a file of so many rows is one small task.
+ROWS_PER_FILE = 10_000
+
 
 def score_rows(
     df: DataFrame,
@@ -34,6 +38,11 @@ def score_rows(
     return quality_assessment(scored)
 
 
+def batch_files(rows: DataFrame, batches: int) -> int:
+    """How many files each of ``batches`` batches of a table needs for ``ROWS_PER_FILE`` rows a file."""
+    return max(1, math.ceil(rows.count() / (ROWS_PER_FILE * batches)))
+
+
 def read_review_stream(
     spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 100
 ) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from reviewsift.plans import views as v
 from reviewsift.streaming import checkpointing as cp
-from reviewsift.streaming.scoring import read_review_stream, score_rows, score_stream
+from reviewsift.streaming.scoring import batch_files, read_review_stream, score_rows, score_stream
 
 COLUMNS = ["annotation_id", "review_id", "product_id", "title", "content", "manual_label"]
 
@@ -103,3 +103,7 @@ def test_a_committed_batch_writes_nothing(spark, tmp_path):
     assert [r["reason"] for r in cp.read_committed(spark, out).collect()] == ["three"]
     assert cp.append_once(marked("four")(rows.limit(0)), out, "s-2", 2)
     assert cp.commit_log(spark, out).count() == 3
+
+
+def test_files_of_a_batch_grow_with_the_table(spark):
+    assert [batch_files(spark.range(n), 3) for n in (0, 1, 30_000, 30_001, 900_000)] == [1, 1, 1, 2, 30]
