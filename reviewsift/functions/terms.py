@@ -83,24 +83,50 @@ _PLAIN = r"[^()|\\.\[\]{}?*+^$]+"
 _LEADING_GROUP = re.compile(rf"^\(({_PLAIN}(?:\|{_PLAIN})*)\)(.*)$", re.DOTALL)
 
 
-def _branches(rest: str) -> bool:
-    """Whether a ``|`` stands outside all groups and classes, so that the start of the pattern
-    is only one of its branches."""
-    depth, at, in_class = 0, 0, False
-    while at < len(rest):
-        c = rest[at]
+def _cut(pattern: str) -> tuple[list[str], int]:
+    """The branches between the ``|`` outside all groups and classes, and where the first group ends
+    (0 if none does)."""
+    depth, at, in_class, start, closed = 0, 0, False, 0, 0
+    branches = []
+    while at < len(pattern):
+        c = pattern[at]
         if c == "\\":
             at += 1
         elif in_class:
-            in_class = c != "]" or rest[at - 1] == "[" or rest[at - 2 : at] == "[^"
+            in_class = c != "]" or pattern[at - 1] == "[" or pattern[at - 2 : at] == "[^"
         elif c == "[":
             in_class = True
         elif c in "()":
             depth += 1 if c == "(" else -1
+            closed = closed or (at if depth == 0 else 0)
         elif c == "|" and depth == 0:
-            return True
+            branches.append(pattern[start:at])
+            start = at + 1
         at += 1
-    return False
+    return [*branches, pattern[start:]], closed
+
+
+def _branches(rest: str) -> bool:
+    """Whether a ``|`` stands outside all groups and classes, so that the start of the pattern
+    is only one of its branches."""
+    return len(_cut(rest)[0]) > 1
+
+
+def first_terms(pattern: str) -> tuple[str, ...]:
+    """Plain starts of which every match has one; none if a branch starts otherwise."""
+    branches, closed = _cut(pattern)
+    if len(branches) > 1:
+        starts = [first_terms(branch) for branch in branches]
+        return tuple(t for some in starts for t in some) if all(starts) else ()
+    if pattern[:1] == "(":
+        plain = closed and pattern[1:2] != "?" and pattern[closed + 1 : closed + 2] not in ("?", "*", "{")
+        return first_terms(pattern[1:closed]) if plain else ()
+    start = re.match(_PLAIN, pattern)
+    if not start:
+        return ()
+    # The last character may be left out if a quantifier follows.
+    term = start.group()[:-1] if pattern[start.end() : start.end() + 1] in ("?", "*", "{") else start.group()
+    return (term,) if term else ()
 
 
 def leading_terms(pattern: str) -> tuple[tuple[str, ...], bool]:
@@ -113,15 +139,16 @@ def leading_terms(pattern: str) -> tuple[tuple[str, ...], bool]:
 
 def pattern_terms(patterns: Iterable[str]) -> list[str]:
     """Every term that decides or gates one of the patterns."""
-    return [term for p in patterns for term in decisive(leading_terms(p)[0])]
+    return [term for p in patterns for term in decisive(leading_terms(p)[0] or first_terms(p))]
 
 
 def occurs(text: Column, found: Column, pattern: str) -> Column:
     """Whether a pattern occurs; ``found`` holds the terms of :func:`pattern_terms`.
 
-    The regex runs only on texts that hold one of its leading alternatives.
+    The regex runs only on texts that hold one of its leading alternatives or plain starts.
     """
     terms, whole = leading_terms(pattern)
+    terms = terms or first_terms(pattern)
     if not terms:
         return matches(text, pattern)
     present = has_any(found, terms)

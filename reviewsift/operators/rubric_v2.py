@@ -160,11 +160,11 @@ def rubric_score_v2(
     )
     sp, pe = F.col("specificity"), F.col("product_experience")
     dec_strong, dec_medium = F.col("_dec_strong"), F.col("_dec_medium")
-    unclear = (F.col("_words") <= 2) | F.col("_text").rlike("(?d)" + REPEAT_UNCLEAR) | ~F.col(
-        "_text"
-    ).rlike(r"[\p{L}\p{N}_]")
+    # Seven equal characters in a row are six, too: the second search is for the few texts with six.
+    df = df.withColumn("_repeats", F.col("_text").rlike("(?d)" + REPEAT_UNCLEAR))
+    unclear = (F.col("_words") <= 2) | F.col("_repeats") | ~F.col("_text").rlike(r"[\p{L}\p{N}_]")
     noise = F.when(matches(strip(low), V2_ONLY_PUNCTUATION), -2).when(
-        F.col("_text").rlike("(?d)" + REPEAT_NOISE), -1
+        F.col("_repeats") & F.col("_text").rlike("(?d)" + REPEAT_NOISE), -1
     ).otherwise(0)
     spam = F.lit(False)
     for pattern in patterns.spam:

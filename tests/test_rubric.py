@@ -1,11 +1,12 @@
 import random
+import re
 import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
 from reviewsift.functions import terms
-from reviewsift.lexicon import VIETNAMESE, from_table
+from reviewsift.lexicon import VIETNAMESE, VIETNAMESE_PATTERNS, from_table
 from reviewsift.operators.rubric import refine_flags, rubric_score
 from reviewsift.operators.rubric_v2 import rubric_score_v2
 
@@ -148,6 +149,35 @@ def test_leading_terms(pattern, expected):
     assert terms.leading_terms(pattern) == expected
 
 
+@pytest.mark.parametrize(
+    "pattern, expected",
+    [
+        (r"(thiếu.{0,20}(hàng|quà))", ("thiếu",)),
+        (r"(mỏng.{0,15}nhưng|dày.{0,15}nhưng)", ("mỏng", "dày")),
+        (r"anh chị.{0,3}(x|y)", ("anh chị",)),
+        (r"(sp\b|pin|lần \d+)", ("sp", "pin", "lần ")),
+        (r"((ab|c)d|e)f", ("ab", "c", "e")),
+        (r"colou?r|x+y", ("colo", "x")),
+        (r"ab{0,2}c", ("a",)),
+        (r"[|(]a|b", ()), (r"a|\d", ()), (r"(a)?b", ()), (r"(a){0}b", ()), (r"(?:a|b)c", ()), (r"x?y", ()), (r"", ()),
+        (r"a|", ()), (r"(a|)b", ()), (r"\(a", ()),
+    ],
+)
+def test_first_terms(pattern, expected):
+    assert terms.first_terms(pattern) == expected
+
+
+def test_every_match_has_a_first_term():
+    random.seed(5)
+    for pattern in VIETNAMESE_PATTERNS.every():
+        some, found = terms.leading_terms(pattern)[0] or terms.first_terms(pattern), re.compile(pattern)
+        pieces = [*re.findall(r"[^()|\\.\[\]{}?*+^$\d,]+", pattern), " ", "7", "x"]
+        texts = ["".join(random.choices(pieces, k=6)) for _ in range(300)]
+        assert not some or all(any(t in text for t in some) for text in texts if found.search(text))
+    gated = [p for p in VIETNAMESE_PATTERNS.every() if terms.first_terms(p)]
+    assert len(gated) == len(VIETNAMESE_PATTERNS.every()) - 2
+
+
 def test_found_terms_equals_substring_search(spark):
     wanted = ("da", "dạ dày", "độ bền", "bền", "x.y", "it's", "", "da", "ÿ", "]ộ", "😀 ok", "\x7f")
     texts = ["đang da", "độ bền tốt", "dạ dày", "x.y it's", "", None, "be\u0302\u0300n", "ộ bền", "]ộ", "a😀 ok", "\x7f"]
