@@ -33,6 +33,12 @@ def number_pattern(lexicon: Lexicon) -> str:
     return rf"(?i)\b\d+(?:[.,]\d+)?\s*(?:{units})?\b"
 
 
+def generic_words_at_most(lexicon: Lexicon) -> int:
+    """A bound of the words of a generic text: a term of n characters has at most (n + 1) / 2."""
+    phrase = max(((len(p) + 1) // 2 for p in lexicon.generic_phrases), default=0)
+    return max(phrase, 5 * max(((len(w) + 1) // 2 for w in lexicon.generic_words), default=0))
+
+
 def is_generic(content: Column, lexicon: Lexicon) -> Column:
     """A known phrase, or up to five words that are all generic."""
     plain = collapse(F.regexp_replace(content, NOT_PLAIN, " "))
@@ -72,10 +78,12 @@ def _signals(df: DataFrame, lexicon: Lexicon) -> DataFrame:
             "_number": content.rlike(python_regex(number_pattern(lexicon))),
             "_words": F.regexp_count(content, F.lit(WORD)),
             "_noise": ~content.rlike(LETTER_OR_DIGIT),
-            "_generic": is_generic(content, lexicon),
             "_spam": has_any(found, lexicon.spam),
         }
     )
+    # Cleaning keeps the number of words, so only short texts are cleaned and compared.
+    short = F.col("_words") <= generic_words_at_most(lexicon)
+    df = df.withColumn("_generic", short & is_generic(content, lexicon))
     return df.withColumns(
         {
             "_n_attr": F.size("_attributes"),

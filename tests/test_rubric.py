@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewsift.functions import terms
 from reviewsift.lexicon import VIETNAMESE, VIETNAMESE_PATTERNS, from_table
-from reviewsift.operators.rubric import refine_flags, rubric_score
+from reviewsift.operators.rubric import WORD, generic_words_at_most, is_generic, refine_flags, rubric_score
 from reviewsift.operators.rubric_v2 import rubric_score_v2
 
 SHIRT = "Vải mỏng nhưng mặc mát"
@@ -192,3 +192,16 @@ def test_found_terms_equals_substring_search(spark):
     assert [g if g is None else sorted(g) for g in got] == expected
     both = df.select(terms.hits(F.array(F.lit("it's"), F.lit("da")), ("da", "dạ dày", "it's"))).first()[0]
     assert both == ["da", "it's"]
+
+
+def test_long_texts_are_not_cleaned_to_see_that_they_are_not_generic(spark):
+    most = generic_words_at_most(VIETNAMESE)
+    words = max(VIETNAMESE.generic_words, key=len)
+    longest = max(VIETNAMESE.generic_phrases, key=len)
+    texts = [longest, f"{longest} !!! ... ?", " ".join([words] * 5), "... ".join([words] * 5), "x " * (most + 1), f"{longest} x", ""]
+    df = spark.createDataFrame([(str(i), "", t) for i, t in enumerate(texts)], "annotation_id string, title string, content string")
+    lowered = df.withColumn("_c", F.lower("content"))
+    assert all(r[0] <= most for r in lowered.where(is_generic(F.col("_c"), VIETNAMESE)).select(F.regexp_count("_c", F.lit(WORD))).collect())
+    expected = {r[0]: r[1] for r in lowered.select("annotation_id", is_generic(F.col("_c"), VIETNAMESE)).collect()}
+    got = {r[0]: "generic_only" in r[1] for r in rubric_score(df).where("is_helpful = 0").select("annotation_id", "quality_flags").collect()}
+    assert len(got) >= 5 and all(expected[k] == v for k, v in got.items()) and any(got.values())
