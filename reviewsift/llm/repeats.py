@@ -15,7 +15,8 @@ are at most 84.
 1. Equal texts are named by digest; all but the smallest id are removed whole (if long enough).
 2. Documents are partitioned by id once. Each partition sends its distinct minimisers around;
    those that another document has come back as *shared*. Only segments of shared ones move.
-3. Segments that are equal inside a partition are combined: later documents lose theirs at once.
+3. Segments that are equal inside a partition are combined, those of some minimisers at a time (so
+   it doesn't matter how many are shared): later documents lose theirs at once.
    What remains is grouped by minimiser. A minimiser in more than ``HOT`` segments is split:
    its windows go around one by one, by their own hash.
 4. Each task orders the collections it got, a bounded number of strings at a time, and reports
@@ -32,6 +33,7 @@ rows that share an id never take from each other. Ids are integers.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,7 +53,9 @@ REACH = WINDOW - GRAM + 1
 HOT = 4_096
 #: Strings of a collection that are ordered at a time; single collections may be larger.
 BATCH = 6_000
-_PIECE = 1 << 20
+#: Segments of a partition that are combined at a time, as objects.
+ROUND = 100_000
+_PIECE = 1 << 18
 
 
 def _minimisers(data: np.ndarray) -> np.ndarray:
@@ -71,7 +75,7 @@ def _minimisers(data: np.ndarray) -> np.ndarray:
 
 def segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, start, windows, minimiser) of every segment, in order. A text is worked on in pieces
-    of a megabyte that overlap by a window; short texts share a piece."""
+    of a quarter of a megabyte that overlap by a window; short texts share a piece."""
     found: list[tuple] = []
     group: list[tuple[int, int, bytes]] = []
 
@@ -199,7 +203,16 @@ def _answer(announced: DataFrame) -> DataFrame:
     return announced.mapInArrow(run, "owner bigint, shared binary, hot binary")
 
 
-def _send(docs: DataFrame) -> DataFrame:
+def rounds(least: np.ndarray, sizes: np.ndarray, parts: int) -> Iterator[np.ndarray]:
+    """Segments of about ``ROUND`` in all at a time, in their order: those whose minimisers go to neighbouring
+    ones of ``parts``, so that what goes to a part is written as if there were one round."""
+    many = -(-int(sizes.sum()) // ROUND)
+    to = least.view(np.int64) % parts * many // parts
+    for k in range(many):
+        yield np.flatnonzero(to == k)
+
+
+def _send(docs: DataFrame, buckets: int) -> DataFrame:
     """Segments of shared minimisers, combined inside the partition, and ranges that are decided."""
 
     def run(batches):
@@ -216,13 +229,13 @@ def _send(docs: DataFrame) -> DataFrame:
             place = np.minimum(np.searchsorted(shared, least), len(shared) - 1)
             mine = shared[place] == least
             text, start, windows, least, is_hot = text[mine], start[mine], windows[mine], least[mine], hot[place[mine]]
-            first_of: dict[tuple[int, bytes], list] = {}
-            decided: dict[int, list[int]] = {}
+            ids = [r["doc_id"] for r in own]
+            bodies = [r["text"] for r in own]
+            decided: dict[int, array] = {}
 
-            def pieces():
+            def pieces(some: np.ndarray):
                 """(key, string, row, place) of every segment, or of its windows where it is hot."""
-                columns = (text, start, start + windows + (WINDOW - 1), least.view(np.int64), is_hot)
-                bodies = [r["text"] for r in own]
+                columns = (text[some], start[some], start[some] + windows[some] + (WINDOW - 1), least[some].view(np.int64), is_hot[some])
                 for k, at, stop, key, spread in zip(*(c.tolist() for c in columns)):
                     body = bodies[k]
                     if not spread:
@@ -232,33 +245,36 @@ def _send(docs: DataFrame) -> DataFrame:
                         content = body[w : w + WINDOW]
                         yield int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "little", signed=True), content, k, w
 
-            ids = [r["doc_id"] for r in own]
-            for key, content, k, at in pieces():
-                held = first_of.get((key, content))
-                if held is None:
-                    first_of[(key, content)] = [k, [at], None]
-                elif ids[held[0]] < ids[k]:
-                    decided.setdefault(k, []).extend((at, at + len(content)))
-                elif held[0] == k:
-                    held[1].append(at)
-                else:  # another row of the same id
-                    held[2] = held[2] or {}
-                    held[2].setdefault(k, []).append(at)
-
-            out = [(key, content, k, starts) for (key, content), held in first_of.items() for k, starts in ((held[0], held[1]), *(held[2] or {}).items())]
-            out += [(own[k]["doc_id"] * 0x9E3779B1 % (1 << 62), None, k, spans) for k, spans in decided.items()]
-            for a in range(0, len(out), 20_000):
-                some = out[a : a + 20_000]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([x[0] for x in some], pa.int64()),
-                        pa.array([x[1] for x in some], pa.binary()),
-                        pa.array([own[x[2]]["doc_id"] for x in some], pa.int64()),
-                        pa.array([own[x[2]]["sub"] for x in some], pa.int64()),
-                        pa.array([np.array(x[3], np.int32).tobytes() for x in some], pa.binary()),
-                    ],
-                    names=["key", "content", "doc_id", "sub", "places"],
-                )
+            def rows_of(out: list[tuple]) -> Iterator[pa.RecordBatch]:
+                for a in range(0, len(out), 20_000):
+                    some = out[a : a + 20_000]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([x[0] for x in some], pa.int64()),
+                            pa.array([x[1] for x in some], pa.binary()),
+                            pa.array([ids[x[2]] for x in some], pa.int64()),
+                            pa.array([own[x[2]]["sub"] for x in some], pa.int64()),
+                            pa.array([np.array(x[3], np.int32).tobytes() for x in some], pa.binary()),
+                        ],
+                        names=["key", "content", "doc_id", "sub", "places"],
+                    )
+
+            # Equal segments have the same minimiser, so they meet in one round; documents keep their order.
+            for some in rounds(least, np.where(is_hot, windows, 1), buckets):
+                first_of: dict[tuple[int, bytes], list] = {}
+                for key, content, k, at in pieces(some):
+                    held = first_of.get((key, content))
+                    if held is None:
+                        first_of[(key, content)] = [k, [at], None]
+                    elif ids[held[0]] < ids[k]:
+                        decided.setdefault(k, array("i")).extend((at, at + len(content)))
+                    elif held[0] == k:
+                        held[1].append(at)
+                    else:  # another row of the same id
+                        held[2] = held[2] or {}
+                        held[2].setdefault(k, []).append(at)
+                yield from rows_of([(key, content, k, starts) for (key, content), held in first_of.items() for k, starts in ((held[0], held[1]), *(held[2] or {}).items())])
+            yield from rows_of([(ids[k] * 0x9E3779B1 % (1 << 62), None, k, spans) for k, spans in decided.items()])
 
     return docs.mapInArrow(run, "key bigint, content binary, doc_id bigint, sub bigint, places binary")
 
@@ -423,12 +439,9 @@ def _removed(docs: DataFrame, kept_text: bool) -> DataFrame:
     """Counts, ranges and digest of what is left of each row."""
 
     def run(batches):
-        for batch in batches:
-            rows = batch.to_pylist()
-            if not rows:
-                continue
+        for batch in common.slices(batches):
             out = []
-            for row in rows:
+            for row in batch.to_pylist():
                 body = row["text"] or b""
                 if row["copy"] and len(body) >= WINDOW:
                     gone = np.array([[0, len(body)]])
@@ -442,7 +455,7 @@ def _removed(docs: DataFrame, kept_text: bool) -> DataFrame:
                     gone = np.stack([gone[first, 0], reach[np.append(first[1:], len(gone)) - 1]], 1)
                 edges = [0, *gone.reshape(-1).tolist(), len(body)]
                 kept = b"".join(body[a:b] for a, b in zip(edges[0::2], edges[1::2]))
-                out.append((row["doc_id"], len(body), len(body) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept))
+                out.append((row["doc_id"], len(body), len(body) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept if kept_text else None))
             columns = [pa.array([x[0] for x in out], pa.int64()), *(pa.array([x[i] for x in out], pa.int64()) for i in (1, 2, 3)), pa.array([x[4] for x in out], pa.string())]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if kept_text:
@@ -472,7 +485,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     announced = _announce(flagged, n).repartition(n, "bucket")
     answers = _answer(announced).groupBy(F.col("owner").alias("doc_id")).agg(F.collect_list(F.struct("shared", "hot")).alias("answers"))
-    sent = _send(flagged.join(answers, "doc_id", "left")).repartition(n, "key").sortWithinPartitions("key")
+    sent = _send(flagged.join(answers, "doc_id", "left"), n).repartitionById(n, F.pmod("key", F.lit(n)).cast("int")).sortWithinPartitions("key")
     found = _decide(sent).groupBy("doc_id").agg(F.collect_list(F.struct("sub", "spans")).alias("found"))
     done = _removed(flagged.join(found, "doc_id", "left"), kept_text)
     nameless = docs.where(F.col("doc_id").isNull()).select(
