@@ -1,7 +1,7 @@
 """Forests and boosted trees on Spark tables, whose nodes never are objects of the driver (M3, M5).
 
-Two passes over the rows turn their vectors into bytes: the first finds each feature's cuts from
-quantiles of all rows, the second writes one byte per cell. Trees are then grown by :mod:`trees`:
+Two passes over the rows turn their vectors into cells of a byte: the first finds each feature's cuts from
+quantiles of all rows, the second writes five bits per cell. Trees are then grown by :mod:`trees`:
 
 * The trees of a forest do not depend on each other, so they are dealt to tasks in groups, a group for each
   core. A group gets the bytes as a stream. Beyond ``IN_MEMORY`` bytes they go to the task's scratch disk and
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from reviewsift.models.trees import BINS, Tree, binned, boost, cuts_of, draws_of, grow_classifier, walk
+from reviewsift.models.trees import BINS, Tree, binned, boost, cuts_of, draws_of, grow_classifier, packed_cells, unpacked_cells, walk
 from reviewsift.session import materialize
 
 #: Values of a feature that a pass keeps of an Arrow batch: all, or as many quantiles.
@@ -86,7 +86,7 @@ def feature_cuts(vectors: DataFrame) -> list[np.ndarray]:
 
 
 def _bytes(vectors: DataFrame, cuts: list[np.ndarray]) -> DataFrame:
-    """A stored table of id, label, weight and the bytes of each vector; from columns ``z``, label, weight."""
+    """A stored table of id, label, weight and the packed cells of each vector; from ``z``, label, weight."""
     width = len(cuts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,8 +99,9 @@ def _bytes(vectors: DataFrame, cuts: list[np.ndarray]) -> DataFrame:
                 label, weight = some.column(1), some.column(2)
                 if label.null_count or weight.null_count or not np.isin(label.to_numpy(), (0, 1)).all():
                     raise ValueError("Every row needs a label, 0 or 1, and a weight")
-                offsets = np.arange(len(values) + 1, dtype=np.int32) * width
-                cells = pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(offsets), pa.py_buffer(binned(values, cuts))])
+                words = packed_cells(binned(values, cuts))
+                offsets = np.arange(len(values) + 1, dtype=np.int32) * (2 * words.shape[1])
+                cells = pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(offsets), pa.py_buffer(words)])
                 yield pa.RecordBatch.from_arrays([label, weight, cells], names=["label", "weight", "cells"])
 
     found = vectors.select("z", "label", "weight").mapInArrow(run, "label int, weight double, cells binary")
@@ -117,7 +118,8 @@ def _read(batches: Iterator[pa.RecordBatch], width: int) -> tuple[np.ndarray, ..
             held.append(column.to_numpy().astype(kind))
         cells = batch.column(3)
         offsets = np.frombuffer(cells.buffers()[1], np.int32)[cells.offset : cells.offset + len(cells) + 1]
-        part = np.frombuffer(cells.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        words = np.frombuffer(cells.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.uint16)
+        part = unpacked_cells(words.reshape(len(cells), -1), width).reshape(-1)
         size += len(part)
         if file is None and size > IN_MEMORY:
             file = tempfile.TemporaryFile()
@@ -125,7 +127,7 @@ def _read(batches: Iterator[pa.RecordBatch], width: int) -> tuple[np.ndarray, ..
                 file.write(held.data)
             parts = []
         if file is None:
-            parts.append(part.copy())
+            parts.append(part)
         else:
             file.write(part.data)
     if file is None:

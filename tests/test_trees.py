@@ -51,6 +51,13 @@ def test_cuts_part_distinct_values_and_quantiles():
     assert trees.binned(edge, [cuts])[0, 0] == 4  # a value on a cut goes left of it
 
 
+def test_cells_are_packed_without_loss():
+    for width in (1, 2, 3, 18, 384):
+        cells = np.random.default_rng(width).integers(0, trees.BINS, (7, width)).astype(np.uint8)
+        words = trees.packed_cells(cells)
+        assert words.nbytes <= 7 * 2 * (width / 3 + 1) and np.array_equal(trees.unpacked_cells(words, width), cells)
+
+
 def best_split(cells, y, draws, weights, least):
     """Brute force over all features and cuts."""
     found = -1.0
